@@ -4,16 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import near_dedup
+from quadrille.llm import bpe, decontaminate, media, near_dedup, pii, quality, shards, simple8b
 from quadrille.llm.common import documents
 
 
+def vocabulary(name: str) -> str:
+    """A vocabulary file's place on this machine; workers find it by the same rule."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple8b.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
+def op2_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), shingle=3, threshold=(85, 100)).withColumnRenamed("id", "doc_id")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumnRenamed("id", "doc_id")
+
+
+def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(documents(spark, sf_dir), shards=8).withColumnRenamed("id", "doc_id")
+
+
+def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).withColumnRenamed("id", "doc_id")
+
+
+def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
+    "op1_simple8b_ids": op1_simple8b_ids,
+    "op2_media_archive": op2_media_archive,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_bpe_automaton": op7_bpe_automaton,
+    "op8_byte_shards": op8_byte_shards,
+    "op9_quality_nbsvm": op9_quality_nbsvm,
+    "op10_pii_crf": op10_pii_crf,
 }
 
 ORACLES: dict[str, str] = {}
