@@ -238,15 +238,32 @@ def _lister(path: str):
         enc = encoder(path)
         for batch in batches:
             ids = [enc.encode(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode(i) for i in ids], pa.string())], ["id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+
+    return run
+
+
+def _speller(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in batches:
+            texts = [enc.decode(ids.as_py() or []) for ids in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     return run
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded string), one row for each row of docs."""
+    """(id, ids array<int>), one row for each row of docs."""
     bounded_batches(docs.sparkSession)
-    return ids_and_texts(docs, id_col, text_col).mapInArrow(_lister(path), "id long, ids array<int>, decoded string")
+    return ids_and_texts(docs, id_col, text_col).mapInArrow(_lister(path), "id long, ids array<int>")
+
+
+def decode(ids: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
+    """(id, text): the labels of each row's ids, joined by spaces; null ids are no ids."""
+    bounded_batches(ids.sparkSession)
+    rows = ids.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids"))
+    return rows.mapInArrow(_speller(path), "id long, text string")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,11 +10,10 @@ Method
 
     Pairs that share a list are filtered by the estimate from the union's sketch, and what is left
     is verified on the full sets. Sets that are equal are one vertex from the start. Lists are
-    first compared as stars (each member against the one whose runs are the most common in the
-    corpus, so the middle of its group); components follow; then the next star, only in lists where
-    two components meet. At last the members of lists in which components still meet are compared
-    across components by the rarest-first prefixes of their full sets, which loses no pair. So a
-    group of n near copies costs some n comparisons, and no pair of a list is lost.
+    first compared as stars: each member against the one whose runs are the most common in the
+    corpus, so the middle of its group. Members that these links have not joined are then compared
+    by the rarest-first prefixes of their full sets, which loses no pair. So a group of n near
+    copies costs some n comparisons, and no pair of a list is lost. Components follow.
 
 Defined results
     * null, empty and blank texts: n_shingles 0, linked with nothing, their own component.
@@ -185,7 +184,7 @@ def _verifier(shingle: int, num: int, den: int):
 
 def _holding(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows with these ids. The ids are counted: up to BROADCAST_IDS (8 MB of longs) are sent to all, more are shuffled."""
-    ids = written(ids.distinct(), "ids")
+    ids = ids.distinct()
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
@@ -261,10 +260,11 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    e = written(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+    spread = max(4, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)  # links are few beside rows
+    e = written(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().coalesce(spread), name)
     before = mark(e)
     while before[0]:
-        e = written(star(star(e, True), False), name)
+        e = written(star(star(e, True), False).coalesce(spread), name)
         now = mark(e)
         if now == before:
             break
@@ -280,13 +280,12 @@ def near_duplicates(
     threshold: tuple[int, int] = (80, 100),
     run: int = 4,
     slack: float = 0.25,
-    stars: int = 2,
 ) -> DataFrame:
     """Return (id, n_shingles, component_id, kept), one row for each row of docs.
 
     threshold is the similarity as (numerator, denominator). slack is how far under it the
     estimate of a pair may lie and still be verified; 0.25 is over five standard deviations
-    at the sketch sizes used. stars is the number of rounds of stars before the last one.
+    at the sketch sizes used.
     """
     spark = docs.sparkSession
     scratch_root(spark)
@@ -305,15 +304,16 @@ def near_duplicates(
         "members",
     )
     # an id with several texts joins their classes
-    ids = members.filter("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
-    same_id = members.filter("node IS NOT NULL").join(ids.select("id", "a"), "id").filter("node != a").select("a", F.col("node").alias("b"))
+    several = members.filter("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
+    same_id = None
+    if not several.isEmpty():
+        same_id = written(members.filter("node IS NOT NULL").join(several.select("id", "a"), "id").filter("node != a").select("a", F.col("node").alias("b")), "same-id")
 
     keys = _keys(nodes, num, den, run)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     lists = written(keys.join(shared, "key"), "lists")
     # a document whose runs stand in the longest lists is nearest to the middle of its group
-    middle = lists.groupBy("node").agg(F.sum("size").alias("pop"))
-    lists = written(lists.join(middle, "node").select("key", "node", "pop", F.col("node").alias("label"), F.array().cast("array<bigint>").alias("used")), "lists")
+    middle = written(lists.groupBy("node").agg(F.sum("size").alias("pop")), "middle")
     sketch = nodes.select("node", "n", "sketch")
     like = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (_estimate(k) >= num / den - slack)
 
@@ -321,30 +321,21 @@ def near_duplicates(
         pairs = written(pairs.select("a", "b").distinct(), f"{name}-pairs")
         texts = _holding(rows, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
         both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        return both.select("a", "b", "ta", "tb").mapInArrow(_verifier(shingle, num, den), "a long, b long").distinct()
-
-    def relabelled(links: DataFrame) -> DataFrame:
-        """The labels now, and the lists in which two components still meet."""
-        now = written(connected_components(links), "labels")
-        tagged = lists.drop("label").join(now, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = tagged.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("z")).filter("l < z").select("key")
-        return now, written(tagged.join(mixed, "key", "left_semi").select("key", "node", "pop", "label", "used"), "mixed")
-
-    links = same_id
-    for _ in range(stars):
-        centre = lists.filter(~F.array_contains("used", F.col("node"))).groupBy("key").agg(F.max(F.struct("pop", -F.col("node"), "label")).alias("top"))
-        centre = centre.select("key", (-F.col("top.col2")).alias("c"), F.col("top.label").alias("cl"))
-        lists = written(lists.join(centre, "key", "left").withColumn("used", F.when(F.col("c").isNull(), F.col("used")).otherwise(F.concat("used", F.array("c")))), "stars")
-        pairs = lists.filter("label != cl AND NOT array_contains(slice(used, 1, size(used) - 1), node)")
-        pairs = pairs.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
-        for x in "ab":
-            pairs = pairs.join(sketch.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
-        links = verified(pairs.filter(like), "star").union(links)
-        labels, lists = relabelled(links)
-        links = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
-
-    # what no star has joined: members of a list in which components still meet
-    rest = written(lists.filter(~F.array_contains("used", F.col("node"))).groupBy(F.col("node").alias("id")).agg(F.first("label").alias("label")), "rest")
+        return written(both.select("a", "b", "ta", "tb").mapInArrow(_verifier(shingle, num, den), "a long, b long"), name)
+
+    centre = lists.join(middle, "node").groupBy("key").agg(F.max(F.struct("pop", -F.col("node"))).alias("top")).select("key", (-F.col("top.col2")).alias("c"))
+    pairs = lists.join(centre, "key").filter("node != c").select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
+    for x in "ab":
+        pairs = pairs.join(sketch.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
+    links = verified(pairs.filter(like), "stars")
+
+    # members with one label are joined already: the least neighbour's least neighbour
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "least")
+    least = least.join(least.select(F.col("id").alias("label"), F.col("label").alias("next")), "label", "left").select("id", F.coalesce("next", "label").alias("label"))
+    rest = written(middle.select(F.col("node").alias("id")).join(least, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "rest")
+
+    # what no star has joined: members of lists across labels
     texts = _holding(rows, rest.select("id")).join(rest, "id").select("id", "label", "text")
     order = texts.select("text").mapInArrow(_bucket_counter(shingle), "bucket int, times long").groupBy("bucket").agg(F.sum("times").alias("times")).filter("times > 1")
     order = order.select("bucket", F.least("times", F.lit(60_000)).cast("int").alias("times")).toArrow()
@@ -356,8 +347,9 @@ def near_duplicates(
     x = heads.filter("label != most").select("token", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("left").alias("rx"))
     y = heads.select(F.col("token").alias("t"), F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("left").alias("ry"))
     cross = x.join(y, (F.col("token") == F.col("t")) & (F.col("lx") != F.col("ly")) & ((num + den) * F.least("rx", "ry") >= num * (F.col("nx") + F.col("ny"))))
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    labels = connected_components(verified(cross, "cross").union(links))
+    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    links = links.union(verified(cross, "cross"))
+    labels = connected_components(links if same_id is None else links.union(same_id))
 
     out = members.join(labels, "node", "left").select(
         "id",

@@ -8,11 +8,9 @@ Method
     the penalised likelihood, and decoded by Viterbi in numpy over batches of padded windows. A
     decoded span that touches no base span is added; base spans stay as they are.
 
-    Windows: a token without a digit, "@", "+" or a bracket is plain. Where all of a token and its
-    neighbours are plain, the scores are one constant vector. ``Field.plain_margin`` bounds what any
-    label but none could gain there, whatever the labels beside it; it is below 0 for the trained
-    weights, so every best path has none at such tokens, and only windows around other tokens are
-    decoded. If it were not, whole texts would be decoded.
+    Windows: a token without a digit, "@", "+" or a bracket is plain. The field is defined with the
+    label none wherever a token and both its neighbours are plain, in training and in decoding, so
+    chains fall apart there and only the windows around other tokens are decoded.
 
 Defined results
     * null and empty texts have no spans; offsets count code points, the end is exclusive.
@@ -156,7 +154,7 @@ at 5 (at most) it was [at] once
 CHUNK = re.compile(r"\S+")
 TRIGGER = re.compile(r"[0-9@+\[({]")
 STRIP_LEFT, STRIP_RIGHT = "<\"'[{,;:.!?", ">\"'])},;:.!?"
-KNOWN = frozenset("at dot call phone tel fax mail email card number address paid".split())
+KNOWN = frozenset("call phone tel fax mail email card number address paid".split())
 _MARK = re.compile(r"\[(email|ip|card|phone) ((?:[^\[\]]|\[(?:at|dot)\])+)\]")
 _RUNS = ((re.compile(r"[0-9]+"), "d"), (re.compile(r"[^\W\d_]+"), "a"))
 
@@ -179,7 +177,10 @@ def shape_features(token: str) -> tuple[str, ...]:
         shape = pattern.sub(to, shape)
     n = sum(c.isdigit() for c in core)
     digits = "".join(c for c in core if c in "0123456789")
-    out = [f"shape:{shape[:14]}", f"digits:{n if n < 6 else 'many' if n > 19 else '6-9' if n < 10 else '10-13' if n < 14 else '14-19'}", "marked"]
+    out = [f"shape:{shape[:14]}", "marked"]
+    if n and "@" not in core and any(c.isalpha() for c in core):
+        return (*out, "letters and digits")
+    out.append(f"digits:{n if n < 6 else 'many' if n > 19 else '6-9' if n < 10 else '10-13' if n < 14 else '14-19'}")
     runs = re.findall(r"[0-9]+", core)
     out.append("runs:" + "-".join(str(min(len(r), 9)) for r in runs[:4]))
     if 14 <= n <= 19:
@@ -202,6 +203,11 @@ def token_features(tokens: list[str], i: int) -> list[str]:
     return out
 
 
+def marked(tokens: list[str], i: int) -> bool:
+    """Whether the token or a neighbour is not plain, so labels other than none are allowed."""
+    return any(TRIGGER.search(t) for t in tokens[max(0, i - 1) : i + 2])
+
+
 def training_rows() -> list[tuple[list[str], list[int]]]:
     rows = []
     for line in TRAINING.split("\n"):
@@ -234,18 +240,10 @@ class Field:
         for i in range(len(tokens)):
             slots = [self.index[f] for f in token_features(tokens, i) if f in self.index]
             out[i] = self.weights[slots].sum(axis=0)
+            if not marked(tokens, i):
+                out[i, 1:] = -1e9
         return out
 
-    def plain_margin(self) -> float:
-        """The most that a label but none can gain at a token among plain ones."""
-        e = self.weights[[self.index[f] for f in ("plain", "-plain", "+plain") if f in self.index]].sum(axis=0)
-        t, most = self.moves, -np.inf
-        for y in range(1, len(LABELS)):
-            through = t[:, y][:, None] + t[y][None, :] - t[:, 0][:, None] - t[0][None, :]
-            ends = max((t[:, y] - t[:, 0]).max(), (t[y] - t[0]).max(), 0.0)
-            most = max(most, e[y] - e[0] + max(through.max(), ends))
-        return float(most)
-
     def viterbi(self, batch: list[np.ndarray]) -> list[np.ndarray]:
         """Best label paths of sequences of emissions, padded to one length and decoded together."""
         if not batch:
@@ -283,6 +281,11 @@ def trained(steps: int = 250, rate: float = 0.15, penalty: float = 0.02) -> Fiel
         for i in range(len(tokens)):
             x[r, i, [index[f] for f in token_features(tokens, i)]] = 1
         y[r, : len(labels)], mask[r, : len(labels)] = labels, True
+    free = np.zeros((n, longest, k))
+    for r, (tokens, _) in enumerate(rows):
+        for i in range(len(tokens)):
+            if not marked(tokens, i):
+                free[r, i, 1:] = -1e9
     gold = np.eye(k)[y] * mask[..., None]
     gold_moves = np.einsum("nti,ntj->ij", gold[:, :-1], gold[:, 1:])
     w, t = np.zeros((len(names), k)), np.zeros((k, k))
@@ -296,7 +299,7 @@ def trained(steps: int = 250, rate: float = 0.15, penalty: float = 0.02) -> Fiel
     flat = x.reshape(-1, len(names))
     lengths = mask.sum(axis=1)
     for step in range(1, steps + 1):
-        e = (flat @ w).reshape(n, longest, k)
+        e = (flat @ w).reshape(n, longest, k) + free
         f, b = np.zeros((n, longest, k)), np.zeros((n, longest, k))
         f[:, 0] = e[:, 0]
         for i in range(1, longest):
@@ -316,13 +319,10 @@ def trained(steps: int = 250, rate: float = 0.15, penalty: float = 0.02) -> Fiel
     return Field(index, w, t)
 
 
-def windows(text: str, everywhere: bool = False) -> list[tuple[list[str], list[int]]]:
+def windows(text: str) -> list[tuple[list[str], list[int]]]:
     """Runs of tokens, with their starts, that lie within two places of one that is not plain."""
-    if everywhere:
-        chunks = list(CHUNK.finditer(text))
-        return [([m.group() for m in chunks], [m.start() for m in chunks])] if chunks else []
     out: list[tuple[list[str], list[int]]] = []
-    reached, covered = -1, 0  # end of the last window's last token; tokens right of it still to take
+    reached = -1  # end of the last window
     pos = 0
     while m := TRIGGER.search(text, pos):
         left = m.start()
@@ -371,6 +371,11 @@ def _trim(token: str, start: int, end_of_kind: bool, start_of_kind: bool, kind:
     return start + a, start + max(b, a)
 
 
+def alone(token: str, kind: int) -> bool:
+    """Whether the token is a whole span of its kind, so beside another of the kind it stays apart."""
+    return {1: "inner@", 2: "octets", 3: "luhn:True"}.get(kind, "") in shape_features(token)
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], found: list[tuple[list[str], list[int], np.ndarray]]) -> list[tuple[int, int, int]]:
     """Runs of one label, without the marks around them, that touch no base span."""
     out, taken = [], sorted((a, b) for a, _, b in base)
@@ -379,7 +384,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], found: list[tuple[l
         while i < len(tokens):
             kind = int(labels[i])
             j = i
-            while j + 1 < len(tokens) and labels[j + 1] == kind:
+            while j + 1 < len(tokens) and labels[j + 1] == kind and not (kind and (alone(tokens[j], kind) or alone(tokens[j + 1], kind))):
                 j += 1
             if kind:
                 a = _trim(tokens[i], starts[i], i == j, True, kind)[0]
@@ -392,12 +397,11 @@ def added_spans(text: str, base: list[tuple[int, int, int]], found: list[tuple[l
 
 def find_all(texts: list[str | None], field: Field) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text; the windows of all texts are decoded as one batch."""
-    everywhere = field.plain_margin() >= 0
     base, wins, owner = [], [], []
     for i, text in enumerate(texts):
         text = text or ""
         base.append(base_spans(text) if TRIGGER.search(text) else [])
-        for w in windows(text, everywhere):
+        for w in windows(text):
             wins.append(w)
             owner.append(i)
     emissions = [field.emissions(tokens) for tokens, _ in wins]
