@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import bpe, decontaminate, media, near_dedup, pii, quality, shards, simple8b
+from quadrille.llm import bpe, decontaminate, media, near_dedup, pii, quality, quotes, shards, simple8b, warc
 from quadrille.llm.common import documents
 
 
@@ -23,6 +23,14 @@ def op2_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op3_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), shingle=3, threshold=(85, 100)).withColumnRenamed("id", "doc_id")
 
@@ -52,6 +60,8 @@ def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simple8b_ids": op1_simple8b_ids,
     "op2_media_archive": op2_media_archive,
+    "op3_quote_links": op3_quote_links,
+    "op4_warc_derivatives": op4_warc_derivatives,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_bpe_automaton": op7_bpe_automaton,
@@ -60,7 +70,7 @@ QUERIES = {
     "op10_pii_crf": op10_pii_crf,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_quote_links": quotes.ORACLE}
 
 
 def queries() -> dict:
