@@ -15,9 +15,9 @@ Method
     path is read back from the end. Decoding emits the arcs' labels. Words are cached, up to a bound.
 
     Texts are cut at special tokens, normalised and split as the vocabulary file says: NFC, white
-    space to one space, lower case, then the words of its pattern. The file's pattern runs in the
-    ``regex`` library for scripts that both engines hold in the same classes, and in the tokenizers
-    library's own splitter for texts with other characters.
+    space to one space, lower case, then the words of its pattern. For scripts whose classes are
+    settled the pattern runs in the standard library; texts with other characters go through the
+    tokenizers library's own normaliser and splitter.
 
 Defined results
     * null and empty texts have no tokens and decode to the empty text.
@@ -29,17 +29,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import bounded_batches, ids_and_texts
 
 CACHE_WORDS = 200_000
+CACHE_ARCS = 400_000
 LONGEST_CACHED = 64
 
 
@@ -130,20 +131,31 @@ class Encoder:
         self.symbols = byte_symbols()
         pre = spec["pre_tokenizer"]["pretokenizers"]
         pattern = next(p["pattern"]["Regex"] for p in pre if p["type"] == "Split")
-        self.words = regex.compile(pattern)
-        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.specials) + ")") if self.specials else None
+        self.plain = pattern == self.PATTERN
+        self.cut = re.compile("(" + "|".join(re.escape(s) for s in self.specials) + ")") if self.specials else None
         self.path = path
         self._library = None
+        # tokens within a word, with -1 for mere beginnings of some; tokens at a word's end, without the mark
+        cut = len(self.end)
+        self.final = {t[: len(t) - cut]: i for t, i in self.vocab.items() if t.endswith(self.end)}
+        within = [(t, i) for t, i in self.vocab.items() if not (cut and t.endswith(self.end))]
+        self.inner = {t[:k]: -1 for t, _ in within for k in range(1, len(t))} | dict(within)
+        self.ids = {i: str(i) for i in self.tokens}
+        # words of now, and of the time before; arcs that were looked up
         self.cache: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
+        self.arcs: dict[int, bool] = {}
 
-    # scripts whose letters, digits and cases are settled: Latin to Cyrillic and general punctuation
-    USUAL = regex.compile(r"[\x00-\x1b\x20-\x84\x86-\u012f\u0131-\u02ff\u0388-\u03a1\u03a4-\u0481\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*+\Z")
-    SPACE = regex.compile(r"\s+")
+    # scripts whose letters, digits and cases are settled: Latin to Cyrillic and general punctuation, without
+    # the numbers that are no digits. In them the file's pattern is PLAIN, for the standard library's engine.
+    USUAL = re.compile("[\\x00-\\x1b\\x20-\\x84\\x86-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\u012f\u0131-\u02ff\u0388-\u03a1\u03a4-\u0481\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*+\\Z")
+    PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def split(self, text: str) -> list[str]:
-        """The words of a text without special tokens, normalised."""
-        if self.USUAL.match(text):
-            return self.words.findall(self.SPACE.sub(" ", unicodedata.normalize("NFC", text)).lower())
+        """The words of a text without special tokens, normalised. White space is in no word."""
+        if self.plain and self.USUAL.match(text):
+            return self.PLAIN.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
         if self._library is None:
             from tokenizers import Tokenizer
 
@@ -156,17 +168,34 @@ class Encoder:
     def encode_word(self, word: str) -> list[int]:
         """One pass over the word's bytes; at each place one token has an arc."""
         symbols = "".join([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")])
-        n, vocab, follows = len(symbols), self.vocab, self.automaton.follows
+        n, inner, final, arcs = len(symbols), self.inner, self.final, self.arcs
         last, back = [-1] * (n + 1), [0] * (n + 1)  # the label of the arc that ends here: its target is the state
-        for i in range(1, n + 1):
-            tail = self.end if i == n else ""
-            for j in range(max(0, i - self.longest), i):
-                label = vocab.get(symbols[j:i] + tail)
-                if label is not None and (j == 0 or follows(last[j], label)):
-                    last[i], back[i] = label, j
-                    break
-            else:
+        for j in range(n):
+            before, i = last[j], j
+            if j and before < 0:
                 raise ValueError("a byte has no base symbol in the vocabulary")
+            while True:
+                i += 1
+                if i < n:
+                    label = inner.get(symbols[j:i])
+                    if label is None:  # no token begins like this: the last place is left to try
+                        i = n
+                if i == n:
+                    label = final.get(symbols[j:]) if n - j <= self.longest else None
+                if label is not None and label >= 0 and last[i] < 0:
+                    if j:
+                        key = before << 20 | label
+                        ok = arcs.get(key)
+                        if ok is None:
+                            if len(arcs) >= CACHE_ARCS:
+                                arcs.clear()
+                            ok = arcs[key] = self.automaton.follows(before, label)
+                    else:
+                        ok = True
+                    if ok:
+                        last[i], back[i] = label, j
+                if i == n:
+                    break
         out, i = [], n
         while i:
             out.append(last[i])
@@ -177,11 +206,13 @@ class Encoder:
         """(number of tokens, ids joined by spaces, tokens joined by spaces)."""
         got = self.cache.get(word)
         if got is None:
-            ids = self.encode_word(word)
-            got = len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids])
+            got = self.older.get(word)
+            if got is None:
+                ids = self.encode_word(word)
+                got = len(ids), " ".join([self.ids[i] for i in ids]), " ".join([self.tokens[i] for i in ids])
             if len(word) <= LONGEST_CACHED:
                 if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
+                    self.older, self.cache = self.cache, {}
                 self.cache[word] = got
         return got
 
