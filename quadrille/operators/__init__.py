@@ -1 +1 @@
-
+"""The operations on a graph."""

@@ -1 +1 @@
-
+"""Incremental ingest of RDF lines. The operations themselves are batch plans."""
