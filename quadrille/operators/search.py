@@ -19,7 +19,7 @@ from quadrille.operators.graph import Graph
 
 EXACT, NORMALIZED = "exact", "normalized"
 K1, B = 1.2, 0.75
-STEM = r"(?:ing|ed|es|s)$"
+STEM = r"^(.{3,}?)(?:ing|ed|es|s)$"
 
 
 def tokens(text: Column) -> Column:
@@ -27,7 +27,7 @@ def tokens(text: Column) -> Column:
 
 
 def stemmed(token: Column) -> Column:
-    return F.when(F.length(token) > 4, F.regexp_replace(token, STEM, "")).otherwise(token)
+    return F.regexp_replace(token, STEM, "$1")
 
 
 def hits(graph: Graph, query: str, predicates: list[str] | None = None) -> DataFrame:

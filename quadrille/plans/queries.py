@@ -264,7 +264,7 @@ def term_parts(spark, d):
 
 
 _WORDS = "list_filter(regexp_split_to_array(lower(lex), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
-_STEM = "list_transform(words, lambda x: CASE WHEN length(x) > 4 THEN regexp_replace(x, '(?:ing|ed|es|s)$', '') ELSE x END)"
+_STEM = "list_transform(words, lambda x: regexp_replace(x, '^(.{3,}?)(?:ing|ed|es|s)$', '\\1'))"
 _HITS = f"""d AS (SELECT DISTINCT o, {LEX} AS lex FROM t WHERE o LIKE '"%'), w AS (SELECT o, {_WORDS} AS words FROM d),
 n AS (SELECT o, words, len(words)::DOUBLE AS size, len(list_filter({_STEM}, lambda x: x = 'the'))::DOUBLE AS n0, len(list_filter({_STEM}, lambda x: x = 'thing'))::DOUBLE AS n1 FROM w),
 c AS (SELECT count(*)::DOUBLE AS literals, avg(size) AS mean, sum((n0 > 0)::INT)::DOUBLE AS df0, sum((n1 > 0)::INT)::DOUBLE AS df1 FROM n),
