@@ -137,7 +137,7 @@ class _Reader:
                 self.fail("an IRI has no blanks")
             return Term("iri", word)
         m = _CURIE.match(word)
-        if not m:
+        if not m or any(c.isspace() for c in word):
             self.fail("a term is <iri>, prefix:name, a quoted literal or a statement")
         if (m[1] or "") not in self.prefixes:
             self.fail(f"the prefix {m[1] or ''!r} is not declared")
