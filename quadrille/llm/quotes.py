@@ -57,7 +57,8 @@ def link_quotes(table: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     # uid is the range in the high bits and the place in the range in the low 33
     of_range, in_range = F.shiftright("uid", 33), F.col("uid").bitwiseAND((1 << 33) - 1)
     sizes = placed.groupBy(of_range.alias("range")).agg(F.count(F.lit(1)).alias("m"))  # one row for each range
-    before = sizes.alias("x").join(sizes.alias("y"), F.col("y.range") < F.col("x.range"), "left").groupBy(F.col("x.range").alias("range")).agg(F.coalesce(F.sum("y.m"), F.lit(0)).alias("before"))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("range", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"))
     messages = placed.withColumn("range", of_range).join(F.broadcast(before), "range").withColumn("place", F.col("before") + in_range).drop("range", "before")
 
     quoting = placed.filter(F.col("text").rlike(QUOTED) & F.col("conv").isNotNull()).select("conv").distinct()
