@@ -242,6 +242,14 @@ def ntriples(c: Column) -> Column:
     return F.when(is_literal(c), F.concat(F.lit('"'), escaped, F.lit('"'), _suffix(c))).when(is_blank(c), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
 
 
+SKOLEM = "urn:x-quadrille:bnode:v1:sha256:"
+
+
+def skolemized(c: Column, scope: str) -> Column:
+    """Blank nodes as IRIs of their graph's scope, other terms as they are: how nodes are published."""
+    return F.when(is_blank(c), F.concat(F.lit(SKOLEM), F.sha2(F.concat(F.lit(scope + "\t"), c), 256))).otherwise(c)
+
+
 def as_json(c: Column) -> Column:
     """{"type", "value"} with "lang" or "datatype" for literals that have them."""
     kind = F.when(is_literal(c), "literal").when(is_blank(c), "bnode").otherwise("iri")

@@ -128,6 +128,14 @@ class Graph:
         name = UNNAMED if g in ("unnamed", UNNAMED) else self.parse(g).stored()
         return self.memberships.filter(F.col("g") == name).select("s", "p", "o"), False
 
+    def published(self, rows: DataFrame) -> DataFrame:
+        """rows with blank nodes under IRIs that requests can name."""
+        return rows.select(*(terms.skolemized(F.col(c), self.identity).alias(c) if c in ("s", "o") else F.col(c) for c in rows.columns))
+
+    def addressed(self) -> "Graph":
+        """This graph with its blank nodes under their published IRIs."""
+        return Graph(self.published(self.triples), self.published(self.memberships) if self.quads_given else None, self.propositions, self.prefixes, self.roles, self.identity)
+
     def graphs(self) -> DataFrame:
         """(ord, graph, count): the unnamed graph first, if it has triples, then names in order."""
         counts = self.memberships.groupBy(F.col("g").alias("graph")).agg(F.count(F.lit(1)).alias("count"))
