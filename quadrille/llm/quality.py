@@ -38,7 +38,7 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 FEATURES = 1 << 20
 TRAIN_ROWS = 6000
 THRESHOLD = 0.3
-CACHE_TOKENS = 300_000
+CACHE_TOKENS = 150_000
 #: Class numbers of words; punctuation has numbers from PUNCTUATION on.
 LOWER, TITLE, UPPER, DIGITS, MIXED, AGAIN, PUNCTUATION = range(1, 8)
 
