@@ -8,8 +8,10 @@ Method
     looks for windows and items that agree in all places a hash function samples. What agrees once
     is verified exactly by Sellers' dynamic programme over the words around the windows.
 
-    A window in which fewer than L - floor(rate * L) words are words of any item cannot match one,
-    so only the other windows are embedded; a running sum tells them and loses nothing.
+    A window in which fewer than L - floor(rate * L) words are words of any item of L words cannot
+    match one. Nor can one in which a word differs from the one before it in over 2 * floor(rate * L)
+    places less than in any such item, for one edit changes two of them at most. Only the other
+    windows are embedded; running sums tell them and lose nothing.
 
     ``walks`` embeddings with ``hashes`` hash functions of ``places`` sampled places each give the
     target recall; the tests measure it against brute force. There is no cap on candidates.
@@ -78,8 +80,13 @@ class Matcher:
         self.mixers = self.draw.integers(1, 1 << 62, (walks, hashes, places), dtype=np.int64) | 1
         self.tables: dict[int, list[dict[int, list[int]]]] = {}
         self.sampled: dict[int, np.ndarray] = {}
+        self.turns: dict[int, int] = {}  # by length: places where a word differs from the one before, at least
+        self.used: dict[int, np.ndarray] = {}  # by length: 1 for the words of its items
         for length in self.lengths:
             own = [k for k, x in enumerate(self.items) if len(x) == length]
+            self.used[length] = np.zeros(len(self.vocab) + 1, np.int32)
+            self.used[length][np.concatenate([self.items[k] for k in own])] = 1
+            self.turns[length] = min(int((np.diff(self.items[k]) != 0).sum()) for k in own)
             # places where both walks are still inside their strings, for the most part
             self.sampled[length] = self.draw.integers(0, max(1, 2 * length), (walks, hashes, places))
             keys = self.keys(np.stack([self.items[k] for k in own]), length)
@@ -90,7 +97,6 @@ class Matcher:
                     table.setdefault(key, []).append(k)
                 tables.append(table)
             self.tables[length] = tables
-            self.arrays = None
 
     def keys(self, windows: np.ndarray, length: int) -> np.ndarray:
         """One key for each window (a row of symbols) and hash function."""
@@ -129,13 +135,18 @@ class Matcher:
         all_words = np.concatenate(parts)
         starts = np.concatenate([[0], np.cumsum(sizes)])
         owner = np.repeat(np.arange(len(texts)), sizes)
-        known = np.concatenate([[0], np.cumsum(all_words > 0)])
+        known = np.zeros(len(all_words) + 1, np.int32)
+        # words that no item has count as different from one another, which can only keep a window
+        turned = np.zeros(len(all_words) + 1, np.int32)
+        np.cumsum((all_words[1:] != all_words[:-1]) | (all_words[1:] == 0), out=turned[2:])
         hits: dict[tuple[int, int], list[int]] = {}
         for length in self.lengths:
             if len(all_words) < length:
                 break
             need = length - math.floor(self.rate * length)
+            np.cumsum(self.used[length][all_words], out=known[1:])
             at = np.flatnonzero(known[length:] - known[:-length] >= need)
+            at = at[turned[at + length] - turned[at + 1] >= self.turns[length] - 2 * (length - need)]
             at = at[owner[at] == owner[at + length - 1]]
             for part in range(0, len(at), 4096):
                 own = at[part : part + 4096]
@@ -149,7 +160,6 @@ class Matcher:
             item = self.items[k]
             edits = math.floor(self.rate * len(item))
             best: tuple[int, int] | None = None
-            lo = hi = -1
             spans: list[tuple[int, int]] = []
             for at in sorted(set(hits[doc, k])):
                 a = max(int(starts[doc]), at - edits)

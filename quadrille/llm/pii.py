@@ -34,7 +34,6 @@ from quadrille.llm.common import bounded_batches, ids_and_texts
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 
-LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -65,8 +64,6 @@ def emails(text: str) -> list[tuple[int, int]]:
             out.append((start, m.end()))
             last = m.end()
         at = text.find("@", max(at + 1, last))
-        if not m and at >= 0:
-            last = max(last, 0)
     return out
 
 
