@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions import terms, texts
@@ -11,7 +11,7 @@ from quadrille.operators import joins, keysets, labels, search, stats, verbalize
 from quadrille.operators.graph import Graph
 from quadrille.plans.registry import register
 from quadrille.sources import mapping, ntriples
-from quadrille.sources.mapping import BASE, CORE, FULL, SKOS, UNNAMED
+from quadrille.sources.mapping import BASE, FULL, SKOS, UNNAMED
 
 P, C = BASE + "p/", BASE + "c/"
 PREFIXES = {"d": BASE, "p": P, "c": C, "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "skos": SKOS, "rdf": terms.RDF, "xsd": mapping.XSD}
@@ -24,12 +24,12 @@ FRAGMENT = "CASE WHEN {x} LIKE '%#%' THEN regexp_extract({x}, '(?s)^.*#(.*)$', 1
 HUMAN = "trim(regexp_replace(regexp_replace(replace(replace({x}, '_', ' '), '-', ' '), '(\\p{{Ll}})(\\p{{Lu}})', '\\1 \\2', 'g'), '\\s+', ' ', 'g'))"
 
 
-def core(spark: SparkSession, d: str) -> Graph:
-    return Graph(mapping.triples(spark, d), prefixes=PREFIXES)
+def core(spark: SparkSession, d: str, whole: bool = False) -> Graph:
+    return Graph(mapping.triples(spark, d, whole=whole), prefixes=PREFIXES)
 
 
-def full(spark: SparkSession, d: str) -> Graph:
-    return Graph(mapping.triples(spark, d, FULL), prefixes=PREFIXES)
+def full(spark: SparkSession, d: str, whole: bool = False) -> Graph:
+    return Graph(mapping.triples(spark, d, FULL, whole=whole), prefixes=PREFIXES)
 
 
 def quads(spark: SparkSession, d: str) -> Graph:
@@ -46,7 +46,7 @@ def claims(spark: SparkSession, d: str) -> Graph:
 
 @register("fragment_all", T + "SELECT s, p, o FROM t")
 def fragment_all(spark, d):
-    return core(spark, d).fragment().rows
+    return core(spark, d, whole=True).fragment().rows
 
 
 @register("fragment_p", T + f"SELECT s, o FROM t WHERE p = '{P}o_custkey'")
@@ -92,7 +92,7 @@ def count_p(spark, d):
 
 @register("count_all", TFULL + "SELECT count(*) AS count FROM t")
 def count_all(spark, d):
-    return full(spark, d).count()
+    return full(spark, d, whole=True).count()
 
 
 _ORDER = "row_number() OVER (ORDER BY (p.s NOT IN (SELECT o FROM t WHERE o IS NOT NULL))::INT, p.s, p.p, (p.o NOT IN (SELECT s FROM t))::INT, p.o) AS pos"
@@ -141,7 +141,7 @@ def distinct_bindings(spark, d):
 
 @register("distinct_p", TFULL + "SELECT p AS value, count(*) AS count FROM t GROUP BY p")
 def distinct_p(spark, d):
-    return full(spark, d).distinct("p")
+    return full(spark, d, whole=True).distinct("p")
 
 
 @register("distinct_p_o", TFULL + f"SELECT o AS value, count(*) AS count FROM t WHERE p = '{P}l_suppkey' GROUP BY o")
@@ -194,17 +194,17 @@ _ROLES = "(SELECT term, max(s) AS in_s, max(p) AS in_p, max(o) AS in_o FROM (SEL
 
 @register("terms_sections", T + f"SELECT term, CASE WHEN in_s + in_o = 2 THEN 'shared' WHEN in_s = 1 THEN 'subjects' WHEN in_o = 1 THEN 'objects' ELSE 'predicates' END AS section FROM {_ROLES}")
 def terms_sections(spark, d):
-    return core(spark, d).terms().select("term", "section")
+    return core(spark, d, whole=True).terms().select("term", "section")
 
 
 @register("terms_prefix", T + f"SELECT term, in_s = 1 AS in_s, in_p = 1 AS in_p, in_o = 1 AS in_o FROM {_ROLES} WHERE starts_with(term, '{BASE}nation/') ORDER BY term LIMIT 100")
 def terms_prefix(spark, d):
-    return core(spark, d).term_prefix(BASE + "nation/", limit=100)
+    return core(spark, d, whole=True).term_prefix(BASE + "nation/", limit=100)
 
 
 @register("terms_count", T + f"SELECT sum(in_s)::BIGINT AS subject, sum(in_p)::BIGINT AS predicate, sum(in_o)::BIGINT AS object, count(*) AS \"any\" FROM {_ROLES} WHERE starts_with(term, '{BASE}')")
 def terms_count(spark, d):
-    return core(spark, d).term_counts(BASE)
+    return core(spark, d, whole=True).term_counts(BASE)
 
 
 @register("describe", T + f"SELECT 'out' AS direction, s, p, o FROM t WHERE s = '{BASE}nation/7' UNION ALL SELECT 'in', s, p, o FROM t WHERE o = '{BASE}nation/7'")
@@ -220,7 +220,7 @@ def sample(spark, d):
 
 @register("shared_terms", T + "SELECT DISTINCT s AS shared FROM t WHERE s IN (SELECT o FROM t)")
 def shared_terms(spark, d):
-    return core(spark, d).shared
+    return core(spark, d, whole=True).shared
 
 
 # -- labels, names, search -------------------------------------------------------------------------
@@ -251,7 +251,7 @@ def labels_hydrated(spark, d):
 
 @register("names_fallback", T + f"SELECT DISTINCT p, {HUMAN.format(x=FRAGMENT.format(x='p'))} AS name FROM t")
 def names_fallback(spark, d):
-    g = core(spark, d)
+    g = core(spark, d, whole=True)
     return g.triples.select("p").distinct().select("p", texts.fallback_label(F.col("p")).alias("name"))
 
 
@@ -260,7 +260,7 @@ CASE WHEN {TAG} IS NOT NULL THEN '{terms.RDF_LANG}' ELSE coalesce(nullif(regexp_
 FROM t WHERE o LIKE '"%'""")
 def term_parts(spark, d):
     o = F.col("o")
-    return core(spark, d).triples.filter(terms.is_literal(o)).select("o").distinct().select(o.alias("term"), terms.lexical(o).alias("lex"), terms.language(o).alias("lang"), terms.datatype(o).alias("datatype"))
+    return core(spark, d, whole=True).triples.filter(terms.is_literal(o)).select("o").distinct().select(o.alias("term"), terms.lexical(o).alias("lex"), terms.language(o).alias("lang"), terms.datatype(o).alias("datatype"))
 
 
 _WORDS = "list_filter(regexp_split_to_array(lower(lex), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
@@ -298,12 +298,12 @@ _RELATIONS = "SELECT a.class AS subject_class, t.p AS predicate, b.class AS obje
 
 @register("void_totals", TFULL + f"SELECT {_DISTINCTS}, count(DISTINCT p) AS properties FROM t")
 def void_totals(spark, d):
-    return stats.totals(full(spark, d).triples)
+    return stats.totals(full(spark, d, whole=True).triples)
 
 
 @register("void_property_partitions", TFULL + f"SELECT p AS predicate, {_DISTINCTS} FROM t GROUP BY p")
 def void_property_partitions(spark, d):
-    return stats.properties(full(spark, d).triples)
+    return stats.properties(full(spark, d, whole=True).triples)
 
 
 @register("void_class_partitions", TFULL + f", {_TYPES} SELECT class, count(*) AS entities FROM y GROUP BY class")
@@ -313,38 +313,38 @@ def void_class_partitions(spark, d):
 
 @register("void_class_properties", TFULL + f", {_TYPES} SELECT class, p AS predicate, {_DISTINCTS} FROM t JOIN y ON y.node = t.s GROUP BY class, p")
 def void_class_properties(spark, d):
-    return stats.class_properties(full(spark, d).triples)
+    return stats.class_properties(full(spark, d, whole=True).triples)
 
 
 @register("void_class_relations", TFULL + f", {_TYPES} {_RELATIONS}")
 def void_class_relations(spark, d):
-    return stats.class_relations(full(spark, d).triples)
+    return stats.class_relations(full(spark, d, whole=True).triples)
 
 
 @register("void_datatypes", T + f""", {_TYPES} SELECT class, p AS predicate, CASE WHEN {TAG} IS NOT NULL THEN '{terms.RDF_LANG}' ELSE coalesce(nullif(regexp_extract(o, '(?s)^".*"\\^\\^<([^<>"]*)>$', 1), ''), '{terms.XSD_STRING}') END AS datatype, count(*) AS triples
 FROM t JOIN y ON y.node = t.s WHERE o LIKE '"%' GROUP BY ALL""")
 def void_datatypes(spark, d):
-    return stats.datatypes(core(spark, d).triples)
+    return stats.datatypes(core(spark, d, whole=True).triples)
 
 
 @register("void_languages", T + f", {_TYPES} SELECT class, p AS predicate, {TAG} AS language, count(*) AS triples FROM t JOIN y ON y.node = t.s WHERE o LIKE '\"%' AND {TAG} IS NOT NULL GROUP BY ALL")
 def void_languages(spark, d):
-    return stats.languages(core(spark, d).triples)
+    return stats.languages(core(spark, d, whole=True).triples)
 
 
 @register("void_graph_properties", M + f"SELECT g, p AS predicate, {_DISTINCTS} FROM m GROUP BY g, p")
 def void_graph_properties(spark, d):
-    return stats.properties(quads(spark, d).memberships, ["g"])
+    return stats.properties(mapping.triples(spark, d, graph=True, whole=True), ["g"])
 
 
 @register("schema_relations_page", T + f", {_TYPES} {_RELATIONS} ORDER BY triples DESC, subject_class, predicate, object_class LIMIT 1000")
 def schema_relations_page(spark, d):
-    return stats.relations_page(core(spark, d).triples)
+    return stats.relations_page(core(spark, d, whole=True).triples)
 
 
 @register("schema_children", T + f", {_TYPES} SELECT p AS predicate, {_DISTINCTS} FROM t JOIN y ON y.node = t.s WHERE class = '{C}Customer' GROUP BY p")
 def schema_children(spark, d):
-    return stats.schema_children(stats.tidy(core(spark, d).triples), "class", "properties", cls=C + "Customer", limit=1000).select("predicate", "triples", "distinct_subjects", "distinct_objects")
+    return stats.schema_children(stats.tidy(core(spark, d, whole=True).triples), "class", "properties", cls=C + "Customer", limit=1000).select("predicate", "triples", "distinct_subjects", "distinct_objects")
 
 
 _SPACES = [(k, ns) for k, ns in sorted(PREFIXES.items(), key=lambda kv: (-len(kv[1]), kv[0]))]
@@ -353,7 +353,7 @@ _OWNER = "CASE " + " ".join(f"WHEN starts_with(term, '{ns}') THEN '{k}'" for k,
 
 @register("namespaces", T + f", r AS (SELECT {_OWNER} AS prefix, in_s, in_p, in_o FROM {_ROLES} WHERE term NOT LIKE '\"%' AND term NOT LIKE '\\_:%' ESCAPE '\\') SELECT prefix, sum(in_s)::BIGINT AS subjects, sum(in_p)::BIGINT AS predicates, sum(in_o)::BIGINT AS objects FROM r GROUP BY prefix")
 def namespaces(spark, d):
-    return stats.namespaces(core(spark, d).triples, PREFIXES).drop("namespace")
+    return stats.namespaces(core(spark, d, whole=True).triples, PREFIXES).drop("namespace")
 
 
 @register("summary", T + f""", {_TYPES}, a AS (SELECT 'classes' AS section, class AS name, count(*) AS count FROM y GROUP BY class UNION ALL SELECT 'properties', p, count(*) FROM t GROUP BY p
@@ -361,7 +361,7 @@ UNION ALL SELECT 'relations', subject_class || ' ' || predicate || ' ' || object
 r AS (SELECT section, name, count, row_number() OVER (PARTITION BY section ORDER BY count DESC, name) - 1 AS ord FROM a)
 SELECT section, ord, name, count FROM r WHERE ord < 10""")
 def summary(spark, d):
-    return stats.summary(core(spark, d).triples)
+    return stats.summary(core(spark, d, whole=True).triples)
 
 
 # -- statement terms -------------------------------------------------------------------------------
@@ -414,18 +414,18 @@ def verbalize_orders_template(spark, d):
 
 @register("ntriples_lines", T + """SELECT '<' || s || '> <' || p || '> ' || CASE WHEN o LIKE '"%' THEN '"' || replace(replace(replace(replace(""" + LEX + """, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r') || '"' || regexp_extract(o, '(?s)^".*"((?:@[A-Za-z0-9-]+|\\^\\^<[^<>"]*>)?)$', 1) ELSE '<' || o || '>' END || ' .' AS value FROM t""")
 def ntriples_lines(spark, d):
-    return ntriples.lines(core(spark, d).triples)
+    return ntriples.lines(core(spark, d, whole=True).triples)
 
 
 @register("ntriples_round_trip", T + "SELECT s, p, o FROM t")
 def ntriples_round_trip(spark, d):
     """Lines written and parsed again."""
-    return ntriples.parse_lines(ntriples.lines(core(spark, d).triples))[0].select("s", "p", "o")
+    return ntriples.parse_lines(ntriples.lines(core(spark, d, whole=True).triples))[0].select("s", "p", "o")
 
 
 @register("key_set_sections", T + f"SELECT CASE WHEN in_s + in_o = 2 THEN 'shared' WHEN in_s = 1 THEN 'subjects' ELSE 'objects' END AS section, count(*) AS keys FROM {_ROLES} WHERE in_s + in_o > 0 GROUP BY ALL")
 def key_set_sections(spark, d):
-    return keysets.key_set(core(spark, d)).groupBy("section").agg(F.count_distinct("key").alias("keys"))
+    return keysets.key_set(core(spark, d, whole=True)).groupBy("section").agg(F.count_distinct("key").alias("keys"))
 
 
 @register("overlap_terms", "SELECT DISTINCT o AS term FROM (" + mapping.sql(("customer", "nation")) + ") WHERE o IN (SELECT o FROM (" + mapping.sql(("supplier", "nation")) + ")) UNION SELECT DISTINCT s FROM (" + mapping.sql(("nation",)) + ")")

@@ -2,8 +2,10 @@
 
 A row is a subject ``http://data/<table>/<key>`` of class ``http://data/c/<Class>``; a column is a
 predicate ``http://data/p/<column>``; a foreign key is the IRI of the row it names; other values are
-literals in dictionary syntax. Every branch of the union reads two columns and has its predicate as
-a literal, so a filter on the predicate leaves one branch to be scanned.
+literals in dictionary syntax. The mapping has two forms of the same rows. For patterns, every
+branch of a union reads two columns and has its predicate as a literal, so a filter on the predicate
+leaves one branch to be scanned. For operations over the whole graph, every table is scanned once
+and its rows are exploded.
 """
 
 from __future__ import annotations
@@ -67,17 +69,23 @@ def branches(table: str, spark: bool) -> list[tuple[str, str, str]]:
     return out
 
 
-def triples(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = CORE, graph: bool = False) -> DataFrame:
-    """Distinct (s, p, o) of the tables, or (s, p, o, g) with their graphs."""
+def triples(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = CORE, graph: bool = False, whole: bool = False) -> DataFrame:
+    """Distinct (s, p, o) of the tables, or (s, p, o, g) with their graphs; whole: one scan of each table."""
     parts = []
     for table in tables:
         rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-        for s, p, o in branches(table, True):
-            one = rows.selectExpr(f"{s} AS s", f"{p} AS p", f"{o} AS o").filter("s IS NOT NULL AND o IS NOT NULL")
+        if whole:
+            own = branches(table, True)
+            pairs = ", ".join(f"struct({p} AS p, {o} AS o)" for _, p, o in own)
+            forms = [rows.selectExpr(f"{own[0][0]} AS s", f"explode(array({pairs})) AS x").selectExpr("s", "x.p", "x.o")]
+        else:
+            forms = [rows.selectExpr(f"{s} AS s", f"{p} AS p", f"{o} AS o") for s, p, o in branches(table, True)]
+        for one in forms:
+            one = one.filter("s IS NOT NULL AND o IS NOT NULL")
             one = one if TABLES[table][4] else one.distinct()
             if graph:
-                own = one.selectExpr("s", "p", "o", f"'{BASE}g/{table}' AS g")
-                one = own.union(one.selectExpr("s", "p", "o", f"'{UNNAMED}' AS g")) if table in TWICE else own
+                own_graph = one.selectExpr("s", "p", "o", f"'{BASE}g/{table}' AS g")
+                one = own_graph.union(one.selectExpr("s", "p", "o", f"'{UNNAMED}' AS g")) if table in TWICE else own_graph
             parts.append(one)
     return reduce(DataFrame.union, parts)
 
