@@ -54,13 +54,18 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     wide = ids >= ESCAPE
     escapes = ids[wide].astype(np.uint32)
     x = np.where(wide, np.uint64(ESCAPE), ids)
-    choice, at = np.full(n, 12, np.int64), np.arange(n)
-    for s in range(12, -1, -1):
+    choice = np.full(n, 12, np.int64)
+    # past the end stand zeros, so a last word may be part filled
+    padded = np.concatenate([x, np.zeros(240, np.uint64)])
+    fits, values = np.arange(n + 240), padded.astype(np.uint16)
+    for s in range(11, -1, -1):
         count, bits = SELECTORS[s]
-        # where the next id that needs more bits stands; past the end stand zeros without end
-        over = np.where(x >> np.uint64(bits) > 0, at, n + 240)
-        upcoming = np.minimum.accumulate(over[::-1])[::-1]
-        choice[upcoming - at >= count] = s
+        own = values < (1 << bits)
+        fits, values = fits[own], values[own]  # what fits fewer bits is among what fits more
+        # count successive places that fit, by their first
+        first = fits[: len(fits) - count + 1]
+        first = first[fits[count - 1 :] - first == count - 1]
+        choice[first[first < n]] = s
     steps = np.array([c for c, _ in SELECTORS])[choice].tolist()
     starts, i = [], 0
     while i < n:
@@ -69,7 +74,6 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.array(starts, np.int64)
     used = choice[starts] if n else np.empty(0, np.int64)
     words = used.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([x, np.zeros(240, np.uint64)])
     for s, (count, bits) in enumerate(SELECTORS):
         own = np.flatnonzero(used == s)
         if bits and len(own):
@@ -154,10 +158,19 @@ class Written(WriterCommitMessage):
 
 
 class Simple8bWriter(DataSourceArrowWriter):
-    """Takes rows (doc_id long, ids binary: little-endian 32-bit), in order, of one range a task."""
+    """Takes rows of one range a task, in order: (doc_id long, ids binary: little-endian 32-bit).
+
+    With a tokenizer's file it takes (doc_id long, text string) and encodes in the same worker.
+    """
 
-    def __init__(self, uri: str):
-        self.uri = uri
+    def __init__(self, uri: str, tokenizer: str | None = None, end_id: int | None = None):
+        self.uri, self.tokenizer = uri, tokenizer
+        self.tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+
+    def id_bytes(self, column: pa.Array) -> list[bytes]:
+        if self.tokenizer is None:
+            return [x or b"" for x in column.to_pylist()]
+        return [x + self.tail for x in piece_encoder(self.tokenizer).encode(column.to_pylist())]
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         context = TaskContext.get()
@@ -181,8 +194,8 @@ class Simple8bWriter(DataSourceArrowWriter):
                     pending = 0
 
             for batch in iterator:
-                for i, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    own.append(np.frombuffer(ids.as_py(), "<u4"))
+                for i, ids in zip(batch.column(0).to_pylist(), self.id_bytes(batch.column(1))):
+                    own.append(np.frombuffer(ids, "<u4"))
                     names.append(i)
                     pending += len(own[-1])
                     if pending >= BLOCK_IDS:
@@ -213,10 +226,10 @@ class Blocks(InputPartition):
 
 
 class Simple8bReader(DataSourceReader):
-    """One partition for each file; each yields (doc_id, start, ids)."""
+    """One partition for each file; each yields (doc_id, start, ids), or with digests (doc_id, start, n_tokens, ids_crc32)."""
 
-    def __init__(self, uri: str):
-        self.uri = uri
+    def __init__(self, uri: str, digests: bool = False):
+        self.uri, self.digests = uri, digests
 
     def partitions(self) -> list[InputPartition]:
         system, path = files.place(self.uri)
@@ -236,14 +249,13 @@ class Simple8bReader(DataSourceReader):
         for block in read_footer(self.uri, partition.name, partition.size):
             ids, lengths, names, known = decode_block(files.ranged(self.uri, partition.name, block.offset, block.size()), block)
             ends = np.cumsum(lengths)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(names, pa.int64(), mask=~known),
-                    pa.array(start + ends - lengths),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int64))),
-                ],
-                ["doc_id", "start", "ids"],
-            )
+            columns = {"doc_id": pa.array(names, pa.int64(), mask=~known), "start": pa.array(start + ends - lengths)}
+            if self.digests:
+                columns["n_tokens"] = pa.array(lengths, pa.int64())
+                columns["ids_crc32"] = pa.array([zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends - lengths, ends)], pa.int64())
+            else:
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
             start += int(ends[-1])
 
 
@@ -253,77 +265,131 @@ class Simple8b(DataSource):
         return "simple8b"
 
     def schema(self) -> str:
-        return "doc_id long, start long, ids array<long>"
+        rest = "n_tokens long, ids_crc32 long" if self.options.get("digests") == "true" else "ids array<long>"
+        return f"doc_id long, start long, {rest}"
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         files.made(self.options["path"])
-        return Simple8bWriter(self.options["path"])
+        return Simple8bWriter(self.options["path"], self.options.get("tokenizer"), self.options.get("end_id"))
 
     def reader(self, schema) -> DataSourceReader:
-        return Simple8bReader(self.options["path"])
+        return Simple8bReader(self.options["path"], self.options.get("digests") == "true")
 
 
 # -- texts to ids ------------------------------------------------------------------------------
 
 
 CACHE_PIECES = 200_000
-BESIDE = re.compile(r" \s|\s ")
+#: Letters with a space before them, or what stands between: white space, digits and marks.
+PIECE = re.compile(r" ?[^\W\d_]+|(?:(?! ?[^\W\d_]).)+", re.S)
+#: What stands in a text that is not cut: apostrophes (of contractions), white space twice, the mark
+#: of special tokens, and characters beyond Latin, or that are numbers but no digits.
+WHOLE = re.compile("['\\xb2\\xb3\\xb9\\xbc-\\xbe]|\\s\\s|<\\||[^\\x00-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
+
+
+#: Marks that are words of their own behind a run of letters.
+MARKS = frozenset(",.;:!?")
+
+
+class Recent(dict):
+    """Values of now; those of the time before are kept until as many new ones have come."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: str):
+        got = self.older.get(key, self)
+        if got is self:
+            got = self.make(key)
+        self[key] = got
+        return got
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
 
 
 class PieceEncoder:
     """The tokenizers library over a text's pieces, each distinct piece of some time encoded once.
 
-    In the byte-level pattern a single space between two characters that are not white space always
-    begins a word, so the words of a text are those of its pieces. A text with other white space
-    beside a space, or with the mark of special tokens, is given to the library whole.
+    The byte-level pattern begins a word at a single space between two characters that are not white
+    space, and never takes a run of letters together with what stands beside it, but for
+    contractions. So a text is cut at spaces, and what stands between them at runs of letters. Such a
+    run is one word and goes to the library's model; other pieces, and texts that cannot be cut, go
+    through all of the library.
     """
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.cache: dict[str, bytes] = {}
+        self.model = self.library.model
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        spare = iter(range(256, 512))
+        # the printable character that stands for each byte
+        self.symbols = {b: b if b in shown else next(spare) for b in range(256)}
+        self.space = chr(self.symbols[32])
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size(with_added_tokens=True))]
+        self.words = Recent(self.word, CACHE_PIECES)
+        self.between = Recent(self.after_space, CACHE_PIECES)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def word(self, piece: str) -> bytes:
+        if not piece[-1].isalpha():
+            return self.whole([piece])[0]
+        if piece.isascii():
+            raw = piece.replace(" ", self.space)
+        else:
+            raw = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols)
+        table = self.bytes_of
+        return b"".join([table[t.id] for t in self.model.tokenize(raw)])
+
+    def cut(self, text: str) -> bytes | None:
+        """The ids of a stretch of a text; None if its text cannot be cut."""
+        if not text or WHOLE.search(text) or text[0].isspace() and not text[0] == " " or text[-1].isspace():
+            return None
+        return b"".join(map(self.words.__getitem__, PIECE.findall(text)))
+
+    def after_space(self, text: str) -> bytes | None:
+        """cut(" " + text), with fewer steps for a run of letters and for one with a mark behind it."""
+        if text.isalpha() and (text.isascii() or not WHOLE.search(text)):
+            return self.word(" " + text)
+        if text[-1:] in MARKS and text[:-1].isalpha():
+            before = self.between[text[:-1]]
+            return None if before is None else before + self.words[text[-1]]
+        return self.cut(" " + text)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        pieces: list[list[str] | None] = []
+        self.words.turn()
+        self.between.turn()
+        out: list[bytes | None] = []
         for text in texts:
-            text = text or ""
-            if BESIDE.search(text) or "<|" in text or text[:1] == " " or text[-1:] == " ":
-                pieces.append(None)
-            else:
-                first, *rest = text.split(" ")
-                pieces.append([first, *[" " + w for w in rest]] if rest else [first] if first else [])
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        cache = self.cache
-        new = list({p for own in pieces if own for p in own if p not in cache})
-        cache.update(zip(new, self.whole(new)))
-        odd = iter(self.whole([t or "" for t, own in zip(texts, pieces) if own is None]))
-        return [next(odd) if own is None else b"".join(map(cache.__getitem__, own)) for own in pieces]
+            first, *rest = (text or "").split(" ")
+            head = self.cut(first) if first else None
+            try:
+                out.append(b"".join([head, *map(self.between.__getitem__, rest)]))
+            except TypeError:  # a part is None
+                out.append(None)
+        odd = iter(self.whole([t or "" for t, x in zip(texts, out) if x is None]))
+        return [next(odd) if x is None else x for x in out]
 
 
 _PIECES: dict[str, PieceEncoder] = {}
 
 
-def _tokenizer(path: str, end_id: int):
-    tail = int(end_id).to_bytes(4, "little")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _PIECES:
-            _PIECES[path] = PieceEncoder(path)
-        for batch in batches:
-            ids = [x + tail for x in _PIECES[path].encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return run
+def piece_encoder(path: str) -> PieceEncoder:
+    """One encoder for each vocabulary file and worker."""
+    if path not in _PIECES:
+        _PIECES[path] = PieceEncoder(path)
+    return _PIECES[path]
 
 
 def write_ids(docs: DataFrame, uri: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -335,21 +401,16 @@ def write_ids(docs: DataFrame, uri: str, path: str, end_id: int, id_col: str = "
     # the order is by id; the text's hash deals out rows that share an id and fixes their order
     rows = ids_and_texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
     ranged = rows.repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h")
-    ranged.select("id", "text").mapInArrow(_tokenizer(path, end_id), "doc_id long, ids binary").write.format("simple8b").mode("append").save(uri)
-
+    ranged.select(F.col("id").alias("doc_id"), "text").write.format("simple8b").option("tokenizer", path).option("end_id", end_id).mode("append").save(uri)
 
-def read_ids(spark: SparkSession, uri: str) -> DataFrame:
-    """(doc_id, start, ids array<long>); start counts the ids of all documents before this one."""
-    spark.dataSource.register(Simple8b)
-    return spark.read.format("simple8b").load(uri)
 
+def read_ids(spark: SparkSession, uri: str, digests: bool = False) -> DataFrame:
+    """(doc_id, start, ids array<long>); start counts the ids of all documents before this one.
 
-def _digester(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column(2)
-        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
-        crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+    With digests the ids stay in the reader: (doc_id, start, n_tokens, ids_crc32).
+    """
+    spark.dataSource.register(Simple8b)
+    return spark.read.format("simple8b").option("digests", str(digests).lower()).load(uri)
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,4 +418,4 @@ def round_trip(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
     spark = docs.sparkSession
     uri = scratch_path(spark, "simple8b")
     write_ids(docs, uri, path, end_id, id_col, text_col)
-    return read_ids(spark, uri).mapInArrow(_digester, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_ids(spark, uri, digests=True)

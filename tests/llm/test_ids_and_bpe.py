@@ -37,10 +37,14 @@ def expected_ids(rows):
     return out
 
 
-def test_ids_are_written_in_order_and_read_back(spark, small):
+def test_ids_are_written_in_order_and_read_back(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    got = sorted(map(tuple, simple8b.round_trip(docs, BYTES, 2).collect()))
-    assert got == expected_ids(sorted((r.doc_id, r.text) for r in docs.collect()))
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    assert sorted(map(tuple, simple8b.round_trip(docs, BYTES, 2).collect())) == expected_ids(rows)
+    uri = f"file://{tmp_path}/ids"
+    simple8b.write_ids(docs, uri, BYTES, 2)
+    t = Tokenizer.from_file(BYTES)
+    assert {r.doc_id: r.ids for r in simple8b.read_ids(spark, uri).collect()} == {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in rows}
 
 
 def test_odd_rows_are_documents_like_others(odd, none):
