@@ -19,7 +19,6 @@ Defined results
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import html
 import json
@@ -39,14 +38,22 @@ from quadrille.llm import files
 from quadrille.llm.common import bounded_batches, scratch_path
 
 ROLL_BYTES = 32_000_000
+LEVEL = 1
 #: Identifiers are UUIDs of version 5 in this namespace.
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:x-quadrille:warc")
 DATE = "1970-01-01T00:00:00Z"
+SUMMARY = "page_id long, record_id string, type string, target_uri string, refers_to string, concurrent_to string, source_digest string, block_digest string, whole boolean, length long, title string"
 RECORD = "record_id string, type string, target_uri string, date string, refers_to string, headers string, block binary"
 
 
+#: Two base-32 digits for every ten bits.
+PAIRS = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+
+
 def digest(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    """The SHA-1 of data in base 32, as WARC files label it."""
+    n = int.from_bytes(hashlib.sha1(data).digest(), "big")
+    return "sha1:" + "".join([PAIRS[n >> k & 1023] for k in range(150, -1, -10)])
 
 
 def urn(name: str) -> str:
@@ -54,7 +61,7 @@ def urn(name: str) -> str:
 
 
 def one_line(value: str) -> str:
-    return re.sub(r"[\x00-\x1f\x7f]+", " ", value)
+    return value if value.isprintable() else re.sub(r"[\x00-\x1f\x7f]+", " ", value)
 
 
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -65,11 +72,11 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 def parsed(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
     """(headers, block) of one whole record."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    first, *lines = head.split(b"\r\n")
-    if not first.startswith(b"WARC/1."):
+    first, *lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+    if not first.startswith("WARC/1."):
         raise ValueError("no WARC record begins here")
-    headers = [(k.decode(), v.strip().decode("utf-8", "surrogatepass")) for k, _, v in (line.partition(b":") for line in lines)]
-    length = next(int(v) for k, v in headers if k.lower() == "content-length")
+    headers = [(k, v.strip()) for k, _, v in (line.partition(":") for line in lines)]
+    length = next(int(v) for k, v in reversed(headers) if k.lower() == "content-length")
     if len(rest) < length:
         raise ValueError("the record's block is cut off")
     return headers, rest[:length]
@@ -100,15 +107,17 @@ def response(page_id: int | None, url: str | None, page: str | None, date: str =
 UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 TITLE = re.compile(r"<title\b[^<>]*>([^<]*)", re.I)
 HREF = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\s\"'<>]+))", re.I)
-BREAKS = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|nav|header|footer|title|pre|blockquote|hr|body|head|html)\b[^<>]*>?", re.I)
-TAG = re.compile(r"</?[A-Za-z!?][^<>]*>?")
-BLANKS = re.compile(r"[^\S\n]+")
+#: Tags that begin or end a line of text.
+BLOCKS = frozenset("p div br li ul ol tr td th table h1 h2 h3 h4 h5 h6 section article nav header footer title pre blockquote hr body head html".split())
+TAG = re.compile(r"</?([A-Za-z!?][A-Za-z0-9]*)[^<>]*>?")
+#: White space within a line that is not one space already.
+BLANKS = re.compile(r"[^\S\n]{2,}|[^\S\n ]")
 LINES = re.compile(r"\s*\n\s*")
 
 
 def text_of(page: str) -> str:
     """The page's text, a line for each block."""
-    seen = TAG.sub("", BREAKS.sub("\n", UNSEEN.sub(" ", page)))
+    seen = TAG.sub(lambda m: "\n" if m[1].lower() in BLOCKS else "", UNSEEN.sub(" ", page))
     return LINES.sub("\n", BLANKS.sub(" ", html.unescape(seen))).strip()
 
 
@@ -125,13 +134,14 @@ def derived(headers: list[tuple[str, str]], block: bytes) -> tuple[bytes, bytes]
     page = payload.decode("utf-8", "replace")
     own = [("X-Page-ID", source["x-page-id"])] if "x-page-id" in source else []
     rid, text = source["warc-record-id"], text_of(page).encode("utf-8", "surrogatepass")
+    found = digest(payload)
     ids = {kind: urn(f"{kind} of {rid}") for kind in ("metadata", "conversion")}
     common = [("WARC-Refers-To", rid), ("WARC-Target-URI", source.get("warc-target-uri", "")), ("WARC-Date", source.get("warc-date", DATE)), *own]
     body = json.dumps(
         {
             "source": dict(headers),
             "http": {"status": status, "headers": [list(map(str.strip, f.split(":", 1))) for f in fields if ":" in f]},
-            "payload": {"length": len(payload), "digest": digest(payload), "agrees": digest(payload) == source.get("warc-payload-digest")},
+            "payload": {"length": len(payload), "digest": found, "agrees": found == source.get("warc-payload-digest")},
             "html": described(page),
         },
         ensure_ascii=False,
@@ -181,7 +191,7 @@ class WarcWriter(DataSourceArrowWriter):
             for value in batch.column(0):
                 if out is None:
                     out = system.open_output_stream(f"{path}/{temp}", compression=None)
-                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+                packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 data = packer.compress(value.as_py()) + packer.flush()
                 out.write(data)
                 held += len(data)
@@ -220,8 +230,11 @@ def members(stream, size: int = 1 << 20) -> Iterator[bytes]:
 
 
 class WarcReader(DataSourceReader):
+    """Whole records; or, in the worker that reads them, what is derived from responses or says of them."""
+
     def __init__(self, uri: str, options: dict):
         self.uri, self.batch_bytes = uri, int(options.get("batch_bytes", 4_000_000))
+        self.form = options.get("form", "records")
 
     def partitions(self) -> list[InputPartition]:
         system, path = files.place(self.uri)
@@ -236,9 +249,7 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         with system.open_input_stream(f"{path}/{partition.name}", compression=None) as stream:
             for data in members(stream):
-                headers, block = parsed(data)
-                h = {k.lower(): v for k, v in headers}
-                rows.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-refers-to"), json.dumps(headers), block))
+                rows += FORMS[self.form][1](*parsed(data))
                 held += len(data)
                 if held >= self.batch_bytes:
                     yield self.batch(rows)
@@ -246,10 +257,32 @@ class WarcReader(DataSourceReader):
         if rows:
             yield self.batch(rows)
 
-    @staticmethod
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        names = [c.split()[0] for c in RECORD.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "block" else pa.string()) for n, c in zip(names, zip(*rows))], names)
+    def batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        columns = [c.split() for c in FORMS[self.form][0].split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, KINDS[kind]) for (_, kind), c in zip(columns, zip(*rows))], [name for name, _ in columns])
+
+
+KINDS = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "boolean": pa.bool_()}
+
+
+def as_record(headers: list[tuple[str, str]], block: bytes) -> list[tuple]:
+    h = {k.lower(): v for k, v in headers}
+    return [(h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-refers-to"), json.dumps(headers), block)]
+
+
+def as_derived(headers: list[tuple[str, str]], block: bytes) -> list[tuple]:
+    return [(r,) for r in derived(headers, block)] if ("WARC-Type", "response") in headers else []
+
+
+def as_summary(headers: list[tuple[str, str]], block: bytes) -> list[tuple]:
+    h = {k.lower(): v for k, v in headers}
+    kind, page = h.get("warc-type"), h.get("x-page-id")
+    title = json.loads(block)["html"]["title"] if kind == "metadata" else None
+    return [(int(page) if page else None, h.get("warc-record-id"), kind, h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-concurrent-to"), h.get("warc-source-payload-digest"), h.get("warc-block-digest"), digest(block) == h.get("warc-block-digest"), len(block), title)]
+
+
+#: What a reader makes of each record, by the option "form": (schema, function of headers and block).
+FORMS = {"records": (RECORD, as_record), "derived": ("record binary", as_derived), "summary": (SUMMARY, as_summary)}
 
 
 class Warc(DataSource):
@@ -258,7 +291,7 @@ class Warc(DataSource):
         return "warc"
 
     def schema(self) -> str:
-        return RECORD
+        return FORMS[self.options.get("form", "records")][0]
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         files.made(self.options["path"])
@@ -276,9 +309,10 @@ def write_records(records: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES) ->
     records.write.format("warc").option("roll_bytes", roll_bytes).mode("append").save(uri)
 
 
-def read_records(spark: SparkSession, uri: str) -> DataFrame:
+def read_records(spark: SparkSession, uri: str, form: str = "records") -> DataFrame:
+    """Whole records; with form "derived" the derivatives of responses, with "summary" what records say of themselves."""
     spark.dataSource.register(Warc)
-    return spark.read.format("warc").load(uri)
+    return spark.read.format("warc").option("form", form).load(uri)
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -308,25 +342,10 @@ def derive(records: DataFrame) -> DataFrame:
     return records.filter("type = 'response'").select("headers", "block").mapInArrow(run, "record binary")
 
 
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for rid, kind, uri, refers, headers, block in zip(*(c.to_pylist() for c in batch.columns)):
-            h = {k.lower(): v for k, v in json.loads(headers)}
-            page = h.get("x-page-id")
-            title = json.loads(block)["html"]["title"] if kind == "metadata" else None
-            rows.append((int(page) if page else None, rid, kind, uri, refers, h.get("warc-concurrent-to"), h.get("warc-source-payload-digest"), h.get("warc-block-digest"), digest(block) == h.get("warc-block-digest"), len(block), title))
-        kinds = (pa.int64(), *[pa.string()] * 7, pa.bool_(), pa.int64(), pa.string())
-        names = ("page_id", "record_id", "type", "target_uri", "refers_to", "concurrent_to", "source_digest", "block_digest", "whole", "length", "title")
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 11, kinds)], list(names))
-
-
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write responses, read them, derive and write both kinds, and describe what is read back."""
     spark = pages.sparkSession
     source, made = scratch_path(spark, "warc"), scratch_path(spark, "warc-derived")
     write_records(responses(pages), source)
-    write_records(derive(read_records(spark, source)), made)
-    return read_records(spark, made).select("record_id", "type", "target_uri", "refers_to", "headers", "block").mapInArrow(
-        _summary, "page_id long, record_id string, type string, target_uri string, refers_to string, concurrent_to string, source_digest string, block_digest string, whole boolean, length long, title string"
-    )
+    write_records(read_records(spark, source, "derived"), made)
+    return read_records(spark, made, "summary")
