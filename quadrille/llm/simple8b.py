@@ -279,7 +279,8 @@ class Simple8b(DataSource):
 # -- texts to ids ------------------------------------------------------------------------------
 
 
-CACHE_PIECES = 200_000
+CACHE_PIECES = 500_000
+CACHE_PARTS = 100_000
 #: Letters with a space before them, or what stands between: white space, digits and marks.
 PIECE = re.compile(r" ?[^\W\d_]+|(?:(?! ?[^\W\d_]).)+", re.S)
 #: What stands in a text that is not cut: apostrophes (of contractions), white space twice, the mark
@@ -336,7 +337,7 @@ class PieceEncoder:
         self.symbols = {b: b if b in shown else next(spare) for b in range(256)}
         self.space = chr(self.symbols[32])
         self.bytes_of = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size(with_added_tokens=True))]
-        self.words = Recent(self.word, CACHE_PIECES)
+        self.words = Recent(self.word, CACHE_PARTS)
         self.between = Recent(self.after_space, CACHE_PIECES)
 
     def whole(self, texts: list[str]) -> list[bytes]:
