@@ -110,15 +110,13 @@ HREF = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\s\
 #: Tags that begin or end a line of text.
 BLOCKS = frozenset("p div br li ul ol tr td th table h1 h2 h3 h4 h5 h6 section article nav header footer title pre blockquote hr body head html".split())
 TAG = re.compile(r"</?([A-Za-z!?][A-Za-z0-9]*)[^<>]*>?")
-#: White space within a line that is not one space already.
-BLANKS = re.compile(r"[^\S\n]{2,}|[^\S\n ]")
-LINES = re.compile(r"\s*\n\s*")
 
 
 def text_of(page: str) -> str:
     """The page's text, a line for each block."""
     seen = TAG.sub(lambda m: "\n" if m[1].lower() in BLOCKS else "", UNSEEN.sub(" ", page))
-    return LINES.sub("\n", BLANKS.sub(" ", html.unescape(seen))).strip()
+    lines = (html.unescape(seen) if "&" in seen else seen).split("\n")
+    return "\n".join(filter(None, [" ".join(line.split()) for line in lines]))
 
 
 def described(page: str) -> dict:
