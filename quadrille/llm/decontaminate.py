@@ -8,6 +8,10 @@ Method
     looks for windows and items that agree in all places a hash function samples. What agrees once
     is verified exactly by Sellers' dynamic programme over the words around the windows.
 
+    A passage with words missing is shorter than its item, so each document stands between as
+    many filler words, which no item has, as the longest item that fits it may miss. So there are windows
+    aligned with a passage's start and with its end, also at a document's ends and in one shorter than the item.
+
     A window in which fewer than L - floor(rate * L) words are words of any item of L words cannot
     match one. Nor can one in which a word differs from the one before it in over 2 * floor(rate * L)
     places less than in any such item, for one edit changes two of them at most. Only the other
@@ -28,6 +32,7 @@ Defined results
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -73,6 +78,7 @@ class Matcher:
         self.vocab: dict[bytes, int] = {}
         self.items = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int64) for _, words in split]
         self.lengths = sorted({len(x) for x in self.items})
+        self.edits = [math.floor(rate * n) for n in self.lengths]
         self.draw = np.random.default_rng(seed)
         longest = 3 * (self.lengths[-1] if self.lengths else 1)
         # one bit for each walk, step and symbol: words, others (0), and the end (last)
@@ -127,23 +133,29 @@ class Matcher:
         found: list[list[tuple[int | None, int, int]]] = [[] for _ in texts]
         if not self.items:
             return found
-        get, parts, sizes = self.vocab.get, [], []
+        get, parts, sizes, counts = self.vocab.get, [], [], []
+        fewest = [n - e for n, e in zip(self.lengths, self.edits)]
         for text in texts:
             words = words_of(text)
-            parts.append(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
-            sizes.append(len(words))
+            fits = bisect_right(fewest, len(words))
+            fillers = self.edits[fits - 1] if fits else 0
+            parts.append(np.zeros(fillers + len(words) + fillers, np.int64))
+            parts[-1][fillers : fillers + len(words)] = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
+            counts.append(len(words))
+            sizes.append(len(parts[-1]))
         all_words = np.concatenate(parts)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
+        # where the words of each text begin and end between its fillers
+        begins = np.cumsum(sizes) - (np.array(sizes) + counts) // 2
+        ends = begins + counts
         owner = np.repeat(np.arange(len(texts)), sizes)
         known = np.zeros(len(all_words) + 1, np.int32)
         # words that no item has count as different from one another, which can only keep a window
         turned = np.zeros(len(all_words) + 1, np.int32)
         np.cumsum((all_words[1:] != all_words[:-1]) | (all_words[1:] == 0), out=turned[2:])
         hits: dict[tuple[int, int], list[int]] = {}
-        for length in self.lengths:
+        for length, need in zip(self.lengths, fewest):
             if len(all_words) < length:
                 break
-            need = length - math.floor(self.rate * length)
             np.cumsum(self.used[length][all_words], out=known[1:])
             at = np.flatnonzero(known[length:] - known[:-length] >= need)
             at = at[turned[at + length] - turned[at + 1] >= self.turns[length] - 2 * (length - need)]
@@ -162,8 +174,8 @@ class Matcher:
             best: tuple[int, int] | None = None
             spans: list[tuple[int, int]] = []
             for at in sorted(set(hits[doc, k])):
-                a = max(int(starts[doc]), at - edits)
-                b = min(int(starts[doc + 1]), at + len(item) + edits)
+                a = max(int(begins[doc]), at - edits)
+                b = min(int(ends[doc]), at + len(item) + edits)
                 if spans and a <= spans[-1][1]:
                     spans[-1] = (spans[-1][0], b)
                 else:
@@ -171,7 +183,7 @@ class Matcher:
             for lo, hi in spans:
                 d, end = sellers(item, all_words[lo:hi])
                 if d <= edits and (best is None or d < best[0]):
-                    best = d, lo + end - int(starts[doc])
+                    best = d, lo + end - int(begins[doc])
             if best:
                 found[doc].append((self.item_ids[k], *best))
         return found

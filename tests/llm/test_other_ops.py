@@ -200,6 +200,26 @@ def test_edited_passages_are_found(spark, small):
     assert sum(got[k] == want[k] for k in got) >= 0.99 * len(got)
 
 
+def test_passages_with_words_missing_are_found_at_the_ends_of_documents():
+    draw = np.random.default_rng(8)
+    for length, place, kind in itertools.product((10, 20, 40), ("whole", "start", "end"), ("any", "first", "last")):
+        edits = int(length * decontaminate.RATE)
+        items, texts = [], []
+        for k in range(60):
+            own = [f"w{x}" for x in draw.integers(3000, size=length)]
+            gone = {"any": draw.choice(length, edits, replace=False), "first": range(edits), "last": range(length - edits, length)}[kind]
+            left = [w for i, w in enumerate(own) if i not in set(map(int, gone))]
+            other = [f"o{x}" for x in draw.integers(3000, size=60)]
+            items.append((k, " ".join(own)))
+            texts.append(" ".join({"whole": left, "start": left + other, "end": other + left}[place]))
+        matcher = decontaminate.Matcher(items)
+        found = matcher.find(texts)
+        assert sum(k in [m[0] for m in ms] for k, ms in enumerate(found)) >= 0.95 * len(items), (length, place, kind)
+        assert all(m[1] <= edits and m[2] <= len(t.split()) for t, ms in zip(texts, found) for m in ms)
+        # a batch of one text that is shorter than the item
+        assert [m[0] for m in matcher.find(texts[:1])[0]] == [m[0] for m in found[0]]
+
+
 def test_decontamination_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, None), (None, "one two"), (3, "...")], "item_id long, text string")
     got = sorted((str(r.id), str(r.item_id), r.edits) for r in decontaminate.find(odd, bench).collect())
