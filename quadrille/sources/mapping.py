@@ -62,7 +62,7 @@ def branches(table: str, spark: bool) -> list[tuple[str, str, str]]:
             stamp = f"date_format({c}, 'yyyy-MM-dd''T''HH:mm:ss')" if spark else f"strftime({c}, '%Y-%m-%dT%H:%M:%S')"
             value = f"'\"' || {stamp} || '\"^^<{XSD}dateTime>'"
         elif kind == "title":
-            value = f"'\"' || substring({c}, 1, 40) || '\"@' || lower(lang)"
+            value = f"'\"' || {c} || '\"@' || lower(lang)"
         else:
             value = f"'\"' || {c} || '\"'"
         out.append((subject, f"'{predicate(table, c)}'", value))

@@ -18,7 +18,8 @@ from quadrille.functions.errors import QueryError
 from quadrille.sources.mapping import UNION, UNNAMED
 
 IRI, BLANK = r"<([^<>\"{}|^`\\\x00-\x20]*(?:\\[uU][0-9A-Fa-f]+[^<>\"\\\x00-\x20]*)*)>", r"(_:[^\s<>\"]+)"
-LITERAL = r'"((?:[^"\\\n\r]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^<>\s]*)>)?'
+# possessive: a loop with a way back recurses for every character and overflows on long texts
+LITERAL = r'"([^"\\\n\r]*+(?:\\.[^"\\\n\r]*+)*+)"(?:@([A-Za-z0-9-]+)|\^\^<([^<>\s]*)>)?'
 LINE = rf"^\s*(?:{IRI}|{BLANK})\s*{IRI}\s*(?:{IRI}|{BLANK}|{LITERAL})\s*(?:(?:{IRI}|{BLANK})\s*)?\.\s*(?:#.*)?$"
 TT = "urn:x-quadrille:tt:"
 

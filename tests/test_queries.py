@@ -56,6 +56,21 @@ def test_a_bound_predicate_leaves_one_scan(spark):
     assert plan.count("FileScan parquet") == 1 and "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
 
 
+def test_whole_texts_are_mapped_and_searched(spark, tmp_path):
+    from quadrille.operators import labels, search
+    from quadrille.operators.graph import Graph
+    from quadrille.sources import mapping, ntriples
+
+    texts = ["short", "x " * 30 + "late wording", 'a "quote",\n a \\ and\r blanks ' * 5_000 + "late wording", "late"]
+    rows = [(i, t, "EN", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    g = Graph(mapping.triples(spark, str(tmp_path), ("documents",)))
+    assert sorted(r.s for r in search.statements(g, "late wording").collect()) == ["http://data/document/1", "http://data/document/2"]
+    assert {r.node: r.label for r in labels.preferred(g, langs=["en"]).collect()} == {f"http://data/document/{i}": t for i, t in enumerate(texts)}
+    again = ntriples.parse_lines(ntriples.lines(g.triples))[0].select("s", "p", "o")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, g.triples.collect()))
+
+
 def test_the_entry_module_stands_without_the_optional_parts():
     import subprocess
     import sys
