@@ -17,7 +17,7 @@ P, C = BASE + "p/", BASE + "c/"
 PREFIXES = {"d": BASE, "p": P, "c": C, "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "skos": SKOS, "rdf": terms.RDF, "xsd": mapping.XSD}
 T = f"WITH t AS ({mapping.sql()})\n"
 TFULL = f"WITH t AS ({mapping.sql(FULL)})\n"
-M = f"WITH m AS ({mapping.membership_sql()})\n"
+M = f"WITH m AS ({mapping.membership_sql(FULL)})\n"
 LEX = "regexp_extract(o, '(?s)^\"(.*)\"(?:@[A-Za-z0-9-]+|\\^\\^<[^<>\"]*>)?$', 1)"
 TAG = "nullif(regexp_extract(o, '(?s)^\".*\"@([A-Za-z0-9-]+)$', 1), '')"
 FRAGMENT = "CASE WHEN {x} LIKE '%#%' THEN regexp_extract({x}, '(?s)^.*#(.*)$', 1) WHEN {x} LIKE '%/%' THEN regexp_extract({x}, '(?s)^.*/(.*)$', 1) ELSE {x} END"
@@ -33,7 +33,7 @@ def full(spark: SparkSession, d: str, whole: bool = False) -> Graph:
 
 
 def quads(spark: SparkSession, d: str) -> Graph:
-    return Graph(mapping.triples(spark, d), mapping.triples(spark, d, graph=True), prefixes=PREFIXES)
+    return Graph(mapping.triples(spark, d, FULL), mapping.triples(spark, d, FULL, graph=True), prefixes=PREFIXES)
 
 
 def claims(spark: SparkSession, d: str) -> Graph:
@@ -44,9 +44,9 @@ def claims(spark: SparkSession, d: str) -> Graph:
 # -- patterns: the eight shapes ------------------------------------------------------------------
 
 
-@register("fragment_all", T + "SELECT s, p, o FROM t")
+@register("fragment_all", TFULL + "SELECT s, p, o FROM t")
 def fragment_all(spark, d):
-    return core(spark, d, whole=True).fragment().rows
+    return full(spark, d, whole=True).fragment().rows
 
 
 @register("fragment_p", T + f"SELECT s, o FROM t WHERE p = '{P}o_custkey'")
@@ -192,19 +192,19 @@ def graphs_of_triple(spark, d):
 _ROLES = "(SELECT term, max(s) AS in_s, max(p) AS in_p, max(o) AS in_o FROM (SELECT s AS term, 1 AS s, 0 AS p, 0 AS o FROM t UNION ALL SELECT p, 0, 1, 0 FROM t UNION ALL SELECT o, 0, 0, 1 FROM t) GROUP BY term)"
 
 
-@register("terms_sections", T + f"SELECT term, CASE WHEN in_s + in_o = 2 THEN 'shared' WHEN in_s = 1 THEN 'subjects' WHEN in_o = 1 THEN 'objects' ELSE 'predicates' END AS section FROM {_ROLES}")
+@register("terms_sections", TFULL + f"SELECT term, CASE WHEN in_s + in_o = 2 THEN 'shared' WHEN in_s = 1 THEN 'subjects' WHEN in_o = 1 THEN 'objects' ELSE 'predicates' END AS section FROM {_ROLES}")
 def terms_sections(spark, d):
-    return core(spark, d, whole=True).terms().select("term", "section")
+    return full(spark, d, whole=True).terms().select("term", "section")
 
 
-@register("terms_prefix", T + f"SELECT term, in_s = 1 AS in_s, in_p = 1 AS in_p, in_o = 1 AS in_o FROM {_ROLES} WHERE starts_with(term, '{BASE}nation/') ORDER BY term LIMIT 100")
+@register("terms_prefix", TFULL + f"SELECT term, in_s = 1 AS in_s, in_p = 1 AS in_p, in_o = 1 AS in_o FROM {_ROLES} WHERE starts_with(term, '{BASE}nation/') ORDER BY term LIMIT 100")
 def terms_prefix(spark, d):
-    return core(spark, d, whole=True).term_prefix(BASE + "nation/", limit=100)
+    return full(spark, d, whole=True).term_prefix(BASE + "nation/", limit=100)
 
 
-@register("terms_count", T + f"SELECT sum(in_s)::BIGINT AS subject, sum(in_p)::BIGINT AS predicate, sum(in_o)::BIGINT AS object, count(*) AS \"any\" FROM {_ROLES} WHERE starts_with(term, '{BASE}')")
+@register("terms_count", TFULL + f"SELECT sum(in_s)::BIGINT AS subject, sum(in_p)::BIGINT AS predicate, sum(in_o)::BIGINT AS object, count(*) AS \"any\" FROM {_ROLES} WHERE starts_with(term, '{BASE}')")
 def terms_count(spark, d):
-    return core(spark, d, whole=True).term_counts(BASE)
+    return full(spark, d, whole=True).term_counts(BASE)
 
 
 @register("describe", T + f"SELECT 'out' AS direction, s, p, o FROM t WHERE s = '{BASE}nation/7' UNION ALL SELECT 'in', s, p, o FROM t WHERE o = '{BASE}nation/7'")
@@ -218,9 +218,9 @@ def sample(spark, d):
     return core(spark, d).sample(p="p:o_custkey", n=100, seed=7)
 
 
-@register("shared_terms", T + "SELECT DISTINCT s AS shared FROM t WHERE s IN (SELECT o FROM t)")
+@register("shared_terms", TFULL + "SELECT DISTINCT s AS shared FROM t WHERE s IN (SELECT o FROM t)")
 def shared_terms(spark, d):
-    return core(spark, d, whole=True).shared
+    return full(spark, d, whole=True).shared
 
 
 # -- labels, names, search -------------------------------------------------------------------------
@@ -249,18 +249,18 @@ def labels_hydrated(spark, d):
     return labels.hydrated(g, g.matching(g.triples, p="p:c_nationkey"), ["de", "en"])
 
 
-@register("names_fallback", T + f"SELECT DISTINCT p, {HUMAN.format(x=FRAGMENT.format(x='p'))} AS name FROM t")
+@register("names_fallback", TFULL + f"SELECT DISTINCT p, {HUMAN.format(x=FRAGMENT.format(x='p'))} AS name FROM t")
 def names_fallback(spark, d):
-    g = core(spark, d, whole=True)
+    g = full(spark, d, whole=True)
     return g.triples.select("p").distinct().select("p", texts.fallback_label(F.col("p")).alias("name"))
 
 
-@register("term_parts", T + f"""SELECT DISTINCT o AS term, {LEX} AS lex, {TAG} AS lang,
+@register("term_parts", TFULL + f"""SELECT DISTINCT o AS term, {LEX} AS lex, {TAG} AS lang,
 CASE WHEN {TAG} IS NOT NULL THEN '{terms.RDF_LANG}' ELSE coalesce(nullif(regexp_extract(o, '(?s)^".*"\\^\\^<([^<>"]*)>$', 1), ''), '{terms.XSD_STRING}') END AS datatype
 FROM t WHERE o LIKE '"%'""")
 def term_parts(spark, d):
     o = F.col("o")
-    return core(spark, d, whole=True).triples.filter(terms.is_literal(o)).select("o").distinct().select(o.alias("term"), terms.lexical(o).alias("lex"), terms.language(o).alias("lang"), terms.datatype(o).alias("datatype"))
+    return full(spark, d, whole=True).triples.filter(terms.is_literal(o)).select("o").distinct().select(o.alias("term"), terms.lexical(o).alias("lex"), terms.language(o).alias("lang"), terms.datatype(o).alias("datatype"))
 
 
 _WORDS = "list_filter(regexp_split_to_array(lower(lex), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
@@ -321,47 +321,47 @@ def void_class_relations(spark, d):
     return stats.class_relations(full(spark, d, whole=True).triples)
 
 
-@register("void_datatypes", T + f""", {_TYPES} SELECT class, p AS predicate, CASE WHEN {TAG} IS NOT NULL THEN '{terms.RDF_LANG}' ELSE coalesce(nullif(regexp_extract(o, '(?s)^".*"\\^\\^<([^<>"]*)>$', 1), ''), '{terms.XSD_STRING}') END AS datatype, count(*) AS triples
+@register("void_datatypes", TFULL + f""", {_TYPES} SELECT class, p AS predicate, CASE WHEN {TAG} IS NOT NULL THEN '{terms.RDF_LANG}' ELSE coalesce(nullif(regexp_extract(o, '(?s)^".*"\\^\\^<([^<>"]*)>$', 1), ''), '{terms.XSD_STRING}') END AS datatype, count(*) AS triples
 FROM t JOIN y ON y.node = t.s WHERE o LIKE '"%' GROUP BY ALL""")
 def void_datatypes(spark, d):
-    return stats.datatypes(core(spark, d, whole=True).triples)
+    return stats.datatypes(full(spark, d, whole=True).triples)
 
 
-@register("void_languages", T + f", {_TYPES} SELECT class, p AS predicate, {TAG} AS language, count(*) AS triples FROM t JOIN y ON y.node = t.s WHERE o LIKE '\"%' AND {TAG} IS NOT NULL GROUP BY ALL")
+@register("void_languages", TFULL + f", {_TYPES} SELECT class, p AS predicate, {TAG} AS language, count(*) AS triples FROM t JOIN y ON y.node = t.s WHERE o LIKE '\"%' AND {TAG} IS NOT NULL GROUP BY ALL")
 def void_languages(spark, d):
-    return stats.languages(core(spark, d, whole=True).triples)
+    return stats.languages(full(spark, d, whole=True).triples)
 
 
 @register("void_graph_properties", M + f"SELECT g, p AS predicate, {_DISTINCTS} FROM m GROUP BY g, p")
 def void_graph_properties(spark, d):
-    return stats.properties(mapping.triples(spark, d, graph=True, whole=True), ["g"])
+    return stats.properties(mapping.triples(spark, d, FULL, graph=True, whole=True), ["g"])
 
 
-@register("schema_relations_page", T + f", {_TYPES} {_RELATIONS} ORDER BY triples DESC, subject_class, predicate, object_class LIMIT 1000")
+@register("schema_relations_page", TFULL + f", {_TYPES} {_RELATIONS} ORDER BY triples DESC, subject_class, predicate, object_class LIMIT 1000")
 def schema_relations_page(spark, d):
-    return stats.relations_page(core(spark, d, whole=True).triples)
+    return stats.relations_page(full(spark, d, whole=True).triples)
 
 
-@register("schema_children", T + f", {_TYPES} SELECT p AS predicate, {_DISTINCTS} FROM t JOIN y ON y.node = t.s WHERE class = '{C}Customer' GROUP BY p")
+@register("schema_children", TFULL + f", {_TYPES} SELECT p AS predicate, {_DISTINCTS} FROM t JOIN y ON y.node = t.s WHERE class = '{C}Customer' GROUP BY p")
 def schema_children(spark, d):
-    return stats.schema_children(stats.tidy(core(spark, d, whole=True).triples), "class", "properties", cls=C + "Customer", limit=1000).select("predicate", "triples", "distinct_subjects", "distinct_objects")
+    return stats.schema_children(stats.tidy(full(spark, d, whole=True).triples), "class", "properties", cls=C + "Customer", limit=1000).select("predicate", "triples", "distinct_subjects", "distinct_objects")
 
 
 _SPACES = [(k, ns) for k, ns in sorted(PREFIXES.items(), key=lambda kv: (-len(kv[1]), kv[0]))]
 _OWNER = "CASE " + " ".join(f"WHEN starts_with(term, '{ns}') THEN '{k}'" for k, ns in _SPACES) + " END"
 
 
-@register("namespaces", T + f", r AS (SELECT {_OWNER} AS prefix, in_s, in_p, in_o FROM {_ROLES} WHERE term NOT LIKE '\"%' AND term NOT LIKE '\\_:%' ESCAPE '\\') SELECT prefix, sum(in_s)::BIGINT AS subjects, sum(in_p)::BIGINT AS predicates, sum(in_o)::BIGINT AS objects FROM r GROUP BY prefix")
+@register("namespaces", TFULL + f", r AS (SELECT {_OWNER} AS prefix, in_s, in_p, in_o FROM {_ROLES} WHERE term NOT LIKE '\"%' AND term NOT LIKE '\\_:%' ESCAPE '\\') SELECT prefix, sum(in_s)::BIGINT AS subjects, sum(in_p)::BIGINT AS predicates, sum(in_o)::BIGINT AS objects FROM r GROUP BY prefix")
 def namespaces(spark, d):
-    return stats.namespaces(core(spark, d, whole=True).triples, PREFIXES).drop("namespace")
+    return stats.namespaces(full(spark, d, whole=True).triples, PREFIXES).drop("namespace")
 
 
-@register("summary", T + f""", {_TYPES}, a AS (SELECT 'classes' AS section, class AS name, count(*) AS count FROM y GROUP BY class UNION ALL SELECT 'properties', p, count(*) FROM t GROUP BY p
+@register("summary", TFULL + f""", {_TYPES}, a AS (SELECT 'classes' AS section, class AS name, count(*) AS count FROM y GROUP BY class UNION ALL SELECT 'properties', p, count(*) FROM t GROUP BY p
 UNION ALL SELECT 'relations', subject_class || ' ' || predicate || ' ' || object_class, triples FROM ({_RELATIONS})),
 r AS (SELECT section, name, count, row_number() OVER (PARTITION BY section ORDER BY count DESC, name) - 1 AS ord FROM a)
 SELECT section, ord, name, count FROM r WHERE ord < 10""")
 def summary(spark, d):
-    return stats.summary(core(spark, d, whole=True).triples)
+    return stats.summary(full(spark, d, whole=True).triples)
 
 
 # -- statement terms -------------------------------------------------------------------------------
@@ -412,20 +412,20 @@ def verbalize_orders_template(spark, d):
 # -- sinks, key sets, joins ------------------------------------------------------------------------
 
 
-@register("ntriples_lines", T + """SELECT '<' || s || '> <' || p || '> ' || CASE WHEN o LIKE '"%' THEN '"' || replace(replace(replace(replace(""" + LEX + """, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r') || '"' || regexp_extract(o, '(?s)^".*"((?:@[A-Za-z0-9-]+|\\^\\^<[^<>"]*>)?)$', 1) ELSE '<' || o || '>' END || ' .' AS value FROM t""")
+@register("ntriples_lines", TFULL + """SELECT '<' || s || '> <' || p || '> ' || CASE WHEN o LIKE '"%' THEN '"' || replace(replace(replace(replace(""" + LEX + """, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r') || '"' || regexp_extract(o, '(?s)^".*"((?:@[A-Za-z0-9-]+|\\^\\^<[^<>"]*>)?)$', 1) ELSE '<' || o || '>' END || ' .' AS value FROM t""")
 def ntriples_lines(spark, d):
-    return ntriples.lines(core(spark, d, whole=True).triples)
+    return ntriples.lines(full(spark, d, whole=True).triples)
 
 
-@register("ntriples_round_trip", T + "SELECT s, p, o FROM t")
+@register("ntriples_round_trip", TFULL + "SELECT s, p, o FROM t")
 def ntriples_round_trip(spark, d):
     """Lines written and parsed again."""
-    return ntriples.parse_lines(ntriples.lines(core(spark, d, whole=True).triples))[0].select("s", "p", "o")
+    return ntriples.parse_lines(ntriples.lines(full(spark, d, whole=True).triples))[0].select("s", "p", "o")
 
 
-@register("key_set_sections", T + f"SELECT CASE WHEN in_s + in_o = 2 THEN 'shared' WHEN in_s = 1 THEN 'subjects' ELSE 'objects' END AS section, count(*) AS keys FROM {_ROLES} WHERE in_s + in_o > 0 GROUP BY ALL")
+@register("key_set_sections", TFULL + f"SELECT CASE WHEN in_s + in_o = 2 THEN 'shared' WHEN in_s = 1 THEN 'subjects' ELSE 'objects' END AS section, count(*) AS keys FROM {_ROLES} WHERE in_s + in_o > 0 GROUP BY ALL")
 def key_set_sections(spark, d):
-    return keysets.key_set(core(spark, d, whole=True)).groupBy("section").agg(F.count_distinct("key").alias("keys"))
+    return keysets.key_set(full(spark, d, whole=True)).groupBy("section").agg(F.count_distinct("key").alias("keys"))
 
 
 @register("overlap_terms", "SELECT DISTINCT o AS term FROM (" + mapping.sql(("customer", "nation")) + ") WHERE o IN (SELECT o FROM (" + mapping.sql(("supplier", "nation")) + ")) UNION SELECT DISTINCT s FROM (" + mapping.sql(("nation",)) + ")")

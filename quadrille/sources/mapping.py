@@ -32,7 +32,7 @@ TABLES = {
     "orders": ("order", ["o_orderkey"], "Order", {"o_custkey": "ref:customer", "o_orderstatus": "str", "o_totalprice": "money", "o_orderdate": "time", "o_orderpriority": "str"}, True),
     "documents": ("document", ["doc_id"], "Document", {"text": "title", "source": "name", "lang": "str", "n_chars": "int"}, True),
     "labels": ("assessment", ["doc_id"], "Assessment", {"doc_id": "ref:document", "quality": "int", "toxic": "int"}, True),
-    "lineitem": ("lineitem", ["l_orderkey", "l_linenumber"], "LineItem", {"l_orderkey": "ref:order", "l_partkey": "ref:part", "l_suppkey": "ref:supplier", "l_quantity": "money", "l_returnflag": "str", "l_linestatus": "str"}, False),
+    "lineitem": ("lineitem", ["l_orderkey", "l_linenumber"], "LineItem", {"l_orderkey": "ref:order", "l_partkey": "ref:part", "l_suppkey": "ref:supplier", "l_quantity": "money", "l_extendedprice": "money", "l_discount": "money", "l_tax": "money", "l_returnflag": "str", "l_linestatus": "str", "l_shipdate": "time"}, False),
 }
 CORE = ("region", "nation", "customer", "supplier", "part", "orders", "documents", "labels")
 FULL = (*CORE, "lineitem")

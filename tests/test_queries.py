@@ -71,6 +71,20 @@ def test_whole_texts_are_mapped_and_searched(spark, tmp_path):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, g.triples.collect()))
 
 
+def test_operations_over_the_whole_graph_take_every_column_of_every_table(spark):
+    import pyarrow.parquet as pq
+
+    from quadrille.sources import mapping
+
+    for table in mapping.FULL:
+        _, key, _, columns, _ = mapping.TABLES[table]
+        assert set(pq.read_schema(f"{D}/{table}.parquet").names) <= {*key, *columns}, table
+    item, q = "http://data/c/LineItem", registry.queries()
+    assert item in {r.name for r in q["summary"](spark, D).collect() if r.section == "classes"}
+    assert {r.predicate.rsplit("/", 1)[1] for r in q["void_datatypes"](spark, D).collect() if r["class"] == item} >= {"l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"}
+    assert {r.graph for r in q["graphs"](spark, D).collect()} >= {f"http://data/g/{t}" for t in mapping.FULL}
+
+
 def test_the_entry_module_stands_without_the_optional_parts():
     import subprocess
     import sys
