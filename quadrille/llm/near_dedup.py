@@ -2,18 +2,22 @@
 
 Method
     A document's set is its distinct word shingles, hashed by one 64-bit function. Its sketch is
-    the k smallest hashes, in order. Inverted lists hold retained values: the key of a list is a
-    run of ``run`` successive values of a sketch, so a value that very many documents retain (a
-    passage they share) makes no long list unless its neighbours in hash order are shared too.
-    Two sets of similarity t share such a run but for a chance that ``sketch_size`` holds under
-    1e-8; where the whole set is retained, shorter runs are added where needed to make it certain.
-
-    Pairs that share a list are filtered by the estimate from the union's sketch, and what is left
-    is verified on the full sets. Sets that are equal are one vertex from the start. Lists are
-    first compared as stars: each member against the one whose runs are the most common in the
-    corpus, so the middle of its group. Members that these links have not joined are then compared
-    by the rarest-first prefixes of their full sets, which loses no pair. So a group of n near
-    copies costs some n comparisons, and no pair of a list is lost. Components follow.
+    the k smallest hashes. Two sets of similarity t share at least c retained values, where a
+    binomial of k draws at t lies under c with a chance of ``MISS`` (1e-8); sets that are retained
+    whole share at least the part t of either, for certain.
+
+    Inverted lists hold retained values. Of a sketch, only its rarest values enter them, as many as
+    make it certain that two sketches with c values in common meet in LEAST lists: all but the c - LEAST
+    most frequent. The order is by the exact number of sketches that retain a value, so a value
+    that very many documents retain (a passage they share) stands last and is in few lists. A value
+    that one sketch alone retains is in none. The lists generate the overlaps: pairs of documents with
+    the number of lists they meet in. Pairs with fewer than LEAST are no near duplicates; the others are
+    filtered by the estimate from the union's sketch, and what is left is verified on the full sets.
+
+    Sets that are equal are one vertex from the start. Lists are first compared as stars: each
+    member against the one that stands in the longest lists, so the middle of its group. Then the
+    members that these links have not joined are compared with the members of other labels, so no pair
+    of a list is lost, and a group of n near copies costs some n comparisons. Components follow.
 
 Defined results
     * null, empty and blank texts: n_shingles 0, linked with nothing, their own component.
@@ -24,6 +28,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import bounded_batches, ids_and_texts, scratch_root, written
+from quadrille.llm.common import bounded_batches, drop_written, ids_and_texts, scratch_root, written
 
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Odd multipliers for the places of a shingle are powers of this one.
@@ -42,8 +47,11 @@ M64 = (1 << 64) - 1
 CACHE_WORDS = 200_000
 #: Ids that may be sent to every executor.
 BROADCAST_IDS = 1_000_000
-#: Size of the table of counts that orders values from rare to frequent; fixed, whatever the input.
-BUCKETS = 1 << 22
+EDGES_A_TASK = 100_000
+#: Retained values of a sketch; chance that a pair at the threshold shares fewer of them than is asked.
+SKETCH, MISS = 128, 1e-8
+#: Lists that a pair must meet in.
+LEAST = 4
 
 
 class WordHashes(dict):
@@ -82,35 +90,16 @@ def shingle_set(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
-def miss_chance(similarity: float, run: int, size: int) -> float:
-    """Chance that size places, each shared with this chance, hold no run of shared ones."""
-    state = [1.0] + [0.0] * (run - 1)
-    for _ in range(size):
-        state = [sum(state) * (1 - similarity), *[x * similarity for x in state[:-1]]]
-    return sum(state)
-
-
-def sketch_size(similarity: float, run: int, miss: float = 1e-8) -> int:
-    """Smallest multiple of 8 for which a pair at the threshold is missed with chance miss at most."""
-    k = 8
-    while miss_chance(similarity, run, k) > miss:
-        k += 8
+def fewest_shared(similarity: float, k: int, miss: float = MISS) -> int:
+    """c: of the union's k smallest values, fewer than c are shared with chance miss at most."""
+    chance = 0.0
+    for c in range(k + 1):
+        chance += math.comb(k, c) * similarity**c * (1 - similarity) ** (k - c)
+        if chance > miss:
+            return c
     return k
 
 
-def short_runs(n: int, num: int, den: int, run: int) -> list[int]:
-    """Run lengths under run that a fully retained set of n values needs.
-
-    A union of u values of which at most b are not shared has a run of ceil((u - b) / (b + 1)).
-    """
-    out = set()
-    for u in range(n, n * den // num + 1):
-        i = -(-num * u // den)
-        if i < u:
-            out.add(-(-i // (u - i + 1)))
-    return sorted(r for r in out if r < run)
-
-
 def _sketcher(shingle: int, k: int):
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -139,23 +128,22 @@ def _sketcher(shingle: int, k: int):
     return sketches
 
 
-def _keys(nodes: DataFrame, num: int, den: int, run: int) -> DataFrame:
-    """(key, node) for each run of retained values."""
+def _lists(nodes: DataFrame, num: int, den: int, c: int) -> DataFrame:
+    """(value, node, n, need, size): the rarest retained values of each sketch, with how many sketches retain them.
 
-    def runs(r: int):
-        return F.transform(F.sequence(F.lit(1), F.size("sketch") - (r - 1)), lambda i: F.xxhash64(F.lit(r), F.slice("sketch", i, F.lit(r))))
-
-    short: dict[int, list[int]] = {}
-    for n in range(1, 4096):
-        needed = short_runs(n, num, den, run)
-        for r in needed:
-            short.setdefault(r, []).append(n)
-        if not needed and n * num > run * run * den:
-            break
-    arrays = [F.when(F.size("sketch") >= run, runs(run)).otherwise(F.array().cast("array<bigint>"))]
-    for r, ns in sorted(short.items()):
-        arrays.append(F.when(F.col("n").isin(ns) & (F.size("sketch") >= r), runs(r)).otherwise(F.array().cast("array<bigint>")))
-    return nodes.select(F.explode(F.array_distinct(F.concat(*arrays))).alias("key"), "node")
+    need is how many values any near duplicate shares with the sketch at least.
+    """
+    entries = nodes.select(F.explode("sketch").alias("value"), "node")
+    common = nodes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = entries.join(common, "value")
+    # one sketch's values: SKETCH at most
+    ranked = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("size", "value"))).alias("found"))
+    need = F.least(F.expr(f"int((n * {num} + {den - 1}) div {den})"), F.lit(c))
+    sizes = nodes.select("node", "n", F.size("sketch").alias("k"), need.alias("need"))
+    # values retained once come before all others; they are shared with none
+    most = F.col("k") - F.col("need") + F.lit(LEAST) - (F.col("k") - F.size("found"))
+    first = F.slice("found", F.lit(1), F.greatest(F.lit(0), most))
+    return ranked.join(sizes, "node").select("node", "n", "need", F.explode(first).alias("x")).select("x.value", "node", "n", "need", "x.size")
 
 
 def _verifier(shingle: int, num: int, den: int):
@@ -188,53 +176,15 @@ def _holding(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
-def _bucket_counter(shingle: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, times = WordHashes(), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                np.add.at(times, shingle_set(text.as_py(), shingle, hashes) & (BUCKETS - 1), 1)
-        at = np.flatnonzero(times)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(times[at])], ["bucket", "times"])
-
-    return count
+def _likely(k: int, num: int, den: int, c: int):
+    """The filter of a pair by the shared part of the union's bottom-k sketch, from the sketches sa and sb.
 
-
-def _prefixes(shingle: int, num: int, den: int, times):
-    """Rarest-first prefixes: two sets of the threshold's similarity share a value of their prefixes.
-
-    Any one order of all values keeps that true. This one is by the count of a value's bucket, then
-    by the value; a bucket with one occurrence holds a value that no other set has, so none is sent.
-    left is how many values of the set stand from this one on: the first value that two sets share
-    must leave enough for the overlap that the threshold asks for.
+    Where the union is retained whole the count is exact; else at least c of its k smallest are shared.
     """
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            node, label, tokens = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
-            lengths, left = [], []
-            for text in batch.column(2):
-                values = shingle_set(text.as_py(), shingle, hashes)
-                n = len(values)
-                often = times.value[values & (BUCKETS - 1)]
-                first = np.argsort(often, kind="stable")[: n - -(-num * n // den) + 1]
-                places = np.flatnonzero(often[first] > 1)
-                tokens.append(values[first[places]])
-                left.append(n - places)
-                lengths.append((n, len(places)))
-            n, m = np.array(lengths, np.int64).reshape(-1, 2).T
-            flat, rest = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (tokens, left))
-            columns = {"token": flat, "node": np.repeat(node, m), "label": np.repeat(label, m), "n": np.repeat(n, m), "left": rest}
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
-
-    return prefixes
-
-
-def _estimate(k: int):
-    """Shared part of the union's bottom-k sketch, from the two sketches sa and sb."""
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    return F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)) / F.size(union)
+    shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
+    whole = (F.col("na") <= k) & (F.col("nb") <= k) & (F.size(F.array_union("sa", "sb")) <= k)
+    return F.when(whole, shared * den >= F.size(union) * num).otherwise(shared >= c)
 
 
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -260,11 +210,16 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    spread = max(4, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)  # links are few beside rows
-    e = written(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().coalesce(spread), name)
+    spark = edges.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = written(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    # links are few beside rows, and no round has more edges than the one before
+    spread = min(parts, max(4, edges.count() // EDGES_A_TASK))
+    e = written(edges.coalesce(spread), name)
     before = mark(e)
     while before[0]:
-        e = written(star(star(e, True), False).coalesce(spread), name)
+        last, e = e, written(star(star(e, True), False).coalesce(spread), name)
+        drop_written(last)
         now = mark(e)
         if now == before:
             break
@@ -278,20 +233,17 @@ def near_duplicates(
     text_col: str = "text",
     shingle: int = 5,
     threshold: tuple[int, int] = (80, 100),
-    run: int = 4,
-    slack: float = 0.25,
+    k: int = SKETCH,
 ) -> DataFrame:
     """Return (id, n_shingles, component_id, kept), one row for each row of docs.
 
-    threshold is the similarity as (numerator, denominator). slack is how far under it the
-    estimate of a pair may lie and still be verified; 0.25 is over five standard deviations
-    at the sketch sizes used.
+    threshold is the similarity as (numerator, denominator); k is the size of the sketches.
     """
     spark = docs.sparkSession
     scratch_root(spark)
     bounded_batches(spark)
     num, den = threshold
-    k = sketch_size(num / den, run)
+    c = fewest_shared(num / den, k)
     rows = ids_and_texts(docs, id_col, text_col)
     made = rows.mapInArrow(_sketcher(shingle, k), "id long, n long, hi long, lo long, sketch array<long>")
     made = written(made, "sketches")
@@ -309,46 +261,49 @@ def near_duplicates(
     if not several.isEmpty():
         same_id = written(members.filter("node IS NOT NULL").join(several.select("id", "a"), "id").filter("node != a").select("a", F.col("node").alias("b")), "same-id")
 
-    keys = _keys(nodes, num, den, run)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    lists = written(keys.join(shared, "key"), "lists")
-    # a document whose runs stand in the longest lists is nearest to the middle of its group
-    middle = written(lists.groupBy("node").agg(F.sum("size").alias("pop")), "middle")
+    lists = written(_lists(nodes, num, den, c), "lists")
     sketch = nodes.select("node", "n", "sketch")
-    like = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (_estimate(k) >= num / den - slack)
+    alike = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+    meet = F.least(F.lit(LEAST), F.greatest("ca", "cb"))
+
+    def overlapping(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, na, ca, b, nb, cb), one row for each list that they meet in, to those that meet often enough."""
+        return pairs.filter(alike).groupBy("a", "b", "na", "nb", meet.alias("meet")).agg(F.count(F.lit(1)).alias("lists")).filter("lists >= meet").select("a", "b", "na", "nb")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = written(pairs.select("a", "b").distinct(), f"{name}-pairs")
+        """Of candidate pairs the links: by the estimate from the sketches, then by the full sets."""
+        pairs = written(pairs, f"{name}-overlaps")
+        for x in "ab":
+            own = sketch.select(F.col("node").alias("id"), "sketch")
+            pairs = pairs.join(_holding(own, pairs.select(F.col(x).alias("id"))).select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}")), x)
+        pairs = written(pairs.filter(_likely(k, num, den, c)).select("a", "b"), f"{name}-pairs")
         texts = _holding(rows, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
         both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         return written(both.select("a", "b", "ta", "tb").mapInArrow(_verifier(shingle, num, den), "a long, b long"), name)
 
-    centre = lists.join(middle, "node").groupBy("key").agg(F.max(F.struct("pop", -F.col("node"))).alias("top")).select("key", (-F.col("top.col2")).alias("c"))
-    pairs = lists.join(centre, "key").filter("node != c").select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
-    for x in "ab":
-        pairs = pairs.join(sketch.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
-    links = verified(pairs.filter(like), "stars")
-
-    # members with one label are joined already: the least neighbour's least neighbour
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "least")
-    least = least.join(least.select(F.col("id").alias("label"), F.col("label").alias("next")), "label", "left").select("id", F.coalesce("next", "label").alias("label"))
-    rest = written(middle.select(F.col("node").alias("id")).join(least, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "rest")
-
-    # what no star has joined: members of lists across labels
-    texts = _holding(rows, rest.select("id")).join(rest, "id").select("id", "label", "text")
-    order = texts.select("text").mapInArrow(_bucket_counter(shingle), "bucket int, times long").groupBy("bucket").agg(F.sum("times").alias("times")).filter("times > 1")
-    order = order.select("bucket", F.least("times", F.lit(60_000)).cast("int").alias("times")).toArrow()
-    times = np.zeros(BUCKETS, np.uint16)
-    times[order.column(0).to_numpy()] = order.column(1).to_numpy()
-    heads = written(texts.mapInArrow(_prefixes(shingle, num, den, spark.sparkContext.broadcast(times)), "token long, node long, label long, n long, left long"), "prefixes")
-    per = heads.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.max_by("label", "m").alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    heads = heads.join(per.select("token", "most"), "token")
-    x = heads.filter("label != most").select("token", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("left").alias("rx"))
-    y = heads.select(F.col("token").alias("t"), F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("left").alias("ry"))
-    cross = x.join(y, (F.col("token") == F.col("t")) & (F.col("lx") != F.col("ly")) & ((num + den) * F.least("rx", "ry") >= num * (F.col("nx") + F.col("ny"))))
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    links = links.union(verified(cross, "cross"))
+    def ends(x: str, y: str) -> list:
+        """The columns of a pair of list members x and y, the smaller node first."""
+        less = F.col(f"{x}.node") < F.col(f"{y}.node")
+        return [F.when(less, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(n) for p, q, names in ((x, y, ("a", "na", "ca")), (y, x, ("b", "nb", "cb"))) for c, n in zip(("node", "n", "need"), names)]
+
+    # a document whose values stand in the longest lists is nearest to the middle of its group
+    middle = written(lists.groupBy("node").agg(F.sum("size").alias("pop")), "middle")
+    centre = lists.join(middle, "node").groupBy("value").agg(F.max(F.struct("pop", "node", "n", "need")).alias("c")).select("value", "c")
+    members_of = lists.select("value", F.struct("node", "n", "need").alias("x"))
+    links = verified(overlapping(members_of.join(centre, "value").filter("x.node != c.node").select(*ends("x", "c"))), "stars")
+
+    # members with one label are joined already
+    least = connected_components(links, "star-labels")
+    labelled = written(lists.drop("size").join(least, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    # lists across labels: members of other labels than the most frequent one, against all of other labels
+    per = labelled.groupBy("value", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    heads = labelled.join(per.select("value", "most"), "value")
+    x = heads.filter("label != most").select("value", F.struct("node", "n", "need", "label").alias("x"))
+    y = heads.select("value", F.struct("node", "n", "need", "label", "most").alias("y"))
+    # a pair of two such members is there from both sides, and is taken from one
+    once = (F.col("y.label") == F.col("y.most")) | (F.col("x.node") < F.col("y.node"))
+    cross = x.join(y, "value").filter((F.col("x.label") != F.col("y.label")) & once)
+    links = links.union(verified(overlapping(cross.select(*ends("x", "y"))), "cross"))
     labels = connected_components(links if same_id is None else links.union(same_id))
 
     out = members.join(labels, "node", "left").select(

@@ -86,5 +86,9 @@ def test_components_of_long_paths_and_stars(spark):
 
 
 def test_the_chance_of_a_missed_pair_is_held():
+    from math import comb
+
     for t in (0.8, 0.85):
-        assert nd.miss_chance(t, 4, nd.sketch_size(t, 4)) <= 1e-8
+        c = nd.fewest_shared(t, 128)
+        assert sum(comb(128, i) * t**i * (1 - t) ** (128 - i) for i in range(c)) <= 1e-8
+        assert sum(comb(128, i) * t**i * (1 - t) ** (128 - i) for i in range(c + 1)) > 1e-8
