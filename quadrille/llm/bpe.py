@@ -6,13 +6,18 @@ Method
     rank order: the state q that u leads to is copied without its arc for v, all arcs for u now lead
     to the copy, and wherever u then v could be read, an arc for t leads to where v led (Berglund,
     Martens and van der Merwe, "Constructing a BPE tokenization DFA"). As the start has one state,
-    all arcs with one label lead to one state, so the tables are small: a target for each label, and
-    for each state the state it was copied from, when, and the label its copy lost. Whether a state
-    has an arc for a label is read from those tables by ``Automaton.arc``.
+    all arcs with one label lead to one state.
+
+    The transitions are compiled to arrays: ``follow`` has the state that each label leads to, and
+    a state's row has one bit for each label, whether there is an arc. A row is made when its state is
+    first met and kept up to ROWS of them, some 6 KB each. What a copy takes away from a
+    state is the arc for v and the arcs that later gadgets would have derived from it, which begin with
+    v; labels are numbered so that these stand together, so a row is made by clearing one
+    stretch for each copy that the state comes from.
 
     A word is encoded left to right: at each place exactly one token that ends there has an arc from
-    the state at the token's start, so states and tokens follow from table lookups alone and the
-    path is read back from the end. Decoding emits the arcs' labels. Words are cached, up to a bound.
+    the state at the token's start, and the transition gives the next state; the path is read back from the
+    end. Decoding emits the labels of the ids. Words are cached, up to a bound.
 
     Texts are cut at special tokens, normalised and split as the vocabulary file says: NFC, white
     space to one space, lower case, then the words of its pattern. For scripts whose classes are
@@ -31,17 +36,20 @@ import hashlib
 import json
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import bounded_batches, ids_and_texts
 
-CACHE_WORDS = 200_000
-CACHE_ARCS = 400_000
+CACHE_WORDS = 150_000
 LONGEST_CACHED = 64
+#: Compiled rows that a worker holds before it starts anew.
+ROWS = 8_192
 
 
 def byte_symbols() -> list[str]:
@@ -92,25 +100,41 @@ class Automaton:
                 state = self.parent[state]
         return True
 
-    def follows(self, before: int, label: int) -> bool:
-        """arc(target[before], label), by whole runs of copies.
+    def compile(self) -> None:
+        """Number the labels for rows: a label, then what begins with it by the time it was made.
 
-        The copies of before's target since before was made are the gadgets (before, v), one for
-        each v, so one lookup in rank stands for the walk through them; older copies are those of
-        before's right part. limit is the rank that copies still to be walked lie under.
+        ``number`` is a label's place in that order, ``after`` the end of its own stretch, ``follow``
+        the state it leads to.
         """
-        when, limit = self.when, len(self.made) + 1
-        while True:
-            rank = self.rank.get((before, label))
-            if rank is not None and rank < limit:
-                return False
-            b, w = when[before], when[label]
-            if b > w:
-                before, limit = self.right[before], min(limit, b)
-            elif w:
-                label, limit = self.left[label], min(limit, w + 1)
-            else:
-                return True
+        begins: list[list[int]] = [[] for _ in self.target]
+        roots = []
+        for t in sorted(range(len(self.target)), key=lambda t: self.when[t]):
+            (roots if self.left[t] < 0 else begins[self.left[t]]).append(t)
+        self.number, self.after = [0] * len(self.target), [0] * len(self.target)
+        at, todo = 0, [(t, False) for t in reversed(roots)]
+        while todo:
+            t, done = todo.pop()
+            if done:
+                self.after[t] = at
+                continue
+            self.number[t], at = at, at + 1
+            todo.append((t, True))
+            todo += [(c, False) for c in reversed(begins[t])]
+        self.begins = begins
+        self.begun = [[self.when[c] for c in own] for own in begins]
+        self.follow = np.array(self.target, np.int32)
+
+    def row(self, state: int) -> bytes:
+        """One bit for each label's number: whether the state has an arc for it."""
+        out = np.ones(len(self.target), np.uint8)
+        while state:
+            v = self.lost[state]
+            out[self.number[v]] = 0
+            first = bisect_left(self.begun[v], self.made[state])  # labels made from v since then got no arc
+            if first < len(self.begins[v]):
+                out[self.number[self.begins[v][first]] : self.after[v]] = 0
+            state = self.parent[state]
+        return np.packbits(out, bitorder="little").tobytes()
 
 
 class Encoder:
@@ -127,6 +151,8 @@ class Encoder:
         labels = max(self.tokens) + 1
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = Automaton([(self.vocab[u], self.vocab[v], self.vocab[u + v]) for u, v in pairs], labels)
+        self.automaton.compile()
+        self.rows: dict[int, bytes] = {}
         self.longest = max(len(t) - (len(self.end) if self.end and t.endswith(self.end) else 0) for t in self.vocab)
         self.symbols = byte_symbols()
         pre = spec["pre_tokenizer"]["pretokenizers"]
@@ -135,16 +161,18 @@ class Encoder:
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in self.specials) + ")") if self.specials else None
         self.path = path
         self._library = None
-        # tokens within a word, with -1 for mere beginnings of some; tokens at a word's end, without the mark
-        cut = len(self.end)
-        self.final = {t[: len(t) - cut]: i for t, i in self.vocab.items() if t.endswith(self.end)}
-        within = [(t, i) for t, i in self.vocab.items() if not (cut and t.endswith(self.end))]
+        # numbers of tokens within a word, with -1 for mere beginnings of some; of tokens at a word's end, without the mark
+        cut, number = len(self.end), self.automaton.number
+        self.final = {t[: len(t) - cut]: number[i] for t, i in self.vocab.items() if t.endswith(self.end)}
+        within = [(t, number[i]) for t, i in self.vocab.items() if not (cut and t.endswith(self.end))]
         self.inner = {t[:k]: -1 for t, _ in within for k in range(1, len(t))} | dict(within)
-        self.ids = {i: str(i) for i in self.tokens}
-        # words of now, and of the time before; arcs that were looked up
-        self.cache: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
-        self.arcs: dict[int, bool] = {}
+        ids = sorted(range(labels), key=number.__getitem__)
+        self.label = ids  # by number
+        self.next = self.automaton.follow[ids].tolist()  # state by number
+        self.digits = [str(i) for i in range(labels)]
+        # words of now, and of the time before
+        self.cache: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     # scripts whose letters, digits and cases are settled: Latin to Cyrillic and general punctuation, without
     # the numbers that are no digits. In them the file's pattern is PLAIN, for the standard library's engine.
@@ -165,78 +193,76 @@ class Encoder:
         pieces = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))
         return [bytes(self._bytes[c] for c in p).decode("utf-8", "replace") for p, _ in pieces]
 
+    def row(self, state: int) -> bytes:
+        got = self.rows.get(state)
+        if got is None:
+            if len(self.rows) >= ROWS:
+                self.rows.clear()
+            got = self.rows[state] = self.automaton.row(state)
+        return got
+
     def encode_word(self, word: str) -> list[int]:
-        """One pass over the word's bytes; at each place one token has an arc."""
+        """One pass over the word's bytes; at each place one token has an arc from the state there."""
         symbols = "".join([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")])
-        n, inner, final, arcs = len(symbols), self.inner, self.final, self.arcs
-        last, back = [-1] * (n + 1), [0] * (n + 1)  # the label of the arc that ends here: its target is the state
+        n, inner, final, label = len(symbols), self.inner, self.final, self.label
+        last, back = [-1] * (n + 1), [0] * (n + 1)  # the number of the label that ends here, and where it begins
+        state = 0
         for j in range(n):
-            before, i = last[j], j
-            if j and before < 0:
-                raise ValueError("a byte has no base symbol in the vocabulary")
+            if j:
+                if last[j] < 0:
+                    raise ValueError("a byte has no base symbol in the vocabulary")
+                state = self.next[last[j]]
+            row, i = self.row(state), j
             while True:
                 i += 1
                 if i < n:
-                    label = inner.get(symbols[j:i])
-                    if label is None:  # no token begins like this: the last place is left to try
+                    x = inner.get(symbols[j:i])
+                    if x is None:  # no token begins like this: the last place is left to try
                         i = n
                 if i == n:
-                    label = final.get(symbols[j:]) if n - j <= self.longest else None
-                if label is not None and label >= 0 and last[i] < 0:
-                    if j:
-                        key = before << 20 | label
-                        ok = arcs.get(key)
-                        if ok is None:
-                            if len(arcs) >= CACHE_ARCS:
-                                arcs.clear()
-                            ok = arcs[key] = self.automaton.follows(before, label)
-                    else:
-                        ok = True
-                    if ok:
-                        last[i], back[i] = label, j
+                    x = final.get(symbols[j:]) if n - j <= self.longest else None
+                if x is not None and x >= 0 and last[i] < 0 and row[x >> 3] >> (x & 7) & 1:
+                    last[i], back[i] = x, j
                 if i == n:
                     break
         out, i = [], n
         while i:
-            out.append(last[i])
+            out.append(label[last[i]])
             i = back[i]
         return out[::-1]
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """(number of tokens, ids joined by spaces, tokens joined by spaces)."""
+    def word(self, word: str) -> list[int]:
         got = self.cache.get(word)
         if got is None:
             got = self.older.get(word)
             if got is None:
-                ids = self.encode_word(word)
-                got = len(ids), " ".join([self.ids[i] for i in ids]), " ".join([self.tokens[i] for i in ids])
+                got = self.encode_word(word)
             if len(word) <= LONGEST_CACHED:
                 if len(self.cache) >= CACHE_WORDS:
                     self.older, self.cache = self.cache, {}
                 self.cache[word] = got
         return got
 
-    def parts(self, text: str | None) -> list[tuple[int, str, str]]:
+    def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         if self.cut is None or "<|" not in text:
             pieces = [text]
         else:
             pieces = self.cut.split(text)
-        out = []
+        out: list[int] = []
         for p in pieces:
             if p in self.specials:
-                out.append((1, str(self.specials[p]), p))
+                out.append(self.specials[p])
             elif p:
-                out += map(self.word, self.split(p))
+                for ids in map(self.word, self.split(p)):
+                    out += ids
         return out
 
-    def encode(self, text: str | None) -> list[int]:
-        return [int(i) for _, ids, _ in self.parts(text) for i in ids.split()]
-
     def decode(self, ids: list[int]) -> str:
         """Emit the labels' strings; a file without a decoder joins them by spaces. Unknown ids emit nothing."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+        tokens = self.tokens
+        return " ".join([tokens[i] for i in ids if i in tokens])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -255,10 +281,10 @@ def _coder(path: str):
         for batch in batches:
             n, ids, decoded = [], [], []
             for text in batch.column(1):
-                parts = enc.parts(text.as_py())
-                n.append(sum(p[0] for p in parts))
-                ids.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest())
+                own = enc.encode(text.as_py())
+                n.append(len(own))
+                ids.append(hashlib.sha256(" ".join([enc.digits[i] for i in own]).encode()).hexdigest())
+                decoded.append(hashlib.sha256(enc.decode(own).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run

@@ -76,10 +76,16 @@ def test_the_automaton_encodes_and_decodes_as_the_library_does(parts):
     assert enc.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
-def test_arcs_by_runs_are_the_arcs_of_the_construction():
+def test_compiled_rows_are_the_arcs_of_the_construction():
     a, draw = bpe.encoder(WORDS).automaton, np.random.default_rng(0)
-    for x, y in draw.integers(0, 49_406, (20_000, 2)).tolist():
-        assert a.arc(a.target[x], y) == a.follows(x, y)
+    for x in [*draw.integers(0, 49_406, 300).tolist(), *range(256)]:
+        row = a.row(a.target[x])
+        near = [t for t in range(49_406) if a.left[t] == x or a.right[t] == x][:20]
+        for y in [*draw.integers(0, 49_406, 60).tolist(), *near, *(a.right[t] for t in near)]:
+            if y >= 0:
+                n = a.number[y]
+                assert a.arc(a.target[x], y) == bool(row[n >> 3] >> (n & 7) & 1)
+    assert sorted(a.number) == list(range(len(a.target)))
 
 
 def test_small_automata_accept_one_path_for_each_word():
@@ -87,6 +93,7 @@ def test_small_automata_accept_one_path_for_each_word():
     names = [*base, *(u + v for u, v in merges)]
     index = {n: i for i, n in enumerate(names)}
     a = bpe.Automaton([(index[u], index[v], index[u + v]) for u, v in merges], len(names))
+    a.compile()
 
     def by_merging(word):
         parts = list(word)
@@ -102,7 +109,8 @@ def test_small_automata_accept_one_path_for_each_word():
         if not word:
             yield []
         for n in names:
-            if word.startswith(n) and a.arc(state, index[n]):
+            place = a.number[index[n]]
+            if word.startswith(n) and a.row(state)[place >> 3] >> (place & 7) & 1:
                 for rest in paths(word[len(n) :], a.target[index[n]]):
                     yield [n, *rest]
 
