@@ -8,19 +8,35 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch may hold. Texts can be long, so a batch is kept to few rows.
+#: Rows and bytes an Arrow batch may hold.
 BATCH_ROWS = 256
+BATCH_BYTES = 16_000_000
+#: Bytes of input for each range of an order.
+RANGE_BYTES = 64_000_000
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small, so a worker's memory is bounded by a few hundred texts."""
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Keep Arrow batches small, so a worker's memory is bounded by a few texts.
+
+    Spark reads both settings when a plan is made, which is after the operator has returned it, so
+    they stay set. They change how rows are passed to workers, never results.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def ranges(df: DataFrame, size: int = RANGE_BYTES) -> int:
+    """How many ranges to deal df's rows into: by the bytes its files have, and no fewer than shuffles have."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(str(stats)) // size, 1_000_000))
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a local one only where that is unset."""
+    """The cluster's shared folder from spark.checkpoint.dir; a local one only where that is unset and all runs here."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quadrille-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -46,10 +62,11 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the files that a table made by written() reads. Only for tables no later plan reads."""
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        removed(df.sparkSession, f)
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables made by written() that no later plan reads."""
+    for df in tables:
+        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            removed(df.sparkSession, f)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Method
     A document's set is its distinct word shingles, hashed by one 64-bit function. Its sketch is
-    the k smallest hashes. Two sets of similarity t share at least c retained values, where a
-    binomial of k draws at t lies under c with a chance of ``MISS`` (1e-8); sets that are retained
-    whole share at least the part t of either, for certain.
+    the k smallest hashes. Of the k smallest values of two sets' union, those that both have are in both
+    sketches. A set of n values and any set of similarity t or more have a union of at most n / t
+    values; so both sketches hold c(n) values in common, or more, but for a chance of ``MISS`` (1e-8), by the
+    hypergeometric distribution. Where the union is retained whole they share the part t, for certain.
 
     Inverted lists hold retained values. Of a sketch, only its rarest values enter them, as many as
     make it certain that two sketches with c values in common meet in LEAST lists: all but the c - LEAST
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +51,11 @@ CACHE_WORDS = 200_000
 BROADCAST_IDS = 1_000_000
 EDGES_A_TASK = 100_000
 #: Retained values of a sketch; chance that a pair at the threshold shares fewer of them than is asked.
-SKETCH, MISS = 128, 1e-8
+SKETCH, MISS = 256, 1e-8
 #: Lists that a pair must meet in.
-LEAST = 4
+LEAST = 2
+#: Steps of the table of shares.
+STEPS = 500
 
 
 class WordHashes(dict):
@@ -90,25 +94,63 @@ def shingle_set(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
-def fewest_shared(similarity: float, k: int, miss: float = MISS) -> int:
-    """c: of the union's k smallest values, fewer than c are shared with chance miss at most."""
+@lru_cache(maxsize=50_000)
+def fewest_shared(n: int, num: int, den: int, k: int, miss: float = MISS) -> int:
+    """c(n): what a sketch of a set of n values shares at least with those of near duplicates.
+
+    The largest union has n * den / num values, of which the least shared part is hit by k draws.
+    """
+    least, union = -(-num * n // den), n * den // num
+    if union <= k:
+        return least
+    shared = -(-num * union // den)
+    pairs = math.lgamma(union + 1) - math.lgamma(k + 1) - math.lgamma(union - k + 1)
+
+    def ways(m: int, r: int) -> float:
+        return math.lgamma(m + 1) - math.lgamma(r + 1) - math.lgamma(m - r + 1)
+
     chance = 0.0
-    for c in range(k + 1):
-        chance += math.comb(k, c) * similarity**c * (1 - similarity) ** (k - c)
+    for c in range(max(0, k - (union - shared)), min(k, shared) + 1):
+        chance += math.exp(ways(shared, c) + ways(union - shared, k - c) - pairs)
         if chance > miss:
-            return c
-    return k
+            return min(c, least)
+    return min(k, least)
+
+
+def pair_table(k: int, miss: float = MISS) -> list[int]:
+    """At r: of k draws, each hit with chance r / STEPS at least, fewer than this are hit with chance miss / 2 at most."""
+    out = []
+    for r in range(STEPS + 1):
+        p, chance, c = r / STEPS, 0.0, 0
+        while c < k and (chance := chance + math.comb(k, c) * p**c * (1 - p) ** (k - c)) <= miss / 2:
+            c += 1
+        out.append(c)
+    return out
 
 
-def _sketcher(shingle: int, k: int):
+def _asked(x: str, y: str, num: int, den: int, k: int):
+    """How many values the sketches of near duplicates with nx and ny values share at least.
+
+    The sets share i >= num (nx + ny) / (num + den) values. A sketch is a random part of its set, so the number
+    of its values that the other set has follows the hypergeometric distribution; of the sketch that
+    ends first, all of these are in the other sketch too.
+    """
+    both = F.expr(f"int(({num} * ({x} + {y}) + {num + den - 1}) div {num + den})")
+    table = F.split(F.lit(",".join(map(str, pair_table(k)))), ",").cast("array<int>")
+    drawn = F.get(table, F.least(F.lit(STEPS), F.expr(f"int({STEPS} * {num} * ({x} + {y}) div ({num + den} * greatest({x}, {y})))")))
+    return F.when(F.greatest(x, y) <= k, both).otherwise(F.least(both, drawn))
+
+
+def _sketcher(shingle: int, k: int, num: int, den: int):
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ns, hi, lo, kept, at = [], [], [], [], [0]
+            ns, needs, hi, lo, kept, at = [], [], [], [], [], [0]
             for text in batch.column(1):
                 values = shingle_set(text.as_py(), shingle, hashes)
                 digest = xxhash.xxh3_128_intdigest(values.tobytes())
                 ns.append(len(values))
+                needs.append(fewest_shared(len(values), num, den, k))
                 hi.append(digest >> 64)
                 lo.append(digest & M64)
                 kept.append(values[:k])
@@ -118,32 +160,32 @@ def _sketcher(shingle: int, k: int):
                 [
                     batch.column(0),
                     pa.array(ns, pa.int64()),
+                    pa.array(needs, pa.int32()),
                     pa.array(np.array(hi, np.uint64).view(np.int64)),
                     pa.array(np.array(lo, np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)),
                 ],
-                ["id", "n", "hi", "lo", "sketch"],
+                ["id", "n", "need", "hi", "lo", "sketch"],
             )
 
     return sketches
 
 
-def _lists(nodes: DataFrame, num: int, den: int, c: int) -> DataFrame:
-    """(value, node, n, need, size): the rarest retained values of each sketch, with how many sketches retain them.
+def _lists(nodes: DataFrame) -> DataFrame:
+    """(value, node, n, left, size): the rarest retained values of each sketch, with how many sketches retain them.
 
-    need is how many values any near duplicate shares with the sketch at least.
+    left is how many values of the sketch stand from this one on, in the order from rare to frequent.
     """
     entries = nodes.select(F.explode("sketch").alias("value"), "node")
     common = nodes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = entries.join(common, "value")
     # one sketch's values: SKETCH at most
     ranked = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("size", "value"))).alias("found"))
-    need = F.least(F.expr(f"int((n * {num} + {den - 1}) div {den})"), F.lit(c))
-    sizes = nodes.select("node", "n", F.size("sketch").alias("k"), need.alias("need"))
+    sizes = nodes.select("node", "n", F.size("sketch").alias("k"), "need")
     # values retained once come before all others; they are shared with none
     most = F.col("k") - F.col("need") + F.lit(LEAST) - (F.col("k") - F.size("found"))
     first = F.slice("found", F.lit(1), F.greatest(F.lit(0), most))
-    return ranked.join(sizes, "node").select("node", "n", "need", F.explode(first).alias("x")).select("x.value", "node", "n", "need", "x.size")
+    return ranked.join(sizes, "node").select("node", "n", F.size("found").alias("m"), F.posexplode(first).alias("at", "x")).select("x.value", "node", "n", (F.col("m") - F.col("at")).alias("left"), "x.size")
 
 
 def _verifier(shingle: int, num: int, den: int):
@@ -176,15 +218,15 @@ def _holding(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
-def _likely(k: int, num: int, den: int, c: int):
+def _likely(k: int, num: int, den: int):
     """The filter of a pair by the shared part of the union's bottom-k sketch, from the sketches sa and sb.
 
-    Where the union is retained whole the count is exact; else at least c of its k smallest are shared.
+    Where the union is retained whole the count is exact; else at least c(n) of its k smallest are shared.
     """
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     whole = (F.col("na") <= k) & (F.col("nb") <= k) & (F.size(F.array_union("sa", "sb")) <= k)
-    return F.when(whole, shared * den >= F.size(union) * num).otherwise(shared >= c)
+    return F.when(whole, shared * den >= F.size(union) * num).otherwise(shared >= F.greatest("ca", "cb"))
 
 
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -243,12 +285,11 @@ def near_duplicates(
     scratch_root(spark)
     bounded_batches(spark)
     num, den = threshold
-    c = fewest_shared(num / den, k)
     rows = ids_and_texts(docs, id_col, text_col)
-    made = rows.mapInArrow(_sketcher(shingle, k), "id long, n long, hi long, lo long, sketch array<long>")
+    made = rows.mapInArrow(_sketcher(shingle, k, num, den), "id long, n long, need int, hi long, lo long, sketch array<long>")
     made = written(made, "sketches")
     nodes = written(
-        made.filter("n > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+        made.filter("n > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("sketch").alias("sketch")),
         "classes",
     )
     members = written(
@@ -261,49 +302,56 @@ def near_duplicates(
     if not several.isEmpty():
         same_id = written(members.filter("node IS NOT NULL").join(several.select("id", "a"), "id").filter("node != a").select("a", F.col("node").alias("b")), "same-id")
 
-    lists = written(_lists(nodes, num, den, c), "lists")
-    sketch = nodes.select("node", "n", "sketch")
-    alike = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-    meet = F.least(F.lit(LEAST), F.greatest("ca", "cb"))
+    drop_written(made)
+    lists = written(_lists(nodes), "lists")
+    sketch = nodes.select(F.col("node").alias("id"), "need", "sketch")
+
+    def overlapping(pairs: DataFrame, *also) -> DataFrame:
+        """Pairs (a, na, b, nb) of members x and y of lists, to those that meet in enough lists.
 
-    def overlapping(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, na, ca, b, nb, cb), one row for each list that they meet in, to those that meet often enough."""
-        return pairs.filter(alike).groupBy("a", "b", "na", "nb", meet.alias("meet")).agg(F.count(F.lit(1)).alias("lists")).filter("lists >= meet").select("a", "b", "na", "nb")
+        At one of the first LEAST values that near duplicates share, enough of both sketches is left.
+        """
+        asked = _asked("x.n", "y.n", num, den, k)
+        near = (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")) & (F.least("x.left", "y.left") + (LEAST - 1) >= asked)
+        for c in also:
+            near = near & c
+        less = F.col("x.node") < F.col("y.node")
+        ends = [F.when(less, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(n) for p, q, end in (("x", "y", "a"), ("y", "x", "b")) for c, n in (("node", end), ("n", f"n{end}"))]
+        met = pairs.filter(near).select(*ends).groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("lists"))
+        return met.filter(F.col("lists") >= F.least(F.lit(LEAST), _asked("na", "nb", num, den, k))).drop("lists")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Of candidate pairs the links: by the estimate from the sketches, then by the full sets."""
-        pairs = written(pairs, f"{name}-overlaps")
+        pairs = overlaps = written(pairs, f"{name}-overlaps")
         for x in "ab":
-            own = sketch.select(F.col("node").alias("id"), "sketch")
-            pairs = pairs.join(_holding(own, pairs.select(F.col(x).alias("id"))).select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}")), x)
-        pairs = written(pairs.filter(_likely(k, num, den, c)).select("a", "b"), f"{name}-pairs")
+            own = _holding(sketch, pairs.select(F.col(x).alias("id")))
+            pairs = pairs.join(own.select(F.col("id").alias(x), F.col("need").alias(f"c{x}"), F.col("sketch").alias(f"s{x}")), x)
+        likely = written(pairs.filter(_likely(k, num, den)).select("a", "b"), f"{name}-pairs")
+        drop_written(overlaps)
+        pairs = likely
         texts = _holding(rows, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
         both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         return written(both.select("a", "b", "ta", "tb").mapInArrow(_verifier(shingle, num, den), "a long, b long"), name)
 
-    def ends(x: str, y: str) -> list:
-        """The columns of a pair of list members x and y, the smaller node first."""
-        less = F.col(f"{x}.node") < F.col(f"{y}.node")
-        return [F.when(less, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(n) for p, q, names in ((x, y, ("a", "na", "ca")), (y, x, ("b", "nb", "cb"))) for c, n in zip(("node", "n", "need"), names)]
-
     # a document whose values stand in the longest lists is nearest to the middle of its group
     middle = written(lists.groupBy("node").agg(F.sum("size").alias("pop")), "middle")
-    centre = lists.join(middle, "node").groupBy("value").agg(F.max(F.struct("pop", "node", "n", "need")).alias("c")).select("value", "c")
-    members_of = lists.select("value", F.struct("node", "n", "need").alias("x"))
-    links = verified(overlapping(members_of.join(centre, "value").filter("x.node != c.node").select(*ends("x", "c"))), "stars")
+    centre = lists.join(middle, "node").groupBy("value").agg(F.max(F.struct("pop", "node", "n", "left")).alias("y"))
+    stars = lists.select("value", F.struct("node", "n", "left").alias("x")).join(centre, "value")
+    links = verified(overlapping(stars, F.col("x.node") != F.col("y.node")), "stars")
 
     # members with one label are joined already
-    least = connected_components(links, "star-labels")
-    labelled = written(lists.drop("size").join(least, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    found = connected_components(links, "star-labels")
+    labelled = written(lists.drop("size").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    drop_written(lists, middle)
     # lists across labels: members of other labels than the most frequent one, against all of other labels
     per = labelled.groupBy("value", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     heads = labelled.join(per.select("value", "most"), "value")
-    x = heads.filter("label != most").select("value", F.struct("node", "n", "need", "label").alias("x"))
-    y = heads.select("value", F.struct("node", "n", "need", "label", "most").alias("y"))
+    x = heads.filter("label != most").select("value", F.struct("node", "n", "left", "label").alias("x"))
+    y = heads.select("value", F.struct("node", "n", "left", "label", "most").alias("y"))
     # a pair of two such members is there from both sides, and is taken from one
     once = (F.col("y.label") == F.col("y.most")) | (F.col("x.node") < F.col("y.node"))
-    cross = x.join(y, "value").filter((F.col("x.label") != F.col("y.label")) & once)
-    links = links.union(verified(overlapping(cross.select(*ends("x", "y"))), "cross"))
+    links = links.union(verified(overlapping(x.join(y, "value"), F.col("x.label") != F.col("y.label"), once), "cross"))
+    drop_written(labelled, nodes)
     labels = connected_components(links if same_id is None else links.union(same_id))
 
     out = members.join(labels, "node", "left").select(

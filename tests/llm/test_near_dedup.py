@@ -86,9 +86,16 @@ def test_components_of_long_paths_and_stars(spark):
 
 
 def test_the_chance_of_a_missed_pair_is_held():
+    """Against exact fractions, for unions of every size that a set's near duplicates can have."""
+    from fractions import Fraction
     from math import comb
 
-    for t in (0.8, 0.85):
-        c = nd.fewest_shared(t, 128)
-        assert sum(comb(128, i) * t**i * (1 - t) ** (128 - i) for i in range(c)) <= 1e-8
-        assert sum(comb(128, i) * t**i * (1 - t) ** (128 - i) for i in range(c + 1)) > 1e-8
+    for num, k in ((80, 16), (85, 16), (85, 40)):
+        for n in (1, 5, 13, 14, 16, 20, 45, 90):
+            c = nd.fewest_shared(n, num, 100, k)
+            for union in range(n, n * 100 // num + 1):
+                shared = -(-num * union // 100)
+                kept = min(k, union)
+                low = range(max(0, kept - (union - shared)), min(c, kept + 1))
+                assert sum(Fraction(comb(shared, i) * comb(union - shared, kept - i), comb(union, kept)) for i in low) <= Fraction(1, 10**8)
+    assert nd.fewest_shared(10**9, 85, 100, 256) <= nd.fewest_shared(300, 85, 100, 256) <= 256
