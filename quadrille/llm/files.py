@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyarrow import fs
 
 
+#: Schemes of Hadoop's connectors, and what Arrow calls the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def arrow_uri(uri: str) -> str:
+    scheme, rest = uri.split("://", 1)
+    return f"{SCHEMES.get(scheme, scheme)}://{rest}"
+
+
 def place(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI, and the path in it. A path without a scheme is local."""
     if "://" not in uri and not uri.startswith("file:"):
         return fs.LocalFileSystem(), uri
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
 def listed(uri: str, ending: str) -> list[tuple[str, int]]:
@@ -40,9 +49,16 @@ def ranged(uri: str, name: str, at: int, size: int) -> bytes:
         return f.read(size)
 
 
-def renamed(uri: str, old: str, new: str) -> None:
-    system, path = place(uri)
-    system.move(f"{path}/{old}", f"{path}/{new}")
+def own_name(part: int, attempt: int, ending: str, number: int = 0) -> str:
+    """A file's name by its task and attempt. Nothing is renamed: a list of files, written last, says which count."""
+    return f"part-{part:06d}-{number:04d}-{attempt}{ending}"
+
+
+def swept(uri: str, ending: str, kept: set[str]) -> None:
+    """Delete what attempts that do not count have left."""
+    for name, _ in listed(uri, ending):
+        if name not in kept:
+            dropped(uri, name)
 
 
 def dropped(uri: str, name: str) -> None:

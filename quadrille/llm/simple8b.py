@@ -13,7 +13,7 @@ Format
     each file's numbers of documents, ids and blocks: a reader knows from it where each file's ids start.
 
 Writing and reading are the Spark data source "simple8b". A task writes its file under a name of
-its attempt and renames it when it is whole, so a task that runs again leaves the same file.
+its attempt; the manifest names the files of the attempts that count, so a task may run again or twice.
 
 Defined results
     * a null or empty text is a document with no ids but the end id.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from quadrille.llm import files
-from quadrille.llm.common import bounded_batches, ids_and_texts, scratch_path
+from quadrille.llm.common import bounded_batches, ids_and_texts, ranges, scratch_path
 
 #: (ids in a word, bits of each) by selector. The first two hold zeros alone.
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -174,13 +174,14 @@ class Simple8bWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         context = TaskContext.get()
-        part, temp = context.partitionId(), f"_temp-{context.partitionId()}-{context.taskAttemptId()}"
+        part = context.partitionId()
+        name = files.own_name(part, context.taskAttemptId(), ENDING)
         system, path = files.place(self.uri)
         blocks, offset = [], 0
         names: list[int | None] = []
         own: list[np.ndarray] = []
         pending = 0
-        with system.open_output_stream(f"{path}/{temp}") as out:
+        with system.open_output_stream(f"{path}/{name}") as out:
 
             def flush() -> None:
                 nonlocal offset, pending
@@ -203,14 +204,13 @@ class Simple8bWriter(DataSourceArrowWriter):
             flush()
             end = footer_bytes(blocks)
             out.write(end)
-        name = f"part-{part:06d}{ENDING}"
-        files.renamed(self.uri, temp, name)
         return Written(name, part, sum(b.docs for b in blocks), sum(b.ids for b in blocks), len(blocks), offset + len(end))
 
     def commit(self, messages: list) -> None:
         """The manifest, written last, makes the folder whole."""
         parts = sorted((m for m in messages if m is not None), key=lambda m: m.part)
         files.put(self.uri, "manifest.json", json.dumps([[m.name, m.docs, m.ids, m.blocks, m.size] for m in parts]).encode())
+        files.swept(self.uri, ENDING, {m.name for m in parts})
 
     def abort(self, messages: list) -> None:
         for m in messages:
@@ -318,7 +318,7 @@ class PieceEncoder:
     space, and never takes a run of letters together with what stands beside it, but for
     contractions. So a text is cut at spaces, and what stands between them at runs of letters. Such a
     run is one word and goes to the library's model; other pieces, and texts that cannot be cut, go
-    through all of the library.
+    through all of the library. So do all texts if the file asks for anything but that pattern.
     """
 
     def __init__(self, path: str):
@@ -327,6 +327,8 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            self.cuts = self.byte_level(json.load(f))
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -340,6 +342,14 @@ class PieceEncoder:
         self.words = Recent(self.word, CACHE_PARTS)
         self.between = Recent(self.after_space, CACHE_PIECES)
 
+    @staticmethod
+    def byte_level(spec: dict) -> bool:
+        """Whether the file has the byte-level pattern alone, plain merges, and special tokens that begin with "<|"."""
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        merges = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        return bool(plain and merges and all(t["content"].startswith("<|") for t in spec.get("added_tokens") or []))
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -369,6 +379,8 @@ class PieceEncoder:
         return self.cut(" " + text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.cuts:
+            return self.whole([t or "" for t in texts])
         self.words.turn()
         self.between.turn()
         out: list[bytes | None] = []
@@ -398,10 +410,11 @@ def write_ids(docs: DataFrame, uri: str, path: str, end_id: int, id_col: str = "
     spark = docs.sparkSession
     bounded_batches(spark)
     spark.dataSource.register(Simple8b)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = ranges(docs)
     # the order is by id; the text's hash deals out rows that share an id and fixes their order
-    rows = ids_and_texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
-    ranged = rows.repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h")
+    # equal rows are dealt out by their place in the input
+    rows = ids_and_texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text")).withColumn("deal", F.xxhash64(F.monotonically_increasing_id()))
+    ranged = rows.repartitionByRange(parts, "id", "h", "deal").sortWithinPartitions("id", "h")
     ranged.select(F.col("id").alias("doc_id"), "text").write.format("simple8b").option("tokenizer", path).option("end_id", end_id).mode("append").save(uri)
 
 
