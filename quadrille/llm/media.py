@@ -4,13 +4,14 @@ Method
     Payloads are stored losslessly as 8-bit grey PNG images, 64 samples a row, in ZIP archives (the
     images are compressed already, so members are stored as they are). An archive is closed at
     ``roll_bytes``; its central directory is therefore bounded. The data source "media_archive"
-    plans partitions on the driver from the archives' end records alone: byte ranges of about
-    ``range_bytes`` of each archive. A task reads its archive's directory, takes the members whose
-    offset lies in its range, and streams them through Arrow in batches of bounded bytes. Each
-    member is read by its own offset, checked against its CRC and read again by itself, from a
-    newly opened file, when a read or the check fails.
+    plans partitions on the driver: byte ranges of about
+    ``range_bytes`` of each archive, from the list of archives, which has each one's directory. A task
+    reads its archive's directory, takes the members whose offset lies in its range, reads
+    successive ones together in stretches of bounded bytes, and passes them through Arrow. Each
+    member is checked against its CRC; one whose read or check fails is read again by itself, by its own
+    offset, from a newly opened file.
 
-    Archives of more than 4 GB or 65,535 members use the ZIP64 records; both are read.
+    Archives of more than 4 GB or 65,535 members use the ZIP64 records, which are read.
 
 Defined results
     * a null or empty text is 64 zero bytes. Payloads are padded with zeros to a positive multiple of 64.
@@ -115,7 +116,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         context = TaskContext.get()
         part, names = context.partitionId(), []
         system, path = files.place(self.uri)
-        sink = out = temp = None
+        sink = raw = out = None
         members = 0
 
         def close() -> None:
@@ -123,16 +124,17 @@ class ArchiveWriter(DataSourceArrowWriter):
             if out is not None:
                 out.close()
                 sink.close()
-                names.append(f"part-{part:06d}-{len(names):04d}.zip")
-                files.renamed(self.uri, temp, names[-1])
+                # name, size, and the directory's offset and size
+                names[-1] += [raw.tell(), out.start_dir, raw.tell() - out.start_dir]
                 out = None
 
         for batch in iterator:
             for row, n, media in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if out is None:
-                    temp = f"_temp-{part}-{context.taskAttemptId()}"
-                    sink = system.open_output_stream(f"{path}/{temp}")
-                    out = zipfile.ZipFile(_Forward(sink), "w", zipfile.ZIP_STORED, allowZip64=True)
+                    names.append([files.own_name(part, context.taskAttemptId(), ".zip", len(names))])
+                    sink = system.open_output_stream(f"{path}/{names[-1][0]}")
+                    raw = _Forward(sink)
+                    out = zipfile.ZipFile(raw, "w", zipfile.ZIP_STORED, allowZip64=True)
                 info = zipfile.ZipInfo(f"m{members:09d}.png", (1980, 1, 1, 0, 0, 0))
                 info.comment = json.dumps([row, n]).encode()
                 out.writestr(info, media)
@@ -144,12 +146,14 @@ class ArchiveWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list) -> None:
         """The list of archives, written last: files of lost attempts are not in it."""
-        files.put(self.uri, "archives.json", json.dumps(sorted(n for m in messages if m for n in m.names)).encode())
+        names = sorted(n for m in messages if m for n in m.names)
+        files.put(self.uri, "archives.json", json.dumps(names).encode())
+        files.swept(self.uri, ".zip", {n[0] for n in names})
 
     def abort(self, messages: list) -> None:
         for m in messages:
             for n in m.names if m else []:
-                files.dropped(self.uri, n)
+                files.dropped(self.uri, n[0])
 
 
 class _Forward(io.RawIOBase):
@@ -198,20 +202,6 @@ class Member:
     n_bytes: int
 
 
-def end_record(uri: str, name: str, size: int) -> tuple[int, int]:
-    """(offset, size) of the central directory, from the archive's end record."""
-    tail_at = max(0, size - 66_000)
-    tail = files.ranged(uri, name, tail_at, size - tail_at)
-    at = tail.rfind(b"PK\x05\x06")
-    if at < 0:
-        raise ValueError(f"{name} has no end record")
-    n, offset = struct.unpack_from("<II", tail, at + 12)
-    if 0xFFFFFFFF in (n, offset) or struct.unpack_from("<H", tail, at + 10)[0] == 0xFFFF:
-        wide = tail.rfind(b"PK\x06\x06", 0, at)
-        n, offset = struct.unpack_from("<QQ", tail, wide + 40)
-    return offset, n
-
-
 def directory(uri: str, name: str, at: int, size: int) -> Iterator[Member]:
     data, p = files.ranged(uri, name, at, size), 0
     while p + 46 <= len(data) and data[p : p + 4] == b"PK\x01\x02":
@@ -267,12 +257,9 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         system, path = files.place(self.uri)
         with system.open_input_file(f"{path}/archives.json") as f:
-            names = set(json.loads(f.read()))
+            archives = json.loads(f.read())
         out = []
-        for name, size in files.listed(self.uri, ".zip"):
-            if name not in names:
-                continue
-            at, n = end_record(self.uri, name, size)
+        for name, size, at, n in archives:
             pieces = max(1, -(-at // self.range_bytes))
             out += [Range(name, size, at, n, at * i // pieces, at * (i + 1) // pieces) for i in range(pieces)]
         return out or [Range("", 0, 0, 0, 0, 0)]
@@ -281,23 +268,39 @@ class ArchiveReader(DataSourceReader):
         p = partition
         if not p.name:
             return
-        rows, held = [], 0
+        own: list[Member] = []
         for m in directory(self.uri, p.name, p.directory, p.directory_size):
             if not p.start <= m.offset < p.end:
                 continue
-            try:
-                data = read_member(self.uri, p.name, m, self.retries)
-            except OSError:
-                if self.on_error != "null":
-                    raise
-                data = None
-            rows.append((m.id, m.n_bytes, p.name, m.offset, data))
-            held += m.size
-            if held >= self.batch_bytes:
-                yield self.batch(rows)
-                rows, held = [], 0
-        if rows:
-            yield self.batch(rows)
+            if own and m.offset + m.size - own[0].offset > self.batch_bytes:
+                yield self.batch(self.rows(p, own, m.offset))
+                own = []
+            own.append(m)
+        if own:
+            yield self.batch(self.rows(p, own, min(p.directory, own[-1].offset + 30 + (1 << 17) + own[-1].size)))
+
+    def rows(self, p: Range, members: list[Member], end: int) -> list[tuple]:
+        """Members that stand together, from one read; those that it does not give whole are read by themselves."""
+        first, out = members[0].offset, []
+        try:
+            data = files.ranged(self.uri, p.name, first, end - first)
+        except OSError:
+            data = b""
+        for m in members:
+            at = m.offset - first
+            image = None
+            if data[at : at + 4] == b"PK\x03\x04" and len(data) >= at + 30:
+                at += 30 + sum(struct.unpack_from("<HH", data, at + 26))
+                image = data[at : at + m.size]
+            if image is None or len(image) != m.size or zlib.crc32(image) != m.crc:
+                try:
+                    image = read_member(self.uri, p.name, m, self.retries)
+                except OSError:
+                    if self.on_error != "null":
+                        raise
+                    image = None
+            out.append((m.id, m.n_bytes, p.name, m.offset, image))
+        return out
 
     @staticmethod
     def batch(rows: list[tuple]) -> pa.RecordBatch:
