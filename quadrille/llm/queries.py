@@ -9,7 +9,7 @@ from quadrille.llm.common import documents
 
 
 def vocabulary(name: str) -> str:
-    """A vocabulary file's place on this machine; workers find it by the same rule."""
+    """A vocabulary file's place, which is the same on every machine."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -27,6 +27,11 @@ def op3_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def quote_links_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3's operator over the given messages with those before them quoted, for the given ones hold no quotes."""
+    return quotes.link_quotes(quotes.quoting(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op1_simple8b_ids": op1_simple8b_ids,
     "op2_media_archive": op2_media_archive,
     "op3_quote_links": op3_quote_links,
+    "quote_links_derived": quote_links_derived,
     "op4_warc_derivatives": op4_warc_derivatives,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_decontaminate": op6_decontaminate,
@@ -70,7 +76,7 @@ QUERIES = {
     "op10_pii_crf": op10_pii_crf,
 }
 
-ORACLES: dict[str, str] = {"op3_quote_links": quotes.ORACLE}
+ORACLES: dict[str, str] = {"op3_quote_links": quotes.ORACLE, "quote_links_derived": quotes.QUOTING_ORACLE}
 
 
 def queries() -> dict:

@@ -4,12 +4,18 @@ Method
     A line's quote level is the number of ">" before its text. A passage is a run of lines of one
     level that are not blank; its text is its lines joined by spaces, lower-cased, with runs of white
     space as one space, so a quotation that was wrapped anew is still equal. Passages of level 0 are
-    a message's own. Every quoted passage is hashed and joined to own passages with the same hash
-    and text of earlier messages of its conversation. A message replies to the latest message that
+    a message's own. Every quoted passage is hashed and linked to the latest own passage with the same
+    hash and text of an earlier message of its conversation. A message replies to the latest message that
     its quotes link it to; without one, to the message before it. Quoted lines are then removed.
 
+    Linking is a running maximum, not a join of quotes and originals: both stand in one order of
+    (conversation, hash, turn), dealt into ranges, and a quote takes the last original before it. A
+    range's first passage may have begun in earlier ranges, so their last original is carried over, one
+    row for each range at most. A passage that is quoted and said very often costs its rows, not their pairs.
+
     Only conversations with a quoted line are cut into passages. Order in a conversation is by turn,
-    then role and text, which puts every message after the one it replies to. It is taken from one
+    then role and text, which puts every message after the one it replies to: ``reply_order`` is a
+    message's place in it, not a walk of the tree of replies. It is taken from one
     range-partitioned order of all messages: a row's place in its range plus the rows of the ranges
     before, less the place of its conversation's first row. So neither a conversation nor a passage
     that very many messages hold is gathered into one task: equal own passages of a conversation are
@@ -27,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import written
+from quadrille.llm.common import ranges, written
 
 QUOTED = r"(?m)^[ \t]*>"
 QUOTED_LINE = r"(?m)^[ \t]*>[^\n]*(?:\n|\z)"
@@ -46,14 +52,33 @@ def passages(messages: DataFrame) -> DataFrame:
     return lines.groupBy("uid", "conv", "turn", "level", "passage").agg(run.alias("text"))
 
 
+def _linked(quotes: DataFrame, originals: DataFrame, parts: int) -> DataFrame:
+    """(uid, n_linked, source) of messages with a quote that an earlier turn of their conversation says."""
+    same = ["conv", "hash", "text"]
+    quotes = quotes.filter("turn IS NOT NULL").select(*same, "turn", F.lit(0).alias("said"), "uid", "passage")
+    own = originals.filter("turn IS NOT NULL").join(quotes.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi").select(*same, "turn").distinct()
+    own = own.select(*same, "turn", F.lit(1).alias("said"), F.lit(None).cast("long").alias("uid"), F.lit(None).cast("long").alias("passage"))
+    # what a turn says stands behind what it quotes
+    events = quotes.union(own).repartitionByRange(parts, "conv", "hash", "turn", "said", "uid", "passage").withColumn("range", F.spark_partition_id())
+    events = written(events, "quoted").withColumn("source", F.when(F.col("said") == 1, F.col("turn")))
+    so_far = Window.partitionBy("range", *same).orderBy("turn", "said").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a range's rows at most
+    earlier = Window.partitionBy(*same).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    carried = events.groupBy("range", *same).agg(F.max("source").alias("last")).withColumn("carried", F.max("last").over(earlier)).filter("carried IS NOT NULL").drop("last")
+    found = events.withColumn("source", F.max("source").over(so_far)).filter("said = 0")
+    found = found.join(F.broadcast(carried), ["range", *same], "left").withColumn("source", F.coalesce("source", "carried")).filter("source IS NOT NULL")
+    return found.groupBy("uid").agg(F.count(F.lit(1)).alias("n_linked"), F.max("source").alias("source"))
+
+
 def link_quotes(table: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, turn, role, n_quotes, n_linked, reply_to, reply_order, body), one row for each message."""
     spark = table.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = ranges(table)
     rows = table.select(*(F.col(f"`{c}`").cast(t).alias(n) for c, t, n in ((conv_col, "long", "conv"), (turn_col, "long", "turn"), (role_col, "string", "role"), (text_col, "string", "text"))))
     order = ["conv", "turn", "role", "text"]
-    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("uid", F.monotonically_increasing_id())
-    placed = written(placed, "messages")
+    # equal rows are dealt out by their place in the input
+    rows = rows.withColumn("deal", F.xxhash64(F.monotonically_increasing_id()))
+    placed = rows.repartitionByRange(parts, *order, "deal").sortWithinPartitions(*order).withColumn("uid", F.monotonically_increasing_id())
+    placed = written(placed.drop("deal"), "messages")
     # uid is the range in the high bits and the place in the range in the low 33
     of_range, in_range = F.shiftright("uid", 33), F.col("uid").bitwiseAND((1 << 33) - 1)
     sizes = placed.groupBy(of_range.alias("range")).agg(F.count(F.lit(1)).alias("m"))  # one row for each range
@@ -64,10 +89,7 @@ def link_quotes(table: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     quoting = placed.filter(F.col("text").rlike(QUOTED) & F.col("conv").isNotNull()).select("conv").distinct()
     found = written(passages(placed.join(quoting, "conv", "left_semi")).withColumn("hash", F.xxhash64("text")), "passages")
     quotes = found.filter("level > 0")
-    originals = found.filter("level = 0 AND turn IS NOT NULL").select("conv", "hash", F.col("text").alias("t"), F.col("turn").alias("source")).distinct()
-    same = ["conv", "hash"]
-    linked = quotes.join(originals, same).filter("text = t AND source < turn").groupBy("uid", "passage").agg(F.max("source").alias("source"))
-    linked = linked.groupBy("uid").agg(F.count(F.lit(1)).alias("n_linked"), F.max("source").alias("source"))
+    linked = _linked(quotes, found.filter("level = 0"), parts)
     counted = quotes.groupBy("uid").agg(F.count(F.lit(1)).alias("n_quotes"))
 
     first = messages.groupBy(F.col("conv").alias("fc")).agg(F.min("place").alias("first"))
@@ -117,3 +139,21 @@ SELECT m.conv_id, m.turn, m.role, coalesce(n_quotes, 0)::BIGINT AS n_quotes, coa
        trim(regexp_replace(m.text, '(?m)^[ \t]*>[^\n]*(?:\n|\z)', '', 'g')) AS body
 FROM m LEFT JOIN n ON n.uid = m.uid
 """
+
+
+def quoting(table: DataFrame) -> DataFrame:
+    """The messages of a table with what the two before them say quoted above their own text, for tables without quotes."""
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    marked = [F.concat(F.lit(m), F.replace(F.lag("text", n).over(before), F.lit("\n"), F.lit("\n" + m)), F.lit("\n")) for n, m in ((2, ">> "), (1, "> "))]
+    return table.select("conv_id", "turn", "role", F.concat(*(F.coalesce(x, F.lit("")) for x in marked), "text").alias("text"))
+
+
+QUOTING_ORACLE = ORACLE.replace(
+    "\nWITH m AS (",
+    r"""
+WITH quoting AS (
+  SELECT conv_id, turn, role, coalesce('>> ' || replace(lag(text, 2) OVER w, chr(10), chr(10) || '>> ') || chr(10), '')
+    || coalesce('> ' || replace(lag(text, 1) OVER w, chr(10), chr(10) || '> ') || chr(10), '') || text AS text
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
+), m AS (""",
+).replace("FROM conversations\n)", "FROM quoting\n)")
