@@ -2,9 +2,9 @@
 
 Method
     The data source "warc" reads and writes record files, one gzip member for each record, in files
-    closed at ``roll_bytes``; a task writes under a name of its attempt and renames whole files, and
-    the list of files is written last. From each response two records are derived: a metadata
-    record, whose JSON block keeps the source's WARC headers, HTTP status and headers, digests,
+    closed at ``roll_bytes``; a task writes under names of its attempt, and the list of the files that
+    count is written last. From each response two records are derived: a metadata
+    record, whose JSON block keeps the source's WARC headers in their order, repeats and all, HTTP status and headers, digests,
     title and links; and a conversion record with the page's text. Both name the response in
     WARC-Refers-To and each other in WARC-Concurrent-To, keep its target URI and date, and have
     identifiers that follow from the response's, so a task that runs again makes the same records.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from quadrille.llm import files
-from quadrille.llm.common import bounded_batches, scratch_path
+from quadrille.llm.common import bounded_batches, removed, scratch_path
 
 ROLL_BYTES = 32_000_000
 LEVEL = 1
@@ -137,7 +137,7 @@ def derived(headers: list[tuple[str, str]], block: bytes) -> tuple[bytes, bytes]
     common = [("WARC-Refers-To", rid), ("WARC-Target-URI", source.get("warc-target-uri", "")), ("WARC-Date", source.get("warc-date", DATE)), *own]
     body = json.dumps(
         {
-            "source": dict(headers),
+            "source": [list(h) for h in headers],
             "http": {"status": status, "headers": [list(map(str.strip, f.split(":", 1))) for f in fields if ":" in f]},
             "payload": {"length": len(payload), "digest": found, "agrees": found == source.get("warc-payload-digest")},
             "html": described(page),
@@ -175,20 +175,18 @@ class WarcWriter(DataSourceArrowWriter):
         context = TaskContext.get()
         part, names, out, held = context.partitionId(), [], None, 0
         system, path = files.place(self.uri)
-        temp = f"_temp-{part}-{context.taskAttemptId()}"
 
         def close() -> None:
             nonlocal out, held
             if out is not None:
                 out.close()
-                names.append(f"part-{part:06d}-{len(names):04d}.warc.gz")
-                files.renamed(self.uri, temp, names[-1])
                 out, held = None, 0
 
         for batch in iterator:
             for value in batch.column(0):
                 if out is None:
-                    out = system.open_output_stream(f"{path}/{temp}", compression=None)
+                    names.append(files.own_name(part, context.taskAttemptId(), ".warc.gz", len(names)))
+                    out = system.open_output_stream(f"{path}/{names[-1]}", compression=None)
                 packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 data = packer.compress(value.as_py()) + packer.flush()
                 out.write(data)
@@ -199,7 +197,9 @@ class WarcWriter(DataSourceArrowWriter):
         return Files(names)
 
     def commit(self, messages: list) -> None:
-        files.put(self.uri, "files.json", json.dumps(sorted(n for m in messages if m for n in m.names)).encode())
+        names = sorted(n for m in messages if m for n in m.names)
+        files.put(self.uri, "files.json", json.dumps(names).encode())
+        files.swept(self.uri, ".warc.gz", set(names))
 
     def abort(self, messages: list) -> None:
         for m in messages:
@@ -346,4 +346,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
     source, made = scratch_path(spark, "warc"), scratch_path(spark, "warc-derived")
     write_records(responses(pages), source)
     write_records(read_records(spark, source, "derived"), made)
+    removed(spark, source)
     return read_records(spark, made, "summary")
