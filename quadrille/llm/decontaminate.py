@@ -45,6 +45,10 @@ from quadrille.llm.common import bounded_batches, ids_and_texts
 
 RATE = 0.1
 BLOCK_BYTES = 16_000_000
+#: Words of windows that are embedded at a time.
+WINDOW_WORDS = 2_000_000
+#: Odd multipliers of the hash that draws the walks' bits.
+MIX = (0x1E3779B97F4A7C15, 0x2545F4914F6CDD1D, 0x3F58476D1CE4E5B9)
 #: Words, lower-cased: ASCII characters other than letters and digits separate them.
 BREAKS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -70,7 +74,7 @@ def sellers(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 class Matcher:
     """The items of one block, embedded and hashed; made once in each worker."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], rate: float = RATE, walks: int = 4, hashes: int = 12, places: int = 4, seed: int = 11):
+    def __init__(self, items: list[tuple[int | None, str | None]], rate: float = RATE, walks: int = 8, hashes: int = 12, places: int = 3, seed: int = 11):
         self.rate, self.walks, self.hashes, self.places = rate, walks, hashes, places
         split = [(i, words_of(t)) for i, t in items]
         split = [(i, w) for i, w in split if w]
@@ -80,9 +84,6 @@ class Matcher:
         self.lengths = sorted({len(x) for x in self.items})
         self.edits = [math.floor(rate * n) for n in self.lengths]
         self.draw = np.random.default_rng(seed)
-        longest = 3 * (self.lengths[-1] if self.lengths else 1)
-        # one bit for each walk, step and symbol: words, others (0), and the end (last)
-        self.bits = self.draw.integers(0, 2, (walks, longest, len(self.vocab) + 2), dtype=np.int8)
         self.mixers = self.draw.integers(1, 1 << 62, (walks, hashes, places), dtype=np.int64) | 1
         self.tables: dict[int, list[dict[int, list[int]]]] = {}
         self.sampled: dict[int, np.ndarray] = {}
@@ -104,6 +105,14 @@ class Matcher:
                 tables.append(table)
             self.tables[length] = tables
 
+    @staticmethod
+    def bit(walk: int, step: int, symbol: np.ndarray) -> np.ndarray:
+        """The walk's random bit of each symbol at a step: whether it goes on to the next symbol."""
+        x = symbol * MIX[0] + ((walk << 40) + step) * MIX[1] % (1 << 62)
+        x ^= x >> 31
+        x *= MIX[2]
+        return x >> 62 & 1
+
     def keys(self, windows: np.ndarray, length: int) -> np.ndarray:
         """One key for each window (a row of symbols) and hash function."""
         n = len(windows)
@@ -113,17 +122,18 @@ class Matcher:
         rows = np.arange(n)
         for walk in range(self.walks):
             sampled = self.sampled[length][walk]
-            steps = int(sampled.max()) + 1
-            seen = np.empty((steps, n), np.int64)
+            places = set(sampled.ravel().tolist())
+            seen: dict[int, np.ndarray] = {}
             at = np.zeros(n, np.int64)
-            for j in range(steps):
+            for j in range(max(places) + 1):
                 symbol = padded[rows, np.minimum(at, length)]
-                seen[j] = symbol
-                at += self.bits[walk, j][symbol]
+                if j in places:
+                    seen[j] = symbol
+                at += self.bit(walk, j, symbol)
             for h in range(self.hashes):
                 key = np.zeros(n, np.int64)
                 for p in range(self.places):
-                    key = (key + seen[sampled[h, p]] + 1) * self.mixers[walk, h, p]
+                    key = (key + seen[int(sampled[h, p])] + 1) * self.mixers[walk, h, p]
                     key ^= key >> 29
                 out[:, walk * self.hashes + h] = key
         return out
@@ -160,8 +170,9 @@ class Matcher:
             at = np.flatnonzero(known[length:] - known[:-length] >= need)
             at = at[turned[at + length] - turned[at + 1] >= self.turns[length] - 2 * (length - need)]
             at = at[owner[at] == owner[at + length - 1]]
-            for part in range(0, len(at), 4096):
-                own = at[part : part + 4096]
+            some = max(1, min(4096, WINDOW_WORDS // length))
+            for part in range(0, len(at), some):
+                own = at[part : part + some]
                 keys = self.keys(all_words[own[:, None] + np.arange(length)], length)
                 for h, table in enumerate(self.tables[length]):
                     column = keys[:, h]
