@@ -5,8 +5,10 @@ Method
     match that fails its check is dropped. The field then labels tokens (runs of characters that
     are not white space) as email, ip, card, phone or none, from word-shape features of a token and
     its two neighbours. It is trained on TRAINING, a small labelled table, by gradient descent on
-    the penalised likelihood, and decoded by Viterbi in numpy over batches of padded windows. A
-    decoded span that touches no base span is added; base spans stay as they are.
+    the penalised likelihood, and decoded by Viterbi in numpy over batches of padded windows. Features
+    read whole tokens, and of a run of tokens of digits its whole number of digits and their check.
+    Decoded tokens that touch no base span are added, runs of one label as one span; base spans stay as
+    they are, and what stands on either side of one stays a run of its own.
 
     Windows: a token without a digit, "@", "+" or a bracket is plain. The field is defined with the
     label none wherever a token and both its neighbours are plain, in training and in decoding, so
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -99,6 +102,8 @@ send it to [email li+news@example.net] please
 reach me at [email jane (at) example (dot) com] any day
 reach us at [email support [at] example [dot] org] any day
 mail [email bob [at] mail.example.net] for the key
+write to [email desk [at] shop4 [dot] net] some day
+he sent [email ed7 [at] shop2 [dot] org] a list
 mail [email ann (at) firm.example.com] for the list
 the host [email ops@db-4.example.io] is down
 the server [ip 10.20.30.40] is down
@@ -132,6 +137,9 @@ from 1914-1918 and 1939-1945 in all
 section 4.2.1 (b) says so (see 4.2)
 id 1234567890123456 is no card at all
 id 4111111111111112 is no card at all
+id 4111 1111 1111 1112 is no card at all
+number 5500 0055 5555 5551 was found
+row 1234 5678 9012 3456 of the table
 serial 99887766554433221100998877 was found
 token = "58ed55e8cc700f5a0109593b09" was set
 key 0x7fffffff and a1b2c3d4e5 were found
@@ -161,25 +169,27 @@ def _octets(core: str) -> bool:
     return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)
 
 
-@lru_cache(maxsize=50_000)
 def shape_features(token: str) -> tuple[str, ...]:
-    """Features of one token alone; ("plain",) for tokens that no trigger marks."""
+    """Features of one token alone; ("plain",) for tokens that no trigger marks. Short ones are kept."""
+    return _kept_shape(token) if len(token) <= 80 else _shape(token)
+
+
+def _shape(token: str) -> tuple[str, ...]:
     if not TRIGGER.search(token):
         word = token.strip(STRIP_LEFT + STRIP_RIGHT + ")=").lower()
         return (f"known:{word}",) if word in KNOWN else ("plain",)
-    token = token[:80]
     core = token.strip("<>\"',;:.!?")
     shape = core
     for pattern, to in _RUNS:
         shape = pattern.sub(to, shape)
     n = sum(c.isdigit() for c in core)
     digits = "".join(c for c in core if c in "0123456789")
-    out = [f"shape:{shape[:14]}", "marked"]
+    out = [f"shape:{shape if len(shape) <= 14 else 'long'}", "marked"]
     if n and "@" not in core and any(c.isalpha() for c in core):
         return (*out, "letters and digits")
     out.append(f"digits:{n if n < 6 else 'many' if n > 19 else '6-9' if n < 10 else '10-13' if n < 14 else '14-19'}")
     runs = re.findall(r"[0-9]+", core)
-    out.append("runs:" + "-".join(str(min(len(r), 9)) for r in runs[:4]))
+    out.append("runs:" + ("-".join(str(min(len(r), 9)) for r in runs) if len(runs) <= 4 else "many"))
     if 14 <= n <= 19:
         out.append(f"luhn:{luhn(digits)}")
     if _octets(core):
@@ -193,8 +203,30 @@ def shape_features(token: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def token_features(tokens: list[str], i: int) -> list[str]:
+_kept_shape = lru_cache(maxsize=50_000)(_shape)
+
+
+def grouped(tokens: list[str]) -> list[str | None]:
+    """A feature for the tokens of digits that stand in a run of such: whether the run is a card's number."""
+    out: list[str | None] = [None] * len(tokens)
+    i = 0
+    while i < len(tokens):
+        j, digits = i, []
+        while j < len(tokens) and (d := tokens[j].strip("<>\"',;:.!?()")).isascii() and d.isdigit():
+            digits.append(d)
+            j += 1
+        if j > i + 1:
+            whole = "".join(digits)
+            found = f"group:luhn:{luhn(whole)}" if 14 <= len(whole) <= 19 else "group:other"
+            out[i:j] = [found] * (j - i)
+        i = max(j, i + 1)
+    return out
+
+
+def token_features(tokens: list[str], i: int, groups: list[str | None]) -> list[str]:
     out = list(shape_features(tokens[i]))
+    if groups[i]:
+        out.append(groups[i])
     out += ["-" + f for f in (shape_features(tokens[i - 1]) if i else ("plain",))]
     out += ["+" + f for f in (shape_features(tokens[i + 1]) if i + 1 < len(tokens) else ("plain",))]
     return out
@@ -234,8 +266,9 @@ class Field:
 
     def emissions(self, tokens: list[str]) -> np.ndarray:
         out = np.zeros((len(tokens), len(LABELS)))
+        groups = grouped(tokens)
         for i in range(len(tokens)):
-            slots = [self.index[f] for f in token_features(tokens, i) if f in self.index]
+            slots = [self.index[f] for f in token_features(tokens, i, groups) if f in self.index]
             out[i] = self.weights[slots].sum(axis=0)
             if not marked(tokens, i):
                 out[i, 1:] = -1e9
@@ -270,13 +303,14 @@ class Field:
 def trained(steps: int = 250, rate: float = 0.15, penalty: float = 0.02) -> Field:
     """Fit the field to the labelled table: forward-backward in log space, Adam, deterministic."""
     rows = training_rows()
-    names = sorted({f for tokens, _ in rows for i in range(len(tokens)) for f in token_features(tokens, i)})
+    found = [[token_features(tokens, i, groups) for i in range(len(tokens))] for tokens, _ in rows for groups in [grouped(tokens)]]
+    names = sorted({f for row in found for own in row for f in own})
     index, k = {f: i for i, f in enumerate(names)}, len(LABELS)
     longest, n = max(len(t) for t, _ in rows), len(rows)
     x, y, mask = np.zeros((n, longest, len(names)), np.float32), np.zeros((n, longest), int), np.zeros((n, longest), bool)
     for r, (tokens, labels) in enumerate(rows):
         for i in range(len(tokens)):
-            x[r, i, [index[f] for f in token_features(tokens, i)]] = 1
+            x[r, i, [index[f] for f in found[r][i]]] = 1
         y[r, : len(labels)], mask[r, : len(labels)] = labels, True
     free = np.zeros((n, longest, k))
     for r, (tokens, _) in enumerate(rows):
@@ -374,20 +408,35 @@ def alone(token: str, kind: int) -> bool:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], found: list[tuple[list[str], list[int], np.ndarray]]) -> list[tuple[int, int, int]]:
-    """Runs of one label, without the marks around them, that touch no base span."""
-    out, taken = [], sorted((a, b) for a, _, b in base)
+    """Runs of tokens of one label that touch no base span, without the marks around them."""
+    out = []
+    # base spans of different kinds may overlap; merged, their ends are in order
+    taken: list[list[int]] = []
+    for a, _, b in sorted(base):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    ends = [b for _, b in taken]
+
+    def free(a: int, b: int) -> bool:
+        at = bisect_right(ends, a)
+        return at == len(taken) or taken[at][0] >= b
+
     for tokens, starts, labels in found:
         i = 0
         while i < len(tokens):
             kind = int(labels[i])
+            if not kind or not free(starts[i], starts[i] + len(tokens[i])):
+                i += 1
+                continue
             j = i
-            while j + 1 < len(tokens) and labels[j + 1] == kind and not (kind and (alone(tokens[j], kind) or alone(tokens[j + 1], kind))):
+            while j + 1 < len(tokens) and labels[j + 1] == kind and free(starts[j + 1], starts[j + 1] + len(tokens[j + 1])) and not (alone(tokens[j], kind) or alone(tokens[j + 1], kind)):
                 j += 1
-            if kind:
-                a = _trim(tokens[i], starts[i], i == j, True, kind)[0]
-                b = _trim(tokens[j], starts[j], True, i == j, kind)[1]
-                if a < b and not any(x < b and y > a for x, y in taken):
-                    out.append((a, kind - 1, b))
+            a = _trim(tokens[i], starts[i], i == j, True, kind)[0]
+            b = _trim(tokens[j], starts[j], True, i == j, kind)[1]
+            if a < b:
+                out.append((a, kind - 1, b))
             i = j + 1
     return out
 
