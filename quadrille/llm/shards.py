@@ -9,8 +9,9 @@ Method
     either side.
 
     Equal rows are first counted, so a row that very often repeats is one row with a count until its
-    place is known. A range is one task's input and holds rows of some 40 bytes; ranges are as many
-    as spark.sql.shuffle.partitions. One id that many rows share is dealt out by crc32 and size.
+    place is known, and is unfolded in blocks of BLOCK. A range is one task's input and holds rows of
+    some 40 bytes; ranges are as many as the input's bytes ask for. One id that many rows share is dealt
+    out by crc32 and size.
 
 Defined results
     * null texts have size 1 and crc32 0; so have empty texts.
@@ -27,7 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import ids_and_texts, written
+from quadrille.llm.common import ids_and_texts, ranges, written
+
+
+#: Repeats of one row that are unfolded at a time.
+BLOCK = 100_000
 
 
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,7 +44,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
         F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("crc"),
     )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = ranges(docs)
     rows = written(rows.groupBy("id", "crc", "size").agg(F.count(F.lit(1)).alias("times")), "sizes")
     rows = rows.repartitionByRange(parts, "id", "crc", "size").sortWithinPartitions("id", "crc", "size")
     ranged = written(rows.withColumn("range", F.spark_partition_id()), "ranges")
@@ -68,7 +73,12 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     # each range is one partition again, in its order
     regrouped = ranged.repartition(max(1, len(totals)), "range").sortWithinPartitions("range", "id", "crc", "size")
     placed = regrouped.select("id", "crc", "size", "times", "range").mapInArrow(run, "id long, crc long, size long, times long, lead long, place long")
-    placed = placed.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    placed = written(placed, "offsets")
+    # a row that repeats very often is unfolded in blocks, which other tasks take
+    often = placed.filter(F.col("times") > BLOCK)
+    blocks = often.withColumn("from", F.explode(F.expr(f"sequence(0L, times - 1, {BLOCK}L)"))).repartition(parts)
+    once = placed.filter(F.col("times") <= BLOCK).withColumn("from", F.lit(0).cast("long"))
+    placed = once.union(blocks).withColumn("i", F.explode(F.expr(f"sequence(from, least(from + {BLOCK}L, times) - 1)")))
     placed = placed.select("id", "crc", "size", (F.col("lead") + F.col("i") * F.col("size")).alias("lead"), (F.col("place") + F.col("i")).alias("place"))
     middle = (F.col("lead").cast("decimal(38,0)") * 2 + F.col("size")) * shards
     placed = written(placed.withColumn("shard", F.least(F.floor(middle / F.lit(max(2 * total, 1)).cast("decimal(38,0)")).cast("int"), F.lit(shards - 1))), "placed")
