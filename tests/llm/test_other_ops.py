@@ -53,8 +53,9 @@ def test_archives_roll_and_ranges_cover_every_member_once(spark, odd, tmp_path):
 def test_a_member_is_read_again_by_itself_and_then_given_up(spark, odd, tmp_path):
     uri = f"file://{tmp_path}/m"
     media.write_media(odd.coalesce(1), uri)
-    name, size = media.files.listed(uri, ".zip")[0]
-    first = next(iter(media.directory(uri, name, *media.end_record(uri, name, size))))
+    name, size, at, length = json.loads((tmp_path / "m" / "archives.json").read_text())[0]
+    assert size == (tmp_path / "m" / name).stat().st_size
+    first = next(iter(media.directory(uri, name, at, length)))
     calls = []
 
     def flaky(*a):
@@ -75,6 +76,39 @@ def test_a_member_is_read_again_by_itself_and_then_given_up(spark, odd, tmp_path
     assert sum(r.media is None for r in got) == 1 and len(got) == len(ODD)
 
 
+def test_members_that_a_stretch_does_not_give_are_read_by_themselves(odd, tmp_path, monkeypatch):
+    uri = f"file://{tmp_path}/m"
+    media.write_media(odd.coalesce(1), uri)
+    reader, real, asked = media.ArchiveReader(uri, {"batch_bytes": "1000", "retries": "1"}), media.files.ranged, []
+    whole = [row for p in reader.partitions() for b in reader.read(p) for row in b.to_pylist()]
+
+    def lossy(uri, name, at, size):
+        asked.append(at)
+        if size > 5_000 and len(asked) % 3 == 0:
+            raise OSError("lost")
+        got = real(uri, name, at, size)
+        return got[: size // 2] if size > 200 and len(asked) == 2 else got
+
+    monkeypatch.setattr(media.files, "ranged", lossy)
+    assert [row for p in reader.partitions() for b in reader.read(p) for row in b.to_pylist()] == whole and len(whole) == len(ODD)
+
+
+def test_schemes_of_connectors_are_mapped_and_a_cluster_needs_its_folder():
+    from quadrille.llm import common, files
+
+    assert files.arrow_uri("s3a://bucket/a/b") == "s3://bucket/a/b" and files.arrow_uri("gs://b/c") == "gs://b/c"
+
+    class Far:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError):
+        common.scratch_root(Far)
+
+
 # -- quotes --------------------------------------------------------------------------------------
 
 
@@ -114,6 +148,49 @@ def test_quotes_are_linked_and_removed(spark, tmp_path):
     assert sorted(map(str, want)) == sorted(str(tuple(r[n] for n in names)) for r in quotes.link_quotes(kept).collect())
 
 
+def by_hand(rows):
+    """{(conv, place): (quotes, linked, reply)} of messages (conv, turn, role, text), by loops."""
+    out, convs = {}, {}
+    for r in sorted(rows):
+        convs.setdefault(r[0], []).append(r)
+    for conv, own in convs.items():
+        said, cut = [], []
+        for _, turn, _, text in own:
+            runs, before = [], -2
+            for line in text.split("\n"):
+                mark = re.match(r"(?:[ \t]*>)*", line).group()
+                body = re.sub(r"\s+", " ", line[len(mark) :].lower()).strip(" ")
+                level = mark.count(">") if body else -1
+                if level != before and level >= 0:
+                    runs.append([level, body])
+                elif level >= 0:
+                    runs[-1][1] += " " + body
+                before = level
+            cut.append((turn, runs))
+            said += [(turn, t) for level, t in runs if not level]
+        for place, (turn, runs) in enumerate(cut):
+            links = [max((at for at, t in said if t == body and at < turn), default=None) for level, body in runs if level]
+            known = [x for x in links if x is not None]
+            out[conv, place] = (len(links), len(known), max(known) if known else cut[place - 1][0] if place else None)
+    return out
+
+
+def test_quotes_derived_from_messages_are_linked_as_by_hand(spark, small):
+    table = quotes.quoting(spark.read.parquet(f"{small}/conversations.parquet").dropna())
+    rows = [tuple(r) for r in table.collect()]
+    assert sum(">" in r[3] for r in rows) > len(rows) // 2
+    got = {(r.conv_id, r.reply_order): (r.n_quotes, r.n_linked, r.reply_to) for r in quotes.link_quotes(table).collect()}
+    assert got == by_hand(rows) and sum(n for _, n, _ in got.values()) > 50
+
+
+def test_one_passage_said_and_quoted_by_a_whole_conversation(spark):
+    """A conversation that holds most rows, spread over many ranges; deep quotes and a very long one."""
+    rows = [(1, t, "u", "ok\n> ok\n" + (">" * (t % 40 + 1)) + " ok") for t in range(600)]
+    rows += [(2, 0, "u", "long " * 30_000), (2, 1, "u", "> " + "long " * 30_000), *[(3, t, "u", f"> ok\nown {t}") for t in range(20)]]
+    got = {(r.conv_id, r.reply_order): (r.n_quotes, r.n_linked, r.reply_to) for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == by_hand(rows)
+
+
 def test_the_quote_plan_has_no_python(spark):
     table = spark.createDataFrame([(1, 0, "u", "a"), (1, 1, "b", "> a\nb")], "conv_id long, turn long, role string, text string")
     plan = quotes.link_quotes(table)._jdf.queryExecution().toString()
@@ -141,12 +218,57 @@ def test_derivatives_refer_to_their_responses(spark, small, tmp_path):
         assert byid[h["WARC-Concurrent-To"]].refers_to == r.refers_to
         if r.type == "metadata":
             block = json.loads(bytes(r.block))
-            assert block["source"] == own and block["payload"]["agrees"] and block["html"]["title"]
+            assert block["source"] == json.loads(origin.headers) and block["payload"]["agrees"] and block["html"]["title"]
         else:
             text = bytes(r.block).decode()
             assert "track(" not in text and "margin:0" not in text
 
 
+def test_text_title_and_links_are_those_of_a_parser(spark, small):
+    """Held against the standard library's HTML parser, which shares no code with the operator."""
+    from html.parser import HTMLParser
+
+    class Page(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words, self.links, self.title, self.hidden, self.in_title = [], [], "", 0, False
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "noscript", "template")
+            self.in_title |= tag == "title"
+            self.words.append(" " if tag in warc.BLOCKS else "")
+            self.links += [v for k, v in attrs if tag == "a" and k == "href" and v]
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "noscript", "template")
+            self.in_title &= tag != "title"
+            self.words.append(" " if tag in warc.BLOCKS else "")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.words.append(data)
+                self.title += data if self.in_title else ""
+
+    agreed = 0
+    pages = spark.read.parquet(f"{small}/pages.parquet").collect()
+    for r in pages:
+        p = Page()
+        p.feed(r.html or "")
+        p.close()
+        own = warc.described(r.html or "")
+        assert own["links"] == p.links and (own["title"] or "") == p.title.strip()
+        agreed += warc.text_of(r.html or "").split() == "".join(p.words).split()
+    assert agreed == len(pages)
+
+
+def test_repeated_source_headers_are_kept():
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Protocol", "http/1.1"), ("WARC-Protocol", "tls/1.3")]
+    meta, text = (warc.parsed(r) for r in warc.derived(headers, b"HTTP/1.1 200 OK\r\nA: 1\r\nA: 2\r\n\r\n<title>t</title>" + b"<p>x</p>" * 50_000))
+    block = json.loads(meta[1])
+    assert block["source"] == [list(h) for h in headers] and block["http"]["headers"] == [["A", "1"], ["A", "2"]]
+    assert text[1].count(b"x") == 50_000
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u\r\nX: y", "<p>a<br>b"), (2, "u", "<!-- never ends <p>x"), (2, "u", ""), (2, "u", ""), (3, "v", "a &amp; b<" * 3 + "<script>z")], "page_id long, url string, html string")
     got = warc.round_trip(pages).collect()
@@ -220,6 +342,31 @@ def test_passages_with_words_missing_are_found_at_the_ends_of_documents():
         assert [m[0] for m in matcher.find(texts[:1])[0]] == [m[0] for m in found[0]]
 
 
+def test_long_passages_with_words_missing_reach_the_target():
+    draw = np.random.default_rng(9)
+    for length in (100, 200):
+        items, texts = [], []
+        for k in range(40):
+            own = [f"w{x}" for x in draw.integers(3000, size=length)]
+            gone = set(draw.choice(length, length // 10, replace=False).tolist())
+            other = [f"o{x}" for x in draw.integers(3000, size=60)]
+            items.append((k, " ".join(own)))
+            texts.append(" ".join([*other[:30], *(w for i, w in enumerate(own) if i not in gone), *other[30:]]))
+        found = decontaminate.Matcher(items).find(texts)
+        assert sum(k in [m[0] for m in ms] for k, ms in enumerate(found)) >= 0.97 * len(items)
+
+
+def test_a_very_long_item_takes_bounded_memory():
+    import tracemalloc
+
+    words = [f"w{i}" for i in range(6_000)]
+    tracemalloc.start()
+    found = decontaminate.Matcher([(1, " ".join(words))]).find([" ".join(["x", *words[:3000], "new", *words[3000:]]), "x " * 9_000])
+    assert tracemalloc.get_traced_memory()[1] < 400_000_000
+    tracemalloc.stop()
+    assert [m[:2] for m in found[0]] == [(1, 1)] and found[1] == []
+
+
 def test_decontamination_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, None), (None, "one two"), (3, "...")], "item_id long, text string")
     got = sorted((str(r.id), str(r.item_id), r.edits) for r in decontaminate.find(odd, bench).collect())
@@ -257,6 +404,13 @@ def test_one_id_for_a_third_of_all_rows(spark):
     assert max(sizes) - min(sizes) <= 20
 
 
+def test_rows_that_repeat_are_unfolded_in_blocks(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("if(id < 300, 1, id) AS doc_id", "'t' AS text")
+    whole = sorted(map(tuple, shards.shard(rows, 4).select("id", "shard", "slot").collect()), key=str)
+    monkeypatch.setattr(shards, "BLOCK", 7)
+    assert sorted(map(tuple, shards.shard(rows, 4).select("id", "shard", "slot").collect()), key=str) == whole and len(whole) == 400
+
+
 # -- quality -------------------------------------------------------------------------------------
 
 
@@ -290,6 +444,32 @@ def test_dual_descent_separates_what_can_be_separated():
     assert np.mean([(m.score(r) > 0.5) == t for r, t in zip(rows, y)]) > 0.93
 
 
+def test_dual_descent_reaches_the_least_objective():
+    """Held against projected gradient steps on the dual, a solver of its own."""
+    draw = np.random.default_rng(2)
+    x = (draw.random((60, 12)) < 0.4) * draw.normal(1, 0.3, (60, 12))
+    y = np.where(x[:, :6].sum(axis=1) + draw.normal(0, 0.5, 60) > x[:, 6:].sum(axis=1), 1.0, -1.0)
+    full = np.hstack([x, np.ones((60, 1))]) * y[:, None]
+    gram, alpha = full @ full.T, np.zeros(60)
+    step = 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(60_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, 1.0)
+
+    def objective(w):
+        return w @ w / 2 + np.maximum(0, 1 - full @ w).sum()
+
+    slots = [np.flatnonzero(r) for r in x]
+    w, bias = quality.dual_descent(slots, [r[s] for r, s in zip(x, slots)], y, 12, 1.0, 3_000)
+    assert objective(np.append(w, bias)) <= objective(full.T @ alpha) * 1.005 + 1e-6
+
+
+def test_labels_with_one_hash_and_repeated_ids_are_all_taken(spark):
+    docs = spark.createDataFrame([(i % 7 + 1, f"word{i % 3} . " * 5) for i in range(70)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 8)] * 2, "doc_id long, quality int")
+    scores = [sorted((r.id, round(r.score, 9)) for r in quality.score(docs, quality.train(docs, labels)).collect()) for _ in range(2)]
+    assert scores[0] == scores[1]
+
+
 # -- personal data -------------------------------------------------------------------------------
 
 
@@ -316,10 +496,14 @@ def test_base_spans_are_those_of_the_patterns(text):
 def test_long_texts_are_read_in_linear_time():
     import time
 
-    began = time.time()
-    for text in ("a" * 400_000, "1" * 400_000, "1." * 200_000, "a@" * 200_000, "+1" + " (" * 200_000, "1 " * 200_000):
+    def took(text):
+        began = time.process_time()
         pii.find_all([text], pii.trained())
-    assert time.time() - began < 40
+        return time.process_time() - began
+
+    pii.trained()
+    for part, n in (("a", 200_000), ("1", 200_000), ("1.", 100_000), ("a@", 100_000), ("+1 (", 50_000), ("1 ", 50_000), ("a@b.cd x (212) 555-0188 y 10.0.0.1 z bob (at) b (dot) cd w ", 2_000), ("(212)", 50_000)):
+        assert took(part * (2 * n)) <= 3.5 * took(part * n) + 0.5, part
 
 
 def test_the_field_learns_its_table_and_finds_other_forms():
@@ -337,6 +521,42 @@ def test_the_field_learns_its_table_and_finds_other_forms():
     assert pii.find_all([clean], field) == [([], [])]
 
 
+def test_added_spans_on_sentences_that_were_not_learnt():
+    """Precision and recall of what the field adds, over sentences made from other words, numbers and forms."""
+    draw = np.random.default_rng(4)
+    digit = lambda n: "".join(map(str, draw.integers(0, 10, n)))
+    forms = [
+        ("{} (at) {} (dot) org", lambda: ("zoe" + digit(1), "corp")),
+        ("{} [at] {} [dot] net", lambda: ("press", "paper" + digit(1))),
+        ("({}) 555-{}", lambda: (str(200 + int(digit(2))), digit(4))),
+        ("{}-555-{}", lambda: (str(200 + int(digit(2))), digit(4))),
+    ]
+    frames = ["please reach {} now", "he wrote to {} twice", "our office, {}, is open", "see {} for more"]
+    plain = ["in 1987 about 400 of 1200 left", "chapter 12.4 (page 9) and 3.5 times", "the set {1, 2} is in [3]", "row 4111 1111 1111 1112 failed", "build 10.4.2-rc1 of 2020-11-30", "at 09:45 (9 of 12) they met", "key a1b2c3d4e5f6 and 0xff00ff"]
+    right = added = asked = 0
+    for k in range(200):
+        form, make = forms[k % 4]
+        span = form.format(*make())
+        text = frames[k // 4 % 4].format(span) + " . " + plain[k % len(plain)]
+        base, spans = pii.find_all([text], pii.trained())[0]
+        got = {text[a:b] for a, _, b in spans if (a, _, b) not in base}
+        right, added, asked = right + (span in got), added + len(got), asked + 1
+    assert right >= 0.8 * asked, (right, added, asked)
+    assert right >= 0.8 * added, (right, added, asked)
+
+
+def test_numbers_beside_base_spans_are_added_and_whole_tokens_are_read():
+    field = pii.trained()
+    text = "call +1 (415) 555-0132, (212) 555-0188 now"
+    base, spans = pii.find_all([text], field)[0]
+    assert base and "(212) 555-0188" in {text[a:b] for a, _, b in spans}
+    assert not any(x[0] < y[2] and y[0] < x[2] for x in spans if x not in base for y in base)
+    long = "a" * 90
+    assert pii.shape_features("1" + long + "@x.y") != pii.shape_features("1" + long)
+    assert [pii.grouped("x 4111 1111 1111 1111 y 12 z".split())[i] for i in (0, 1, 4, 6)] == [None, "group:luhn:True", "group:luhn:True", None]
+    assert pii.find_all(["id 4111 1111 1111 1112 is here"], field)[0][1] == []
+
+
 def test_viterbi_in_batches_is_the_best_of_all_paths():
     field, draw = pii.trained(), np.random.default_rng(1)
     batch = [draw.normal(0, 3, (n, len(pii.LABELS))) for n in (1, 2, 4, 5, 3)]
