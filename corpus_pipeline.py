@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import bpe, decontaminate, near_dedup, pii, quality
-from quadrille.llm.common import documents, written
+from quadrille.llm.common import documents, drop_written, written
 from quadrille.llm.queries import vocabulary
 
 
@@ -22,12 +22,22 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: of near duplicates (five words, 0.8) the one with the smallest id stays.
 
-    Documents with a null id are linked with nothing and stay.
+    Of rows that share the id that stays, the one with the least text stays, then the least hash of its
+    columns. Documents with a null id are linked with nothing and stay.
     """
     found = near_dedup.near_duplicates(docs)
-    gone = written(found.filter("id IS NOT NULL AND NOT kept").select(F.col("id").alias("_gone")).distinct(), "gone")
+    own = next(c for c in ("gone", *(f"gone{i}" for i in range(len(docs.columns)))) if c not in docs.columns)
+    gone = written(found.filter("id IS NOT NULL AND NOT kept").select(F.col("id").alias(own)).distinct(), "gone")
+    several = written(found.filter("kept").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias(own)), "several")
     few = gone.count() <= near_dedup.BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col(own), "left_anti")
+    if several.isEmpty():
+        return kept
+    same = F.col("doc_id").cast("long") == F.col(own)
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.simpleString().split("<")[0] not in ("map", "variant")]
+    row = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct("text", F.xxhash64(*plain)))
+    one = kept.join(several, same, "left_semi").groupBy(F.col("doc_id").cast("long").alias(own)).agg(row.alias("row")).select("row.*")
+    return kept.join(several, same, "left_anti").union(one)
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +70,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
+    before = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_written(before)  # this stage has read it
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
