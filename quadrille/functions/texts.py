@@ -1,13 +1,10 @@
-"""Readable names, stable scores and draws."""
+"""Readable names and stable scores."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-M64 = (1 << 64) - 1
-
-
 def normalized(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -44,41 +41,6 @@ def language_matches(tag: Column, wanted: str) -> Column:
     return (F.lower(tag) == w) | F.lower(tag).startswith(w + "-")
 
 
-def splitmix(seed: int):
-    """The public SplitMix64 generator, as an endless iterator of 64-bit numbers."""
-    state = seed & M64
-    while True:
-        state = (state + 0x9E3779B97F4A7C15) & M64
-        z = state
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            z = (z ^ (z >> shift)) * factor & M64
-        yield z ^ (z >> 31)
-
-
-def draw_positions(count: int, n: int, seed: int = 0) -> list[int]:
-    """n distinct positions below count, ascending: the same ones for the same seed.
-
-    A number is redrawn while it lies in the short first stretch that would favour small positions.
-    Where at least half of the positions are wanted, places are exchanged from the front (only the
-    places that moved are held); else positions that came before are drawn again.
-    """
-    if n >= count:
-        return list(range(count))
-    numbers = splitmix(seed)
-
-    def under(bound: int) -> int:
-        short = (1 << 64) % bound
-        return next(z for z in numbers if z >= short) % bound
-
-    if count <= 2 * n:
-        moved: dict[int, int] = {}
-        out = []
-        for front in range(n):
-            other = front + under(count - front)
-            out.append(moved.get(other, other))
-            moved[other] = moved.get(front, front)
-        return sorted(out)
-    seen: set[int] = set()
-    while len(seen) < n:
-        seen.add(under(count))
-    return sorted(seen)
+def url_encoded(c: Column) -> Column:
+    """A term as a part of a URL: all but letters, digits, "-", ".", "_" and "~" as percent signs and hexadecimal."""
+    return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))

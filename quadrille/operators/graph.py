@@ -16,8 +16,9 @@ from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quadrille.functions import terms, texts
+from quadrille.functions import terms
 from quadrille.functions.errors import BINDINGS_CAP, PAGE_CAP, SAMPLE_CAP, QueryError, limited
 from quadrille.functions.terms import Term
 from quadrille.sources.mapping import UNION, UNNAMED
@@ -65,8 +66,29 @@ def resume(kind: str, request: dict, cursor: str) -> list:
 
 
 class Graph:
-    def __init__(self, triples: DataFrame, memberships: DataFrame | None = None, propositions: DataFrame | None = None, prefixes: dict[str, str] | None = None, roles: dict[str, list[str]] | None = None, identity: str = ""):
+    """Triples, and what may be known of them besides.
+
+    whole is another form of the triples, better for operations over all of them; copies are sorted
+    by subject ("s") or object ("o"); published holds tables made from the triples: terms, stats,
+    postings (see quadrille.sources.bundle).
+    """
+
+    def __init__(
+        self,
+        triples: DataFrame,
+        memberships: DataFrame | None = None,
+        propositions: DataFrame | None = None,
+        prefixes: dict[str, str] | None = None,
+        roles: dict[str, list[str]] | None = None,
+        identity: str = "",
+        whole: DataFrame | None = None,
+        copies: dict[str, DataFrame] | None = None,
+        published: dict[str, DataFrame] | None = None,
+    ):
         self.triples = triples.select("s", "p", "o")
+        self.whole = self.triples if whole is None else whole.select("s", "p", "o")
+        self.copies = copies or {}
+        self.tables = published or {}
         self.memberships = memberships.select("s", "p", "o", "g") if memberships is not None else self.triples.withColumn("g", F.lit(UNNAMED))
         self.quads_given = memberships is not None
         self.propositions = propositions
@@ -80,18 +102,30 @@ class Graph:
     @cached_property
     def shared(self) -> DataFrame:
         """Terms that are both subject and object: they come first in either role's order."""
-        objects = self.triples.filter(~terms.is_literal(F.col("o"))).select(F.col("o").alias("shared")).distinct()
-        return self.triples.select(F.col("s").alias("shared")).join(objects, "shared", "left_semi").distinct()
+        if "terms" in self.tables:
+            return self.tables["terms"].filter("section = 'shared'").select(F.col("term").alias("shared"))
+        objects = self.whole.filter(~terms.is_literal(F.col("o"))).select(F.col("o").alias("shared")).distinct()
+        return self.whole.select(F.col("s").alias("shared")).distinct().join(objects, "shared", "left_semi")
+
+    def _shared_among(self, found: DataFrame) -> DataFrame:
+        """(term): those of the terms, all of one role, that have the other role too."""
+        if "terms" in self.tables:
+            return self.shared.select(F.col("shared").alias("term"))
+        ((c, other),) = [(c, {"s": "o", "o": "s"}[c]) for c in found.columns]
+        wanted = found.select(F.col(c).alias("term")).distinct()
+        return self.whole.select(F.col(other).alias("term")).join(wanted, "term", "left_semi").distinct()
 
     def terms(self) -> DataFrame:
         """(term, in_s, in_p, in_o, section)."""
-        one = [self.triples.select(F.col(c).alias("term"), *(F.lit(c == x).alias(f"in_{x}") for x in "spo")).distinct() for c in "spo"]
+        if "terms" in self.tables:
+            return self.tables["terms"]
+        one = [self.whole.select(F.col(c).alias("term"), *(F.lit(c == x).alias(f"in_{x}") for x in "spo")).distinct() for c in "spo"]
         out = reduce(DataFrame.union, one).groupBy("term").agg(*(F.max(f"in_{x}").alias(f"in_{x}") for x in "spo"))
         section = F.when(F.col("in_s") & F.col("in_o"), "shared").when(F.col("in_s"), "subjects").when(F.col("in_o"), "objects").otherwise("predicates")
         return out.withColumn("section", section)
 
     def term_prefix(self, prefix: str, role: str = "any", limit: int | None = None, after: str | None = None) -> DataFrame:
-        """Terms whose stored form begins with prefix, in plain order."""
+        """Terms whose stored form begins with prefix, in plain order, behind the term after."""
         if prefix.startswith("<"):
             raise QueryError("bad_term_syntax", "a prefix is of the stored form, which has no angle brackets")
         n = limited(limit)
@@ -100,12 +134,19 @@ class Graph:
             out = out.filter(F.col("term") > after)
         return out.orderBy("term").limit(n)
 
+    def term_page(self, prefix: str, role: str = "any", limit: int | None = None, cursor: str | None = None) -> Answer:
+        """One page of term_prefix, and a cursor."""
+        self.term_prefix(prefix, role, limit)  # refused as there
+        return self.paged("terms", self._with_prefix(prefix, role), ["term"], {"prefix": prefix, "role": role}, limit, cursor)
+
     def _with_prefix(self, prefix: str, role: str) -> DataFrame:
         if role not in ("any", "subject", "predicate", "object"):
             raise QueryError("malformed_request", f"{role!r} is no role")
+        if "terms" in self.tables:
+            own = self.tables["terms"].filter(F.col("term").startswith(prefix)).select("term", "in_s", "in_p", "in_o")
+            return own if role == "any" else own.filter(f"in_{role[0]}").select("term", *((F.col(f"in_{x}") if x == role[0] else F.lit(False)).alias(f"in_{x}") for x in "spo"))
         # the filter is below the distinct, so it reaches the scan
-        kept = Graph(self.triples)
-        one = [kept.triples.select(F.col(c).alias("term"), *(F.lit(c == x).alias(f"in_{x}") for x in "spo")).filter(F.col("term").startswith(prefix)).distinct() for c in "spo" if role == "any" or role[0] == c]
+        one = [self.whole.select(F.col(c).alias("term"), *(F.lit(c == x).alias(f"in_{x}") for x in "spo")).filter(F.col("term").startswith(prefix)).distinct() for c in "spo" if role == "any" or role[0] == c]
         return reduce(DataFrame.union, one).groupBy("term").agg(*(F.max(f"in_{x}").alias(f"in_{x}") for x in "spo"))
 
     def term_counts(self, prefix: str) -> DataFrame:
@@ -121,13 +162,27 @@ class Graph:
 
     def scope(self, g: str | None) -> tuple[DataFrame, bool]:
         """(rows, whether they have a graph column) for union, unnamed, a named graph or "*"."""
-        if g is None or g == "union" or g == UNION:
+        if self.is_union(g):
             return self.triples, False
         if g == "*":
             return self.memberships, True
         name = UNNAMED if g in ("unnamed", UNNAMED) else self.parse(g).stored()
         return self.memberships.filter(F.col("g") == name).select("s", "p", "o"), False
 
+    @staticmethod
+    def is_union(g: str | None) -> bool:
+        return g is None or g == "union" or g == UNION
+
+    def found(self, s=None, p=None, o=None, g: str | None = None) -> tuple[DataFrame, bool]:
+        """(the rows of a pattern in a scope, whether they have a graph column), from the copy that suits what is bound."""
+        rows, quads = self.scope(g)
+        if self.is_union(g):
+            bound = [t and t.kind not in ("variable", "triple") for t in map(self.parse, (s, o))]
+            rows = self.copies.get("s" if bound[0] else "o" if bound[1] else "p", rows)
+            if s is None and p is None and o is None:
+                rows = self.whole
+        return self.matching(rows, s, p, o), quads
+
     def published(self, rows: DataFrame) -> DataFrame:
         """rows with blank nodes under IRIs that requests can name."""
         return rows.select(*(terms.skolemized(F.col(c), self.identity).alias(c) if c in ("s", "o") else F.col(c) for c in rows.columns))
@@ -137,10 +192,14 @@ class Graph:
         return Graph(self.published(self.triples), self.published(self.memberships) if self.quads_given else None, self.propositions, self.prefixes, self.roles, self.identity)
 
     def graphs(self) -> DataFrame:
-        """(ord, graph, count): the unnamed graph first, if it has triples, then names in order."""
+        """(graph, count): the unnamed graph first, if it has triples, then names in order."""
         counts = self.memberships.groupBy(F.col("g").alias("graph")).agg(F.count(F.lit(1)).alias("count"))
         return counts.withColumn("unnamed", F.col("graph") == UNNAMED).orderBy(F.desc("unnamed"), "graph").drop("unnamed")
 
+    def graph_page(self, limit: int | None = None, cursor: str | None = None) -> Answer:
+        """One page of graphs, and a cursor."""
+        return self.paged("graphs", self.graphs().withColumn("_n", (F.col("graph") != UNNAMED).cast("int")), ["_n", "graph"], {}, limit, cursor)
+
     def graphs_of(self) -> DataFrame:
         """(s, p, o, graphs): each triple with the graphs it is in."""
         return self.memberships.groupBy("s", "p", "o").agg(F.array_sort(F.collect_set("g")).alias("graphs"))
@@ -200,11 +259,12 @@ class Graph:
 
     def order_keys(self, rows: DataFrame, shape: str, graph: bool) -> tuple[DataFrame, list[str]]:
         """Columns that sort rows in the pattern's order: shared terms come before a role's own."""
-        keys = []
-        # terms of the matching rows alone are looked up
+        keys, found = [], rows
+        # terms of the matching rows alone are looked up, each in the one role that it may have besides
         for c in ORDERS[shape]:
             if c != "p":
-                rows = rows.join(self.shared.select(F.col("shared").alias(c), F.lit(0).alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", F.lit(1)))
+                also = self._shared_among(found.select(c)).select(F.col("term").alias(c), F.lit(0).alias(f"_{c}"))
+                rows = rows.join(also, c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", F.lit(1)))
                 keys.append(f"_{c}")
             keys.append(c)
         if graph:
@@ -212,47 +272,70 @@ class Graph:
             keys += ["_g", "g"]
         return rows, keys
 
+    def paged(self, kind: str, rows: DataFrame, keys: list[str], request: dict, limit: int | None, cursor: str | None, default: int | None = None, cap: int = PAGE_CAP) -> Answer:
+        """One page of rows by keys (which hold no null and tell rows apart), a cursor, and whether it is the last.
+
+        A key with "-" before it descends and is a number. Columns that begin with "_" order rows and are not shown.
+        The cursor belongs to this graph and request.
+        """
+        n = limited(limit, *([default] if default else []), cap=cap)
+        request = {**request, "identity": self.identity}
+        sort = [(-F.col(k[1:]) if k[0] == "-" else F.col(k)).alias(f"_k{i}") for i, k in enumerate(keys)]
+        names = [f"_k{i}" for i in range(len(keys))]
+        sorted_ = rows.select("*", *sort)
+        if cursor:
+            last = resume(kind, request, cursor)
+            if len(last) != len(keys):
+                raise QueryError("stale_cursor", "the cursor is of another order")
+            sorted_ = sorted_.filter(F.struct(*names) > F.struct(*(F.lit(x).cast(sorted_.schema[k].dataType).alias(k) for x, k in zip(last, names))))
+        page = sorted_.orderBy(*names).limit(n + 1).collect()  # n is capped
+        more = len(page) > n
+        page = page[:n]
+        shown = [f for f in rows.schema.fields if not f.name.startswith("_")]
+        schema = T.StructType([T.StructField("ord", T.LongType()), *shown])
+        out = self.spark.createDataFrame([(i, *(r[f.name] for f in shown)) for i, r in enumerate(page)], schema)
+        return Answer(out, rows.agg(F.count(F.lit(1)).alias("count")), [], token(kind, request, [page[-1][k] for k in names]) if more else None, not more)
+
     def fragment(self, s=None, p=None, o=None, g: str | None = None, limit: int | None = None, cursor: str | None = None) -> Answer:
-        """All rows of a pattern, or with a limit one page of them in order."""
-        rows, quads = self.scope(g)
-        found = self.matching(rows, s, p, o)
-        shape, total = self.shape(s=s, p=p, o=o), found.agg(F.count(F.lit(1)).alias("count"))
+        """All rows of a pattern, or with a limit one page of them in order. An empty page says which terms are absent."""
+        found, quads = self.found(s, p, o, g)
+        shape = self.shape(s=s, p=p, o=o)
         shown = [c for c in "spo" if c not in shape or c == "o" and "o" in self.condition(s, p, o)[1]] + ["g"] * quads
         if limit is None and cursor is None:
-            return Answer(found.select(*shown) if shown else found, total)
-        n = limited(limit)
-        request = {"s": s, "p": p, "o": o, "g": g, "identity": self.identity}
+            return Answer(found.select(*shown) if shown else found, found.agg(F.count(F.lit(1)).alias("count")))
         sorted_, keys = self.order_keys(found, shape, quads)
-        if cursor:
-            last = resume("fragment", request, cursor)
-            sorted_ = sorted_.filter(F.struct(*keys) > F.struct(*(F.lit(x) for x in last)))
-        page = sorted_.orderBy(*keys).limit(n + 1).collect()  # n is capped
-        more = len(page) > n
-        page = page[:n]
-        out = self.spark.createDataFrame([tuple([i, *(r[c] for c in shown)]) for i, r in enumerate(page)], "ord long" + "".join(f", {c} string" for c in shown))
-        return Answer(out, total, [], token("fragment", request, [page[-1][k] for k in keys]) if more else None, not more)
+        hidden = [F.col(c).alias(f"_h{c}") for c in "spo" if c not in shown]
+        renamed = [f"_h{k}" if k in "spo" and k not in shown else k for k in keys]
+        out = self.paged("fragment", sorted_.select(*shown, *hidden, *(k for k in keys if k.startswith("_"))), renamed, {"s": s, "p": p, "o": o, "g": g}, limit, cursor)
+        out.total = found.agg(F.count(F.lit(1)).alias("count"))
+        if out.complete and not cursor and out.rows.isEmpty():
+            out.absent = self.absent(s, p, o)
+        return out
 
     def ordered(self, s=None, p=None, o=None, g: str | None = None, limit: int = PAGE_CAP) -> DataFrame:
         """(s, p, o[, g]) of the first rows of a pattern in its order, as a plan."""
-        rows, quads = self.scope(g)
-        sorted_, keys = self.order_keys(self.matching(rows, s, p, o), self.shape(s=s, p=p, o=o), quads)
+        found, quads = self.found(s, p, o, g)
+        sorted_, keys = self.order_keys(found, self.shape(s=s, p=p, o=o), quads)
         return sorted_.orderBy(*keys).limit(limited(limit)).select("s", "p", "o", *(["g"] if quads else []))
 
     def count(self, s=None, p=None, o=None, g: str | None = None) -> DataFrame:
-        return self.matching(self.scope(g)[0], s, p, o).agg(F.count(F.lit(1)).alias("count"))
+        return self.found(s, p, o, g)[0].agg(F.count(F.lit(1)).alias("count"))
 
     def absent(self, s=None, p=None, o=None) -> list[tuple[str, str]]:
-        """(position, reason) of bound terms that the graph does not hold there."""
-        out = []
+        """(position, reason) of bound terms that the graph does not hold there, by one job."""
+        out, asked = [], {}
         for name, value in (("s", s), ("p", p), ("o", o)):
             t = self.parse(value)
             if t is None or t.kind in ("variable", "triple"):
                 continue
             if t.kind == "blank":
                 out.append((name, "blank nodes are not addressed by label"))
-            elif self.triples.filter(F.col(name) == t.stored()).isEmpty():
-                out.append((name, "not held in this position"))
-        return out
+            else:
+                asked[name] = F.col(name) == t.stored()
+        if asked:
+            held = self.triples.filter(reduce(lambda a, b: a | b, asked.values())).agg(*(F.count_if(c).alias(n) for n, c in asked.items())).first()
+            out += [(n, "not held in this position") for n in asked if not held[n]]
+        return sorted(out, key=lambda x: "spo".index(x[0]))
 
     # -- bindings --------------------------------------------------------------------------------
 
@@ -280,7 +363,7 @@ class Graph:
         if missing:
             raise QueryError("malformed_request", f"the pattern lacks the variables {missing}")
         rest = {c: v for c, v in pattern.items() if v and not v.startswith("?")}
-        rows = self.matching(self.scope(g)[0], **rest)
+        rows = self.found(**rest, g=g)[0]
         own = [(c, f"v_{v}") for c, v in variables.items() if v in names]
         nulls = table.select(*(F.count_if(F.col(b).isNull()).alias(b) for _, b in own)).first() if own else {}
         cond = None
@@ -298,6 +381,14 @@ class Graph:
         """A bag: (binding, s, p, o) for every row of the table and every triple it matches."""
         return self.bound(pattern, names, self.bindings(names, rows), g=g).select("binding", "s", "p", "o")
 
+    def binding_page(self, pattern, names, rows, g: str | None = None, limit: int | None = None, cursor: str | None = None, distinct: bool = False) -> Answer:
+        """One page of binding_fragment by input row and then the pattern's order; distinct: of restricted, in the pattern's order."""
+        found = self.restricted(pattern, names, rows, g) if distinct else self.binding_fragment(pattern, names, rows, g)
+        shape = self.shape(**{c: v for c, v in pattern.items() if v and not v.startswith("?")})
+        sorted_, keys = self.order_keys(found, shape, False)
+        rest = [c for c in "spo" if c not in keys]
+        return self.paged("bindings", sorted_, [*([] if distinct else ["binding"]), *keys, *rest], {"pattern": pattern, "names": names, "rows": rows, "g": g, "distinct": distinct}, limit, cursor)
+
     def binding_count(self, pattern, names, rows, g: str | None = None) -> DataFrame:
         """(binding, count) for every row of the table, zeros kept."""
         table = self.bindings(names, rows)
@@ -313,11 +404,20 @@ class Graph:
         if group_by not in ("s", "p", "o"):
             raise QueryError("malformed_request", "group_by names s, p or o")
         if names is None:
-            found = self.matching(self.scope(g)[0], s, p, o)
+            found = self.found(s, p, o, g)[0]
             return found.groupBy(F.col(group_by).alias("value")).agg(F.count(F.lit(1)).alias("count"))
         found = self.bound(pattern, names, self.bindings(names, rows), g=g)
         return found.groupBy(F.col(group_by).alias("value")).agg(F.count(F.lit(1)).alias("count"), F.count_distinct("binding").alias("bindings"))
 
+    def distinct_page(self, group_by: str, limit: int | None = None, cursor: str | None = None, **pattern) -> Answer:
+        """One page of distinct in the values' order: shared terms first, then plain order."""
+        found = self.distinct(group_by, **pattern)
+        keys = ["value"]
+        if group_by != "p":
+            also = self._shared_among(found.select(F.col("value").alias(group_by))).select(F.col("term").alias("value"), F.lit(0).alias("_shared"))
+            found, keys = found.join(also, "value", "left").withColumn("_shared", F.coalesce("_shared", F.lit(1))), ["_shared", "value"]
+        return self.paged("distinct", found, keys, {"group_by": group_by, **pattern}, limit, cursor)
+
     # -- describe and sample -----------------------------------------------------------------------
 
     def describe(self, node: str | Term, direction: str = "both") -> DataFrame:
@@ -328,28 +428,19 @@ class Graph:
         parts = []
         for way, c in (("out", "s"), ("in", "o")):
             if direction in (way, "both"):
-                parts.append(self.matching(self.triples, **{c: t}).select(F.lit(way).alias("direction"), "s", "p", "o"))
+                parts.append(self.found(**{c: t})[0].select(F.lit(way).alias("direction"), "s", "p", "o"))
         return reduce(DataFrame.union, parts)
 
     def sample(self, s=None, p=None, o=None, n: int = 100, seed: int = 0) -> DataFrame:
-        """(position, s, p, o) of n distinct members of a pattern, drawn by a stated generator.
+        """(ord, s, p, o) of n distinct members of a pattern: those with the least SHA-256 of the seed and the row.
 
-        A row's position is its place in the pattern's order, numbered by range: rows before its
-        range, plus its place within. The ranges' sizes are one row each.
+        Every member has the same chance, a seed always draws the same rows, and a larger n adds to those of a
+        smaller one. Each task keeps n rows; nothing is sorted or numbered as a whole.
         """
         n = limited(n, cap=SAMPLE_CAP)
         if self.condition(s, p, o)[1]:
             raise QueryError("unsupported", "a statement pattern is not sampled")
-        found, keys = self.order_keys(self.matching(self.triples, s, p, o), self.shape(s=s, p=p, o=o), False)
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        ranged = found.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-        ranged = ranged.withColumn("_id", F.monotonically_increasing_id())
-        sizes = sorted(ranged.groupBy(F.shiftright("_id", 33).alias("r")).agg(F.count(F.lit(1))).collect())
-        starts, total = {}, 0
-        for r, m in sizes:
-            starts[r] = total
-            total += m
-        picked = texts.draw_positions(total, n, seed)
-        owner = [(max((r for r in starts if starts[r] <= x), key=lambda r: (starts[r], r)), x) for x in picked]
-        want = self.spark.createDataFrame([((r << 33) + x - starts[r], x) for r, x in owner], "_id long, position long")
-        return ranged.join(F.broadcast(want), "_id").select("position", "s", "p", "o")
+        draw = F.sha2(F.concat_ws("\t", F.lit(str(seed)), "s", "p", "o"), 256)
+        drawn = self.found(s, p, o)[0].select(draw.alias("_draw"), "s", "p", "o").orderBy("_draw").limit(n)
+        ranked = drawn.agg(F.array_sort(F.collect_list(F.struct("_draw", "s", "p", "o"))).alias("x"))  # n rows
+        return ranked.select(F.posexplode("x").alias("ord", "x")).select(F.col("ord").cast("long").alias("ord"), "x.s", "x.p", "x.o")

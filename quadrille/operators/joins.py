@@ -8,15 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import terms
+from quadrille.functions.errors import QueryError
 from quadrille.operators.graph import Graph
 
 
 def basic_pattern(graph: Graph, patterns: list[tuple[str, str, str]]) -> DataFrame:
-    """Solutions of triple patterns with ?variables, joined on those they share; Catalyst orders the joins."""
+    """Solutions of triple patterns with ?variables, joined on those they share.
+
+    A pattern is taken when it shares a variable with those before it; patterns that never do have only
+    a product of all rows as their answer, and are refused.
+    """
     out: DataFrame | None = None
-    for pattern in patterns:
+    patterns = list(patterns)
+    while patterns:
+        at = next((i for i, x in enumerate(patterns) if out is None or {v[1:] for v in x if v.startswith("?")} & set(out.columns)), None)
+        if at is None:
+            raise QueryError("unsupported", f"no variable joins {patterns} to the patterns before them")
+        pattern = patterns.pop(at)
         names = {c: v[1:] for c, v in zip("spo", pattern) if v.startswith("?")}
-        rows = graph.matching(graph.triples, **{c: v for c, v in zip("spo", pattern) if not v.startswith("?")})
+        rows = graph.found(**{c: v for c, v in zip("spo", pattern) if not v.startswith("?")})[0]
         for name in set(names.values()):
             own = [c for c in names if names[c] == name]
             rows = reduce(lambda r, c, a=own[0]: r.filter(F.col(a) == F.col(c)), own[1:], rows)
@@ -25,8 +35,7 @@ def basic_pattern(graph: Graph, patterns: list[tuple[str, str, str]]) -> DataFra
         if out is None:
             out = rows
         else:
-            on = [c for c in rows.columns if c in out.columns]
-            out = out.join(rows, on) if on else out.crossJoin(rows)
+            out = out.join(rows, [c for c in rows.columns if c in out.columns])
     return out
 
 

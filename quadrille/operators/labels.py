@@ -44,9 +44,26 @@ def resolve(graph: Graph, iris: list[str], predicates: list[str] | None = None,
     return small.join(found, F.col("iri") == F.col("node"), "left").select("ord", "iri", "label", "source", "lang").orderBy("ord")
 
 
-def hydrated(graph: Graph, rows: DataFrame, langs: list[str] | tuple = ()) -> DataFrame:
-    """rows with label_s, label_p and label_o of the IRIs in them."""
-    found = preferred(graph, None, langs).select("node", "label")
-    for c in [x for x in "spo" if x in rows.columns]:
-        rows = rows.join(found.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left")
-    return rows
+def hydrated(graph: Graph, rows: DataFrame, langs: list[str] | tuple = (), predicates: list[str] | None = None, sources: bool = False) -> DataFrame:
+    """rows with label_s, label_p and label_o of the IRIs in them, and with sources the predicates that gave them.
+
+    Labels are looked up for the terms of the rows alone. An object that is a statement term has its
+    label made of its parts' labels.
+    """
+    shown = [x for x in "spo" if x in rows.columns]
+    asked = rows.select(F.explode(F.array(*shown)).alias("s"))
+    props = None
+    if graph.propositions is not None and "o" in shown:
+        props = graph.propositions.join(rows.select(F.col("o").alias("tt_id")).distinct(), "tt_id", "left_semi").select("tt_id", "s", "p", "o")
+        asked = asked.union(props.select(F.explode(F.array("s", "p", "o")).alias("s")))
+    own = graph.triples.filter(F.col("p").isin(predicates or graph.roles["label"])).join(asked.distinct(), "s", "left_semi")
+    found = preferred(Graph(own, roles=graph.roles), predicates, langs).select("node", "label", "source")
+    for c in shown:
+        rows = rows.join(found.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"), F.col("source").alias(f"source_{c}")), c, "left")
+    if props is not None:
+        parts = props
+        for c in "spo":
+            parts = parts.join(found.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left")
+        named = F.concat_ws(" ", *(F.coalesce(f"l{c}", terms.lexical(F.col(c)), texts.fallback_label(F.col(c))) for c in "spo"))
+        rows = rows.join(parts.select(F.col("tt_id").alias("o"), named.alias("_tt")), "o", "left").withColumn("label_o", F.coalesce("label_o", "_tt")).drop("_tt")
+    return rows if sources else rows.drop(*(f"source_{c}" for c in shown))

@@ -8,6 +8,7 @@ English endings off; it and the scores are this engine's own choice.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,41 +31,71 @@ def stemmed(token: Column) -> Column:
     return F.regexp_replace(token, STEM, "$1")
 
 
+def stem(word: str) -> str:
+    return re.sub(STEM, r"\1", word)
+
+
+def _is(value: str):
+    return lambda t: t == F.lit(value)
+
+
+def literals(rows: DataFrame) -> DataFrame:
+    """(o, words, size) of the distinct literals of rows."""
+    own = rows.filter(terms.is_literal(F.col("o"))).select("o").distinct().withColumn("words", tokens(terms.lexical(F.col("o"))))
+    return own.withColumn("size", F.size("words").cast("double"))
+
+
+def postings(found: DataFrame) -> DataFrame:
+    """(stem, word, o, n, size): the inverted index of literals."""
+    words = found.select("o", "size", F.explode("words").alias("word"))
+    return words.groupBy("word", "o", "size").agg(F.count(F.lit(1)).cast("double").alias("n")).select(stemmed(F.col("word")).alias("stem"), "word", "o", "n", "size")
+
+
+def corpus(found: DataFrame) -> DataFrame:
+    """(literals, mean): one row."""
+    return found.agg(F.count(F.lit(1)).cast("double").alias("literals"), F.avg("size").alias("mean"))
+
+
 def hits(graph: Graph, query: str, predicates: list[str] | None = None) -> DataFrame:
-    """(o, class, match_kind, score) of the distinct literals that match."""
+    """(o, class, match_kind, score) of the distinct literals that match.
+
+    A published index is read by the query's stems. Without one, or where predicates narrow the literals, they
+    are scanned.
+    """
     if not query.strip():
         raise QueryError("malformed_request", "the query is empty")
-    rows = graph.triples.filter(terms.is_literal(F.col("o")))
-    if predicates is not None:
-        if len(predicates) > PREDICATES_CAP:
-            raise QueryError("cap_exceeded", f"over {PREDICATES_CAP} predicates")
-        rows = rows.filter(F.col("p").isin(predicates))
-    literals = rows.select("o").distinct().withColumn("words", tokens(terms.lexical(F.col("o"))))
-    literals = literals.withColumn("stems", F.transform("words", stemmed)).withColumn("size", F.size("words").cast("double"))
+    if predicates is not None and len(predicates) > PREDICATES_CAP:
+        raise QueryError("cap_exceeded", f"over {PREDICATES_CAP} predicates")
     asked = [w for w in dict.fromkeys("".join(c.lower() if c.isalnum() else " " for c in query).split())]
+    at = range(len(asked))
     if not asked:
-        return literals.select("o", F.lit(0).alias("class"), F.lit(EXACT).alias("match_kind"), F.lit(0.0).alias("score")).filter("false")
-
-    def occurrences(w: str) -> Column:
-        return F.size(F.filter("stems", lambda t: t == stemmed(F.lit(w)))).cast("double")
-
-    times = [occurrences(w) for w in asked]
-    own = literals.select("o", "size", "words", *(t.alias(f"n{i}") for i, t in enumerate(times)))
+        return graph.triples.filter("false").select("o", F.lit(0).alias("class"), F.lit(EXACT).alias("match_kind"), F.lit(0.0).alias("score"))
+    if "postings" in graph.tables and predicates is None:
+        rows = graph.tables["postings"].filter(F.col("stem").isin(list({stem(w) for w in asked})))
+        times = [F.sum(F.when(F.col("stem") == stem(w), F.col("n")).otherwise(0.0)).alias(f"n{i}") for i, w in enumerate(asked)]
+        own = rows.groupBy("o").agg(F.max("size").alias("size"), *times, *(F.max(F.col("word") == w).alias(f"e{i}") for i, w in enumerate(asked)))
+        size = graph.tables["corpus"]
+    else:
+        rows = graph.whole if predicates is None else graph.triples.filter(F.col("p").isin(predicates))
+        found = literals(rows).withColumn("stems", F.transform("words", stemmed))
+        times = [F.size(F.filter("stems", _is(stem(w)))).cast("double").alias(f"n{i}") for i, w in enumerate(asked)]
+        own = found.select("o", "size", *times, *(F.array_contains("words", w).alias(f"e{i}") for i, w in enumerate(asked)))
+        size = corpus(own)
     # one row: how many literals, their mean length, and how many hold each token
-    corpus = own.agg(F.count(F.lit(1)).cast("double").alias("literals"), F.avg("size").alias("mean"), *(F.count_if(F.col(f"n{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(asked))))
-    found = own.filter(reduce(lambda a, b: a & b, [F.col(f"n{i}") > 0 for i in range(len(asked))])).crossJoin(F.broadcast(corpus))
+    known = size.crossJoin(own.agg(*(F.count_if(F.col(f"n{i}") > 0).cast("double").alias(f"df{i}") for i in at)))
+    match = own.filter(reduce(lambda a, b: a & b, [F.col(f"n{i}") > 0 for i in at])).crossJoin(F.broadcast(known))
     score = F.lit(0.0)
-    for i in range(len(asked)):
+    for i in at:
         n, df = F.col(f"n{i}"), F.col(f"df{i}")
         idf = F.log(F.lit(1.0) + (F.col("literals") - df + 0.5) / (df + 0.5))
         score = score + idf * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    exact = reduce(lambda a, b: a & b, [F.array_contains("words", w) for w in asked])
-    return found.select("o", F.when(exact, 0).otherwise(1).alias("class"), F.when(exact, EXACT).otherwise(NORMALIZED).alias("match_kind"), F.round(score, 6).alias("score"))
+    exact = reduce(lambda a, b: a & b, [F.col(f"e{i}") for i in at])
+    return match.select("o", F.when(exact, 0).otherwise(1).alias("class"), F.when(exact, EXACT).otherwise(NORMALIZED).alias("match_kind"), F.round(score, 6).alias("score"))
 
 
 def statements(graph: Graph, query: str, s=None, p=None) -> DataFrame:
     """(s, p, o, match_kind, score): a pattern whose object is a matching literal."""
-    rows = graph.matching(graph.triples, s, p)
+    rows = graph.found(s, p)[0]
     return rows.join(hits(graph, query), "o").select("s", "p", "o", "match_kind", "score")
 
 
@@ -82,7 +113,7 @@ def search(graph: Graph, query: str, role: str | None = None, predicate: str | N
     if predicate is not None:
         predicates = [*(predicates or []), graph.parse(predicate).stored()]
     n = limited(limit, 10, SEARCH_CAP)
-    rows = graph.triples if predicates is None else graph.triples.filter(F.col("p").isin(predicates))
+    rows = graph.whole if predicates is None else graph.triples.filter(F.col("p").isin(predicates))
     found = rows.join(hits(graph, query, predicates), "o")
     best = found.groupBy("s").agg(F.min(F.struct("class", (-F.col("score")).alias("down"), "o", "p", "match_kind")).alias("b"))
     best = best.orderBy("b.class", "b.down", "b.o", "s").limit(n)

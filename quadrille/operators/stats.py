@@ -16,64 +16,82 @@ from pyspark.sql import functions as F
 from quadrille.functions import terms
 from quadrille.functions.errors import QueryError, limited
 from quadrille.functions.terms import RDF_TYPE
+from quadrille.operators.graph import Graph
+from quadrille.sources.mapping import UNNAMED
 
 TOP = 10
 COLUMNS = ["view", "kind", "class", "predicate", "object_class", "datatype", "language", "entities", "triples", "distinct_subjects", "distinct_objects", "properties"]
 
 
+def forms(t: DataFrame | Graph) -> tuple[DataFrame, DataFrame]:
+    """(all triples, the form of them for patterns): of a graph its two forms, of a table of triples itself."""
+    return (t.whole, t.triples) if isinstance(t, Graph) else (t, t)
+
+
 def _counts(t: DataFrame, keys: list[str]) -> DataFrame:
-    """triples, distinct_subjects and distinct_objects by keys (which may be none)."""
-    by_s = t.groupBy(*keys, "s").agg(F.count(F.lit(1)).alias("m")).groupBy(*keys).agg(F.coalesce(F.sum("m"), F.lit(0)).cast("long").alias("triples"), F.count(F.lit(1)).alias("distinct_subjects"))
-    by_o = t.groupBy(*keys, "o").agg(F.lit(1).alias("x")).groupBy(*keys).agg(F.count(F.lit(1)).alias("distinct_objects"))
-    return by_s.join(by_o, keys) if keys else by_s.crossJoin(by_o)  # without keys: one row each
+    """triples, distinct_subjects and distinct_objects by keys (which may be none), from one pass.
 
+    A row counts once for its subject and once for its object; both are reduced by value before they are
+    gathered by key.
+    """
+    both = t.select(*keys, F.explode(F.array(F.struct(F.lit(True).alias("subject"), F.col("s").alias("term")), F.struct(F.lit(False).alias("subject"), F.col("o").alias("term")))).alias("x")).select(*keys, "x.subject", "x.term")
+    by_term = both.groupBy(*keys, "subject", "term").agg(F.count(F.lit(1)).alias("m"))
+    out = by_term.groupBy(*keys).agg(F.sum(F.when(F.col("subject"), F.col("m"))).alias("triples"), F.count_if("subject").alias("distinct_subjects"), F.count_if(~F.col("subject")).alias("distinct_objects"))
+    return out.withColumn("triples", F.coalesce("triples", F.lit(0)).cast("long"))
 
-def totals(t: DataFrame) -> DataFrame:
+
+def totals(t: DataFrame | Graph) -> DataFrame:
     """(triples, distinct_subjects, distinct_objects, properties): one row."""
-    return _counts(t, []).crossJoin(t.agg(F.count_distinct("p").alias("properties")))
+    t, _ = forms(t)
+    return _counts(t, []).crossJoin(t.agg(F.count_distinct("p").alias("properties")))  # one row each
 
 
-def properties(t: DataFrame, views: tuple[str, ...] | list[str] = ()) -> DataFrame:
-    return _counts(t.withColumnRenamed("p", "predicate"), [*views, "predicate"])
+def properties(t: DataFrame | Graph, views: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    return _counts(forms(t)[0].withColumnRenamed("p", "predicate"), [*views, "predicate"])
 
 
-def types(t: DataFrame, views: tuple[str, ...] | list[str] = ()) -> DataFrame:
-    return t.filter(F.col("p") == RDF_TYPE).select(*views, F.col("s").alias("node"), F.col("o").alias("class")).distinct()
+def types(t: DataFrame | Graph, views: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    return forms(t)[1].filter(F.col("p") == RDF_TYPE).select(*views, F.col("s").alias("node"), F.col("o").alias("class")).distinct()
 
 
-def classes(t: DataFrame, views: tuple[str, ...] | list[str] = ()) -> DataFrame:
+def classes(t: DataFrame | Graph, views: tuple[str, ...] | list[str] = ()) -> DataFrame:
     return types(t, views).groupBy(*views, "class").agg(F.count(F.lit(1)).alias("entities"))
 
 
-def _typed(t: DataFrame, views: list[str], only=None) -> DataFrame:
+def _typed(t: DataFrame | Graph, views: list[str], only=None) -> DataFrame:
     """The triples (those that meet the condition only) with each class of their subject."""
-    own = types(t, views)
-    return (t if only is None else t.filter(only)).join(own.withColumnRenamed("node", "s"), [*views, "s"]).withColumnRenamed("p", "predicate")
+    rows = forms(t)[0]
+    return (rows if only is None else rows.filter(only)).join(types(t, views).withColumnRenamed("node", "s"), [*views, "s"]).withColumnRenamed("p", "predicate")
 
 
-def class_properties(t: DataFrame, views: tuple[str, ...] | list[str] = ()) -> DataFrame:
+def class_properties(t: DataFrame | Graph, views: tuple[str, ...] | list[str] = ()) -> DataFrame:
     return _counts(_typed(t, views), [*views, "class", "predicate"])
 
 
-def class_relations(t: DataFrame, views: tuple[str, ...] | list[str] = ()) -> DataFrame:
+def by_object(t: DataFrame | Graph, views: tuple[str, ...] | list[str] = (), only=None) -> DataFrame:
+    """(class, predicate, o, m): how many subjects of a class have an object. A popular object is one row of each."""
+    return _typed(t, views, only).groupBy(*views, "class", "predicate", "o").agg(F.count(F.lit(1)).alias("m"))
+
+
+def class_relations(t: DataFrame | Graph, views: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """(subject_class, predicate, object_class, triples); objects without a class are in no row."""
     objects = types(t, views).select(*views, F.col("node").alias("o"), F.col("class").alias("object_class"))
-    out = _typed(t, views, ~terms.is_literal(F.col("o"))).join(objects, [*views, "o"])
-    return out.groupBy(*views, F.col("class").alias("subject_class"), "predicate", "object_class").agg(F.count(F.lit(1)).alias("triples"))
+    out = by_object(t, views, ~terms.is_literal(F.col("o"))).join(objects, [*views, "o"])
+    return out.groupBy(*views, F.col("class").alias("subject_class"), "predicate", "object_class").agg(F.sum("m").alias("triples"))
 
 
-def datatypes(t: DataFrame, views: tuple[str, ...] | list[str] = ()) -> DataFrame:
+def datatypes(t: DataFrame | Graph, views: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """(class, predicate, datatype, triples) of literals."""
     own = _typed(t, views, terms.is_literal(F.col("o"))).withColumn("datatype", terms.datatype(F.col("o")))
     return own.groupBy(*views, "class", "predicate", "datatype").agg(F.count(F.lit(1)).alias("triples"))
 
 
-def languages(t: DataFrame, views: tuple[str, ...] | list[str] = ()) -> DataFrame:
+def languages(t: DataFrame | Graph, views: tuple[str, ...] | list[str] = ()) -> DataFrame:
     own = _typed(t, views, terms.is_literal(F.col("o"))).withColumn("language", terms.language(F.col("o"))).filter("language IS NOT NULL")
     return own.groupBy(*views, "class", "predicate", "language").agg(F.count(F.lit(1)).alias("triples"))
 
 
-def tidy(t: DataFrame, views: tuple[str, ...] | list[str] = ()) -> DataFrame:
+def tidy(t: DataFrame | Graph, views: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """All of these as one table with a row kind; without views the view is "design"."""
 
     def rows(df: DataFrame, kind: str, **names: str) -> DataFrame:
@@ -94,6 +112,51 @@ def tidy(t: DataFrame, views: tuple[str, ...] | list[str] = ()) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+#: Named graphs up to which each has a view of its own.
+GRAPHS_CAP = 256
+
+
+def views(graph: Graph, wanted: list[str] | None = None, components: list[dict] = ()) -> DataFrame:
+    """The tidy table of the views that are wanted: "design" and "queryable" (the union), "graph:<IRI>", "component:<id>".
+
+    A published table is read; else the views that are wanted are computed. A component's view is that of the
+    graph it claims.
+    """
+    wanted = wanted or ["design"]
+    if "stats" in graph.tables:
+        return graph.tables["stats"].filter(F.col("view").isin(wanted))
+    parts = []
+    if {"design", "queryable"} & set(wanted):
+        union = tidy(graph)
+        parts += [union.withColumn("view", F.lit(v)) for v in wanted if v in ("design", "queryable")]
+    claimed = {f"component:{c['id']}": c.get("graph") for c in components}
+    graphs = {v: v.removeprefix("graph:") if v.startswith("graph:") else claimed.get(v) for v in wanted if v not in ("design", "queryable")}
+    for v, name in graphs.items():
+        if name is None:
+            raise QueryError("not_found", f"there is no view {v!r}")
+        parts.append(tidy(graph.memberships.filter(F.col("g") == name).select("s", "p", "o")).withColumn("view", F.lit(v)))
+    return reduce(DataFrame.union, parts)
+
+
+def all_views(graph: Graph, components: list[dict] = ()) -> DataFrame:
+    """What a bundle publishes: the union's views, and those of the named graphs if there are at most GRAPHS_CAP.
+
+    A graph that a component claims has the component's name.
+    """
+    design = tidy(graph)
+    out = design.union(design.withColumn("view", F.lit("queryable")))
+    if not graph.quads_given:
+        return out
+    names = [r.g for r in graph.memberships.filter(F.col("g") != UNNAMED).select("g").distinct().limit(GRAPHS_CAP + 1).collect()]
+    if not names or len(names) > GRAPHS_CAP:
+        return out
+    per = tidy(graph.memberships.filter(F.col("g") != UNNAMED), ["g"])
+    view = F.col("view")
+    for c in components:
+        view = F.when(F.col("view") == f"graph:{c['graph']}", f"component:{c['id']}").otherwise(view)
+    return out.union(per.withColumn("view", view))
+
+
 CHILDREN = {("dataset", "classes"): "class", ("dataset", "properties"): "property", ("class", "properties"): "class-property", ("property", "object-classes"): "object-class", ("property", "datatypes"): "datatype", ("datatype", "languages"): "language"}
 
 
@@ -107,29 +170,49 @@ def schema_node(stats: DataFrame, cls: str | None = None, predicate: str | None
     return out
 
 
-def schema_children(stats: DataFrame, parent: str, children: str, cls: str | None = None, predicate: str | None = None, datatype: str | None = None, view: str = "design", limit: int | None = None) -> DataFrame:
+def children(stats: DataFrame, parent: str, children: str, cls: str | None = None, predicate: str | None = None, datatype: str | None = None, view: str = "design") -> DataFrame:
+    """The rows below a node."""
     if (parent, children) not in CHILDREN:
         raise QueryError("malformed_request", f"a {parent} has no {children}")
     out = stats.filter((F.col("view") == view) & (F.col("kind") == CHILDREN[parent, children]))
     for c, v in (("class", cls), ("predicate", predicate), ("datatype", datatype)):
         if v is not None:
             out = out.filter(F.col(c) == v)
-    return out.orderBy("class", "predicate", "object_class", "datatype", "language").limit(limited(limit, cap=1_000))
+    return out
+
+
+def schema_children(stats: DataFrame, parent: str, children_of: str, cls: str | None = None, predicate: str | None = None, datatype: str | None = None, view: str = "design", limit: int | None = None) -> DataFrame:
+    """The first of them, by name."""
+    return children(stats, parent, children_of, cls, predicate, datatype, view).orderBy("class", "predicate", "object_class", "datatype", "language").limit(limited(limit, cap=SCHEMA_CAP))
+
+
+#: Projections of a view, with the kind of their rows.
+PROJECTIONS = {"class-relations": "object-class", "class-properties": "class-property"}
+SCHEMA_CAP = 1_000
+
 
+def projection(stats: DataFrame, name: str, view: str = "design") -> tuple[DataFrame, list[str]]:
+    """(rows, their order) of a projection, from a tidy table."""
+    own = stats.filter((F.col("view") == view) & (F.col("kind") == PROJECTIONS[name]))
+    if name == "class-relations":
+        return own.select(F.col("class").alias("subject_class"), "predicate", "object_class", "triples"), ["-triples", "subject_class", "predicate", "object_class"]
+    return own.select("class", "predicate", "triples", "distinct_subjects", "distinct_objects"), ["-triples", "class", "predicate"]
 
-def relations_page(t: DataFrame, limit: int = 1_000) -> DataFrame:
-    return class_relations(t).orderBy(F.desc("triples"), "subject_class", "predicate", "object_class").limit(limited(limit, cap=1_000))
 
+def relations_page(t: DataFrame | Graph, limit: int = SCHEMA_CAP) -> DataFrame:
+    return class_relations(t).orderBy(F.desc("triples"), "subject_class", "predicate", "object_class").limit(limited(limit, cap=SCHEMA_CAP))
 
-def class_properties_page(t: DataFrame, limit: int = 1_000) -> DataFrame:
-    return class_properties(t).orderBy(F.desc("triples"), "class", "predicate").limit(limited(limit, cap=1_000))
 
+def class_properties_page(t: DataFrame | Graph, limit: int = SCHEMA_CAP) -> DataFrame:
+    return class_properties(t).orderBy(F.desc("triples"), "class", "predicate").limit(limited(limit, cap=SCHEMA_CAP))
 
-def namespaces(t: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+
+def namespaces(t: DataFrame | Graph, prefixes: dict[str, str]) -> DataFrame:
     """(prefix, namespace, subjects, predicates, objects): distinct IRIs by longest namespace, and the rest under null.
 
     The table of prefixes is a constant of the request, so the match is an expression, not a join.
     """
+    t = forms(t)[0]
     ordered = sorted(prefixes.items(), key=lambda kv: (-len(kv[1]), kv[0]))
 
     def owner(c):
@@ -147,10 +230,18 @@ def namespaces(t: DataFrame, prefixes: dict[str, str]) -> DataFrame:
     return out.select("prefix", space.alias("namespace"), "subjects", "predicates", "objects")
 
 
-def summary(t: DataFrame) -> DataFrame:
-    """(section, ord, name, count): the ten largest classes, properties and relations."""
+def summary(t: DataFrame | Graph, view: str = "design") -> DataFrame:
+    """(section, ord, name, count): the ten largest classes, properties, relations and, of a graph with graphs, graphs."""
     relation = F.concat_ws(" ", "subject_class", "predicate", "object_class")
-    parts = [("classes", classes(t), F.col("class"), F.col("entities")), ("properties", properties(t), F.col("predicate"), F.col("triples")), ("relations", class_relations(t), relation, F.col("triples"))]
+    if isinstance(t, Graph) and "stats" in t.tables:
+        own = t.tables["stats"].filter(F.col("view") == view)
+        of = lambda kind: own.filter(F.col("kind") == kind)
+        found = of("class"), of("property"), of("object-class").withColumnRenamed("class", "subject_class")
+    else:
+        found = classes(t), properties(t), class_relations(t)
+    parts = [("classes", found[0], F.col("class"), F.col("entities")), ("properties", found[1], F.col("predicate"), F.col("triples")), ("relations", found[2], relation, F.col("triples"))]
+    if isinstance(t, Graph) and t.quads_given:
+        parts.append(("graphs", t.memberships.groupBy("g").agg(F.count(F.lit(1)).alias("triples")), F.col("g"), F.col("triples")))
     out = []
     for section, df, name, count in parts:
         top = df.select(name.alias("name"), count.alias("count")).orderBy(F.desc("count"), "name").limit(TOP)
@@ -159,18 +250,81 @@ def summary(t: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, out)
 
 
+def summary_card(rows: DataFrame, title: str) -> str:
+    """Markdown of a summary, which has TOP rows of each section."""
+    out, last = [f"# {title}"], None
+    for r in sorted(rows.collect(), key=lambda r: (r.section, r.ord)):
+        if r.section != last:
+            out += ["", f"## {r.section.capitalize()}", ""]
+            last = r.section
+        out.append(f"* {r.name}: {r['count']}")
+    return "\n".join(out) + "\n"
+
+
+VOID, EXT = "http://rdfs.org/ns/void#", "http://ldf.fi/void-ext#"
+#: What VoID and its extension call the columns; the view and the kind are this engine's own.
+NAMES = {
+    "view": "urn:x-quadrille:view",
+    "kind": "urn:x-quadrille:kind",
+    "class": VOID + "class",
+    "predicate": VOID + "property",
+    "object_class": EXT + "objectClass",
+    "datatype": EXT + "datatype",
+    "language": EXT + "language",
+    "entities": VOID + "entities",
+    "triples": VOID + "triples",
+    "distinct_subjects": VOID + "distinctSubjects",
+    "distinct_objects": VOID + "distinctObjects",
+    "properties": VOID + "properties",
+}
+IRIS = ("class", "predicate", "object_class", "datatype")
+
+
 def as_void(stats: DataFrame, base: str = "urn:x-quadrille:void:") -> DataFrame:
     """The table as triples: one node for each row, with VoID names for what VoID has."""
-    void, ext = "http://rdfs.org/ns/void#", "http://ldf.fi/void-ext#"
-    names = {"class": void + "class", "predicate": void + "property", "object_class": ext + "objectClass", "datatype": ext + "datatype", "language": ext + "language", "entities": void + "entities", "triples": void + "triples", "distinct_subjects": void + "distinctSubjects", "distinct_objects": void + "distinctObjects", "properties": void + "properties"}
     key = ["view", "kind", *COLUMNS[2:7]]
     node = F.concat(F.lit(base), F.sha2(F.concat_ws("\t", *(F.coalesce(c, F.lit("\x00")) for c in key)), 256))
-    pairs = [F.struct(F.lit(iri).alias("p"), (F.col(c) if c in COLUMNS[2:6] else F.when(F.col(c).isNotNull(), F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"' if c == "language" else '"^^<http://www.w3.org/2001/XMLSchema#integer>')))).alias("o")) for c, iri in names.items()]
-    pairs.append(F.struct(F.lit(RDF_TYPE).alias("p"), F.lit(void + "Dataset").alias("o")))
+    ending = lambda c: '"' if c in ("view", "kind", "language") else '"^^<http://www.w3.org/2001/XMLSchema#integer>'
+    pairs = [F.struct(F.lit(iri).alias("p"), (F.col(c) if c in IRIS else F.when(F.col(c).isNotNull(), F.concat(F.lit('"'), F.col(c).cast("string"), F.lit(ending(c))))).alias("o")) for c, iri in NAMES.items()]
+    pairs.append(F.struct(F.lit(RDF_TYPE).alias("p"), F.lit(VOID + "Dataset").alias("o")))
     return stats.select(node.alias("s"), F.explode(F.array(*pairs)).alias("x")).select("s", "x.p", "x.o").filter("o IS NOT NULL")
 
 
-def verified(t: DataFrame, stats: DataFrame) -> DataFrame:
-    """Rows of stats that a fresh computation does not give, and the other way round: none if they agree."""
-    fresh = tidy(t)
-    return stats.exceptAll(fresh).withColumn("found", F.lit("stored")).union(fresh.exceptAll(stats).withColumn("found", F.lit("computed")))
+def from_void(triples: DataFrame) -> DataFrame:
+    """The table that VoID triples state: one row for each node."""
+    value = lambda c: F.col("o") if c in IRIS else terms.lexical(F.col("o"))
+    rows = triples.groupBy("s").agg(*(F.max(F.when(F.col("p") == iri, value(c))).alias(c) for c, iri in NAMES.items()))
+    return rows.select(*(F.col(c).cast("string" if c in COLUMNS[:7] else "long").alias(c) for c in COLUMNS))
+
+
+def verified(t: DataFrame | Graph, stated: DataFrame) -> DataFrame:
+    """Rows that a description states and the triples do not bear out ("stored"), and the other way round ("computed").
+
+    stated is a table or, with columns s, p and o, VoID triples, which are read back. The design view is
+    held against counts that are taken another way: plain distinct counts over rows that carry both classes.
+    """
+    if "view" not in stated.columns:
+        stated = from_void(stated)
+    rows, kind = forms(t)[0], types(t)
+    subject, object_ = kind.select(F.col("node").alias("s"), F.col("class").alias("sc")), kind.select(F.col("node").alias("o"), F.col("class").alias("oc"))
+    with_classes = rows.join(subject, "s", "left").join(object_, "o", "left")
+    count = [F.count_distinct("s", "p", "o").alias("triples"), F.count_distinct("s").alias("distinct_subjects"), F.count_distinct("o").alias("distinct_objects")]
+    literal = terms.is_literal(F.col("o"))
+    typed = with_classes.filter("sc IS NOT NULL")
+
+    def part(df: DataFrame, kind: str, keys: dict, aggregates: list) -> DataFrame:
+        got = df.groupBy(*(v.alias(k) for k, v in keys.items())).agg(*aggregates)
+        return got.select(F.lit("design").alias("view"), F.lit(kind).alias("kind"), *((F.col(c) if c in got.columns else F.lit(None)).cast("string" if c in COLUMNS[:7] else "long").alias(c) for c in COLUMNS[2:]))
+
+    p, cls = F.col("p"), F.col("sc")
+    fresh = [
+        part(with_classes, "dataset", {}, [*count, F.count_distinct("p").alias("properties")]),
+        part(with_classes, "property", {"predicate": p}, count),
+        part(kind, "class", {"class": F.col("class")}, [F.count_distinct("node").alias("entities")]),
+        part(typed, "class-property", {"class": cls, "predicate": p}, count),
+        part(typed.filter("oc IS NOT NULL"), "object-class", {"class": cls, "predicate": p, "object_class": F.col("oc")}, count[:1]),
+        part(typed.filter(literal), "datatype", {"class": cls, "predicate": p, "datatype": terms.datatype(F.col("o"))}, count[:1]),
+        part(typed.filter(literal & terms.language(F.col("o")).isNotNull()), "language", {"class": cls, "predicate": p, "language": terms.language(F.col("o"))}, count[:1]),
+    ]
+    computed, stated = reduce(DataFrame.union, fresh), stated.filter("view = 'design'").select(*COLUMNS)
+    return stated.exceptAll(computed).withColumn("found", F.lit("stored")).union(computed.exceptAll(stated).withColumn("found", F.lit("computed")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from quadrille.functions import terms, texts
 from quadrille.functions.terms import RDF_TYPE, RDFS_LABEL
 from quadrille.operators import joins, keysets, labels, search, stats, verbalize
 from quadrille.operators.graph import Graph
+from quadrille.plans import service
 from quadrille.plans.registry import register
-from quadrille.sources import mapping, ntriples
+from quadrille.sources import bundle, mapping, ntriples
 from quadrille.sources.mapping import BASE, FULL, SKOS, UNNAMED
 
 P, C = BASE + "p/", BASE + "c/"
@@ -24,12 +27,12 @@ FRAGMENT = "CASE WHEN {x} LIKE '%#%' THEN regexp_extract({x}, '(?s)^.*#(.*)$', 1
 HUMAN = "trim(regexp_replace(regexp_replace(replace(replace({x}, '_', ' '), '-', ' '), '(\\p{{Ll}})(\\p{{Lu}})', '\\1 \\2', 'g'), '\\s+', ' ', 'g'))"
 
 
-def core(spark: SparkSession, d: str, whole: bool = False) -> Graph:
-    return Graph(mapping.triples(spark, d, whole=whole), prefixes=PREFIXES)
+def core(spark: SparkSession, d: str) -> Graph:
+    return Graph(mapping.triples(spark, d), prefixes=PREFIXES, whole=mapping.triples(spark, d, whole=True))
 
 
-def full(spark: SparkSession, d: str, whole: bool = False) -> Graph:
-    return Graph(mapping.triples(spark, d, FULL, whole=whole), prefixes=PREFIXES)
+def full(spark: SparkSession, d: str) -> Graph:
+    return Graph(mapping.triples(spark, d, FULL), prefixes=PREFIXES, whole=mapping.triples(spark, d, FULL, whole=True))
 
 
 def quads(spark: SparkSession, d: str) -> Graph:
@@ -46,7 +49,7 @@ def claims(spark: SparkSession, d: str) -> Graph:
 
 @register("fragment_all", TFULL + "SELECT s, p, o FROM t")
 def fragment_all(spark, d):
-    return full(spark, d, whole=True).fragment().rows
+    return full(spark, d).fragment().rows
 
 
 @register("fragment_p", T + f"SELECT s, o FROM t WHERE p = '{P}o_custkey'")
@@ -92,17 +95,20 @@ def count_p(spark, d):
 
 @register("count_all", TFULL + "SELECT count(*) AS count FROM t")
 def count_all(spark, d):
-    return full(spark, d, whole=True).count()
+    return full(spark, d).count()
 
 
 _ORDER = "row_number() OVER (ORDER BY (p.s NOT IN (SELECT o FROM t WHERE o IS NOT NULL))::INT, p.s, p.p, (p.o NOT IN (SELECT s FROM t))::INT, p.o) AS pos"
 
 
-@register("page_p", T + f""", q AS (SELECT s, p, o FROM t WHERE p = '{P}c_nationkey'),
+_ORACLE_PAGE = T + f""", q AS (SELECT s, p, o FROM t WHERE p = '{P}c_nationkey'),
 subjects AS (SELECT DISTINCT s FROM t), objects AS (SELECT DISTINCT o FROM t),
 r AS (SELECT q.s, q.o, row_number() OVER (ORDER BY (subjects.s IS NULL)::INT, q.o, (objects.o IS NULL)::INT, q.s) - 1 AS ord
       FROM q LEFT JOIN subjects ON subjects.s = q.o LEFT JOIN objects ON objects.o = q.s)
-SELECT ord, s, o FROM r WHERE ord >= 100 AND ord < 200""")
+SELECT ord, s, o FROM r WHERE ord >= 100 AND ord < 200"""
+
+
+@register("page_p", _ORACLE_PAGE)
 def page_p(spark, d):
     """The second page of 100, resumed by its cursor."""
     g = core(spark, d)
@@ -110,6 +116,31 @@ def page_p(spark, d):
     return g.fragment(p="p:c_nationkey", limit=100, cursor=first.cursor).rows.withColumn("ord", F.col("ord") + 100)
 
 
+def _bundle(spark: SparkSession, d: str) -> Graph:
+    """The core graph, published and opened again; once for each session and folder of tables."""
+    held = _BUNDLES.setdefault(id(spark), {})
+    if d not in held:
+        held[d] = f"{bundle.scratch(spark)}/bundle-{uuid.uuid4().hex}"
+        bundle.publish(core(spark, d), held[d], bundle.Manifest("core", "1"))
+    return bundle.open_bundle(spark, held[d])
+
+
+_BUNDLES: dict[int, dict[str, str]] = {}
+
+
+@register("bundle_page_p", _ORACLE_PAGE)
+def bundle_page_p(spark, d):
+    """page_p over an opened bundle, whose order comes from its table of terms."""
+    g = _bundle(spark, d)
+    first = g.fragment(p="p:c_nationkey", limit=100)
+    return g.fragment(p="p:c_nationkey", limit=100, cursor=first.cursor).rows.withColumn("ord", F.col("ord") + 100)
+
+
+@register("bundle_fragment_o", T + f"SELECT s, p FROM t WHERE o = '{BASE}nation/7'")
+def bundle_fragment_o(spark, d):
+    return _bundle(spark, d).fragment(o="d:nation/7").rows
+
+
 # -- bindings ------------------------------------------------------------------------------------
 
 _NAMES = ["n", "x"]
@@ -141,7 +172,7 @@ def distinct_bindings(spark, d):
 
 @register("distinct_p", TFULL + "SELECT p AS value, count(*) AS count FROM t GROUP BY p")
 def distinct_p(spark, d):
-    return full(spark, d, whole=True).distinct("p")
+    return full(spark, d).distinct("p")
 
 
 @register("distinct_p_o", TFULL + f"SELECT o AS value, count(*) AS count FROM t WHERE p = '{P}l_suppkey' GROUP BY o")
@@ -194,17 +225,17 @@ _ROLES = "(SELECT term, max(s) AS in_s, max(p) AS in_p, max(o) AS in_o FROM (SEL
 
 @register("terms_sections", TFULL + f"SELECT term, CASE WHEN in_s + in_o = 2 THEN 'shared' WHEN in_s = 1 THEN 'subjects' WHEN in_o = 1 THEN 'objects' ELSE 'predicates' END AS section FROM {_ROLES}")
 def terms_sections(spark, d):
-    return full(spark, d, whole=True).terms().select("term", "section")
+    return full(spark, d).terms().select("term", "section")
 
 
 @register("terms_prefix", TFULL + f"SELECT term, in_s = 1 AS in_s, in_p = 1 AS in_p, in_o = 1 AS in_o FROM {_ROLES} WHERE starts_with(term, '{BASE}nation/') ORDER BY term LIMIT 100")
 def terms_prefix(spark, d):
-    return full(spark, d, whole=True).term_prefix(BASE + "nation/", limit=100)
+    return full(spark, d).term_prefix(BASE + "nation/", limit=100)
 
 
 @register("terms_count", TFULL + f"SELECT sum(in_s)::BIGINT AS subject, sum(in_p)::BIGINT AS predicate, sum(in_o)::BIGINT AS object, count(*) AS \"any\" FROM {_ROLES} WHERE starts_with(term, '{BASE}')")
 def terms_count(spark, d):
-    return full(spark, d, whole=True).term_counts(BASE)
+    return full(spark, d).term_counts(BASE)
 
 
 @register("describe", T + f"SELECT 'out' AS direction, s, p, o FROM t WHERE s = '{BASE}nation/7' UNION ALL SELECT 'in', s, p, o FROM t WHERE o = '{BASE}nation/7'")
@@ -212,15 +243,14 @@ def describe(spark, d):
     return core(spark, d).describe("d:nation/7")
 
 
-@register("sample")
+@register("sample", T + f", q AS (SELECT s, p, o, sha256('7' || chr(9) || s || chr(9) || p || chr(9) || o) AS draw FROM t WHERE p = '{P}o_custkey' ORDER BY draw LIMIT 100) SELECT row_number() OVER (ORDER BY draw) - 1 AS ord, s, p, o FROM q")
 def sample(spark, d):
-    """Positions come from a stated generator, which SQL does not have; tests hold it against a list."""
     return core(spark, d).sample(p="p:o_custkey", n=100, seed=7)
 
 
 @register("shared_terms", TFULL + "SELECT DISTINCT s AS shared FROM t WHERE s IN (SELECT o FROM t)")
 def shared_terms(spark, d):
-    return full(spark, d, whole=True).shared
+    return full(spark, d).shared
 
 
 # -- labels, names, search -------------------------------------------------------------------------
@@ -251,8 +281,8 @@ def labels_hydrated(spark, d):
 
 @register("names_fallback", TFULL + f"SELECT DISTINCT p, {HUMAN.format(x=FRAGMENT.format(x='p'))} AS name FROM t")
 def names_fallback(spark, d):
-    g = full(spark, d, whole=True)
-    return g.triples.select("p").distinct().select("p", texts.fallback_label(F.col("p")).alias("name"))
+    g = full(spark, d)
+    return g.whole.select("p").distinct().select("p", texts.fallback_label(F.col("p")).alias("name"))
 
 
 @register("term_parts", TFULL + f"""SELECT DISTINCT o AS term, {LEX} AS lex, {TAG} AS lang,
@@ -260,7 +290,7 @@ CASE WHEN {TAG} IS NOT NULL THEN '{terms.RDF_LANG}' ELSE coalesce(nullif(regexp_
 FROM t WHERE o LIKE '"%'""")
 def term_parts(spark, d):
     o = F.col("o")
-    return full(spark, d, whole=True).triples.filter(terms.is_literal(o)).select("o").distinct().select(o.alias("term"), terms.lexical(o).alias("lex"), terms.language(o).alias("lang"), terms.datatype(o).alias("datatype"))
+    return full(spark, d).whole.filter(terms.is_literal(o)).select("o").distinct().select(o.alias("term"), terms.lexical(o).alias("lex"), terms.language(o).alias("lang"), terms.datatype(o).alias("datatype"))
 
 
 _WORDS = "list_filter(regexp_split_to_array(lower(lex), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
@@ -283,12 +313,21 @@ def text_count(spark, d):
     return search.count(core(spark, d), "the thing")
 
 
-@register("search_top", T + f""", {_HITS}, f AS (SELECT t.s, t.p, t.o, match_kind, score, row_number() OVER (PARTITION BY t.s ORDER BY match_kind, score DESC, t.o) AS rn FROM t JOIN h ON h.o = t.o)
-SELECT s AS subject, p AS predicate, o AS literal, match_kind, score FROM f WHERE rn = 1 ORDER BY match_kind, score DESC, o, s LIMIT 10""")
+_SEARCH_TOP = T + f""", {_HITS}, f AS (SELECT t.s, t.p, t.o, match_kind, score, row_number() OVER (PARTITION BY t.s ORDER BY match_kind, score DESC, t.o) AS rn FROM t JOIN h ON h.o = t.o)
+SELECT s AS subject, p AS predicate, o AS literal, match_kind, score FROM f WHERE rn = 1 ORDER BY match_kind, score DESC, o, s LIMIT 10"""
+
+
+@register("search_top", _SEARCH_TOP)
 def search_top(spark, d):
     return search.search(core(spark, d), "the thing")
 
 
+@register("bundle_search_top", _SEARCH_TOP)
+def bundle_search_top(spark, d):
+    """search_top over an opened bundle, by its inverted index."""
+    return search.search(_bundle(spark, d), "the thing")
+
+
 # -- statistics ------------------------------------------------------------------------------------
 
 _DISTINCTS = "count(*) AS triples, count(DISTINCT s) AS distinct_subjects, count(DISTINCT o) AS distinct_objects"
@@ -298,38 +337,38 @@ _RELATIONS = "SELECT a.class AS subject_class, t.p AS predicate, b.class AS obje
 
 @register("void_totals", TFULL + f"SELECT {_DISTINCTS}, count(DISTINCT p) AS properties FROM t")
 def void_totals(spark, d):
-    return stats.totals(full(spark, d, whole=True).triples)
+    return stats.totals(full(spark, d))
 
 
 @register("void_property_partitions", TFULL + f"SELECT p AS predicate, {_DISTINCTS} FROM t GROUP BY p")
 def void_property_partitions(spark, d):
-    return stats.properties(full(spark, d, whole=True).triples)
+    return stats.properties(full(spark, d))
 
 
 @register("void_class_partitions", TFULL + f", {_TYPES} SELECT class, count(*) AS entities FROM y GROUP BY class")
 def void_class_partitions(spark, d):
-    return stats.classes(full(spark, d).triples)
+    return stats.classes(full(spark, d))
 
 
 @register("void_class_properties", TFULL + f", {_TYPES} SELECT class, p AS predicate, {_DISTINCTS} FROM t JOIN y ON y.node = t.s GROUP BY class, p")
 def void_class_properties(spark, d):
-    return stats.class_properties(full(spark, d, whole=True).triples)
+    return stats.class_properties(full(spark, d))
 
 
 @register("void_class_relations", TFULL + f", {_TYPES} {_RELATIONS}")
 def void_class_relations(spark, d):
-    return stats.class_relations(full(spark, d, whole=True).triples)
+    return stats.class_relations(full(spark, d))
 
 
 @register("void_datatypes", TFULL + f""", {_TYPES} SELECT class, p AS predicate, CASE WHEN {TAG} IS NOT NULL THEN '{terms.RDF_LANG}' ELSE coalesce(nullif(regexp_extract(o, '(?s)^".*"\\^\\^<([^<>"]*)>$', 1), ''), '{terms.XSD_STRING}') END AS datatype, count(*) AS triples
 FROM t JOIN y ON y.node = t.s WHERE o LIKE '"%' GROUP BY ALL""")
 def void_datatypes(spark, d):
-    return stats.datatypes(full(spark, d, whole=True).triples)
+    return stats.datatypes(full(spark, d))
 
 
 @register("void_languages", TFULL + f", {_TYPES} SELECT class, p AS predicate, {TAG} AS language, count(*) AS triples FROM t JOIN y ON y.node = t.s WHERE o LIKE '\"%' AND {TAG} IS NOT NULL GROUP BY ALL")
 def void_languages(spark, d):
-    return stats.languages(full(spark, d, whole=True).triples)
+    return stats.languages(full(spark, d))
 
 
 @register("void_graph_properties", M + f"SELECT g, p AS predicate, {_DISTINCTS} FROM m GROUP BY g, p")
@@ -339,12 +378,24 @@ def void_graph_properties(spark, d):
 
 @register("schema_relations_page", TFULL + f", {_TYPES} {_RELATIONS} ORDER BY triples DESC, subject_class, predicate, object_class LIMIT 1000")
 def schema_relations_page(spark, d):
-    return stats.relations_page(full(spark, d, whole=True).triples)
+    return stats.relations_page(full(spark, d))
 
 
 @register("schema_children", TFULL + f", {_TYPES} SELECT p AS predicate, {_DISTINCTS} FROM t JOIN y ON y.node = t.s WHERE class = '{C}Customer' GROUP BY p")
 def schema_children(spark, d):
-    return stats.schema_children(stats.tidy(full(spark, d, whole=True).triples), "class", "properties", cls=C + "Customer", limit=1000).select("predicate", "triples", "distinct_subjects", "distinct_objects")
+    return stats.schema_children(stats.tidy(full(spark, d)), "class", "properties", cls=C + "Customer", limit=1000).select("predicate", "triples", "distinct_subjects", "distinct_objects")
+
+
+@register("bundle_schema_children", T + f", {_TYPES} SELECT p AS predicate, {_DISTINCTS} FROM t JOIN y ON y.node = t.s WHERE class = '{C}Customer' GROUP BY p")
+def bundle_schema_children(spark, d):
+    """schema_children over an opened bundle, from its published statistics."""
+    return service.request(_bundle(spark, d), "schema", **{"class": C + "Customer", "children": "properties", "limit": 1000}).select("predicate", "triples", "distinct_subjects", "distinct_objects")
+
+
+@register("tpf_graph", M + f"SELECT DISTINCT s, p, o FROM m WHERE g = '{BASE}g/customer' AND p = '{P}c_nationkey' ORDER BY s LIMIT 10000")
+def tpf_graph(spark, d):
+    """A page of a pattern in a named graph, in explicit syntax; at the tables' smaller sizes it is all rows."""
+    return service.request(quads(spark, d), "tpf", predicate=P + "c_nationkey", graph=BASE + "g/customer", limit=10_000).select("s", "p", "o")
 
 
 _SPACES = [(k, ns) for k, ns in sorted(PREFIXES.items(), key=lambda kv: (-len(kv[1]), kv[0]))]
@@ -353,7 +404,7 @@ _OWNER = "CASE " + " ".join(f"WHEN starts_with(term, '{ns}') THEN '{k}'" for k,
 
 @register("namespaces", TFULL + f", r AS (SELECT {_OWNER} AS prefix, in_s, in_p, in_o FROM {_ROLES} WHERE term NOT LIKE '\"%' AND term NOT LIKE '\\_:%' ESCAPE '\\') SELECT prefix, sum(in_s)::BIGINT AS subjects, sum(in_p)::BIGINT AS predicates, sum(in_o)::BIGINT AS objects FROM r GROUP BY prefix")
 def namespaces(spark, d):
-    return stats.namespaces(full(spark, d, whole=True).triples, PREFIXES).drop("namespace")
+    return stats.namespaces(full(spark, d), PREFIXES).drop("namespace")
 
 
 @register("summary", TFULL + f""", {_TYPES}, a AS (SELECT 'classes' AS section, class AS name, count(*) AS count FROM y GROUP BY class UNION ALL SELECT 'properties', p, count(*) FROM t GROUP BY p
@@ -361,7 +412,7 @@ UNION ALL SELECT 'relations', subject_class || ' ' || predicate || ' ' || object
 r AS (SELECT section, name, count, row_number() OVER (PARTITION BY section ORDER BY count DESC, name) - 1 AS ord FROM a)
 SELECT section, ord, name, count FROM r WHERE ord < 10""")
 def summary(spark, d):
-    return stats.summary(full(spark, d, whole=True).triples)
+    return stats.summary(full(spark, d))
 
 
 # -- statement terms -------------------------------------------------------------------------------
@@ -414,18 +465,18 @@ def verbalize_orders_template(spark, d):
 
 @register("ntriples_lines", TFULL + """SELECT '<' || s || '> <' || p || '> ' || CASE WHEN o LIKE '"%' THEN '"' || replace(replace(replace(replace(""" + LEX + """, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r') || '"' || regexp_extract(o, '(?s)^".*"((?:@[A-Za-z0-9-]+|\\^\\^<[^<>"]*>)?)$', 1) ELSE '<' || o || '>' END || ' .' AS value FROM t""")
 def ntriples_lines(spark, d):
-    return ntriples.lines(full(spark, d, whole=True).triples)
+    return ntriples.lines(full(spark, d).whole)
 
 
 @register("ntriples_round_trip", TFULL + "SELECT s, p, o FROM t")
 def ntriples_round_trip(spark, d):
     """Lines written and parsed again."""
-    return ntriples.parse_lines(ntriples.lines(full(spark, d, whole=True).triples))[0].select("s", "p", "o")
+    return ntriples.parse_lines(ntriples.lines(full(spark, d).whole))[0].select("s", "p", "o")
 
 
 @register("key_set_sections", TFULL + f"SELECT CASE WHEN in_s + in_o = 2 THEN 'shared' WHEN in_s = 1 THEN 'subjects' ELSE 'objects' END AS section, count(*) AS keys FROM {_ROLES} WHERE in_s + in_o > 0 GROUP BY ALL")
 def key_set_sections(spark, d):
-    return keysets.key_set(full(spark, d, whole=True)).groupBy("section").agg(F.count_distinct("key").alias("keys"))
+    return keysets.key_set(full(spark, d)).groupBy("section").agg(F.count_distinct("key").alias("keys"))
 
 
 @register("overlap_terms", "SELECT DISTINCT o AS term FROM (" + mapping.sql(("customer", "nation")) + ") WHERE o IN (SELECT o FROM (" + mapping.sql(("supplier", "nation")) + ")) UNION SELECT DISTINCT s FROM (" + mapping.sql(("nation",)) + ")")

@@ -1,6 +1,7 @@
 """Requests by name: an operation and its parameters, as a client states them.
 
-Every parameter is used or refused. Rows come back as a DataFrame; counts are exact.
+Every parameter is used or refused. ``answer`` gives rows with their cursor, completeness and absent
+terms; ``request`` gives the rows alone. Counts are exact.
 """
 
 from __future__ import annotations
@@ -12,22 +13,22 @@ from quadrille.functions import terms, values
 from quadrille.functions.errors import LABELS_CAP, ROOTS_CAP, SAMPLE_CAP, QueryError, limited
 from quadrille.functions.terms import RDF_TYPE
 from quadrille.operators import labels, search, stats, verbalize
-from quadrille.operators.graph import Graph
+from quadrille.operators.graph import Answer, Graph
 
 #: Parameters of each operation.
 PARAMETERS = {
-    "fragment": {"s", "p", "o", "o.text", "g", "limit", "cursor", "labels", "lang"},
-    "bindings": {"pattern", "bindings", "values", "g", "distinct"},
+    "fragment": {"s", "p", "o", "o.text", "g", "limit", "cursor", "labels", "lang", "label_source"},
+    "bindings": {"pattern", "bindings", "values", "g", "distinct", "limit", "cursor", "labels", "lang", "label_source"},
     "tpf": {"subject", "predicate", "object", "graph", "values", "limit", "cursor"},
     "count": {"s", "p", "o", "o.text", "g", "pattern", "bindings"},
     "describe": {"iri", "direction"},
     "sample": {"s", "p", "o", "n", "seed"},
-    "distinct": {"s", "p", "o", "g", "group_by", "pattern", "bindings"},
+    "distinct": {"s", "p", "o", "g", "group_by", "pattern", "bindings", "limit", "cursor"},
     "terms": {"prefix", "role", "count", "limit", "cursor"},
     "search": {"q", "role", "predicate", "limit"},
-    "labels": {"iris", "labels", "lang"},
-    "graphs": {"limit"},
-    "schema": {"class", "predicate", "datatype", "children", "projection", "view", "limit"},
+    "labels": {"iris", "labels", "lang", "label_source"},
+    "graphs": {"limit", "cursor"},
+    "schema": {"class", "predicate", "datatype", "children", "projection", "view", "limit", "cursor"},
     "void": set(),
     "summary": set(),
     "verbalize": {"config", "iri", "target", "n", "seed", "plan"},
@@ -36,8 +37,13 @@ PARAMETERS = {
 UNSUPPORTED = {"o.lang", "o.dt", "o.ge", "o.gt", "o.le", "o.lt"}
 
 
-def request(graph: Graph, operation: str, **params) -> DataFrame:
+def request(graph: Graph, operation: str, /, **params) -> DataFrame:
     """The rows of an operation. Dots in a parameter's name are written as two underscores."""
+    return answer(graph, operation, **params).rows
+
+
+def answer(graph: Graph, operation: str, /, **params) -> Answer:
+    """The answer of an operation: its rows and, where it has pages, the cursor and whether the page is the last."""
     params = {k.replace("__", "."): v for k, v in params.items() if v is not None}
     if operation not in PARAMETERS:
         raise QueryError("not_found", f"there is no operation {operation!r}")
@@ -46,7 +52,8 @@ def request(graph: Graph, operation: str, **params) -> DataFrame:
             raise QueryError("unsupported", f"{k} is not answered")
         if k not in PARAMETERS[operation]:
             raise QueryError("unknown_parameter", f"{operation} has no parameter {k!r}; it has {sorted(PARAMETERS[operation])}")
-    return _OPERATIONS[operation](graph, params)
+    got = _OPERATIONS[operation](graph, params)
+    return got if isinstance(got, Answer) else Answer(got)
 
 
 def _spo(p: dict) -> dict:
@@ -60,12 +67,26 @@ def _text(graph: Graph, p: dict) -> DataFrame:
     return search.statements(graph, p["o.text"], p.get("s"), p.get("p"))
 
 
-def _fragment(graph: Graph, p: dict) -> DataFrame:
+def _labelled(graph: Graph, found: Answer, p: dict) -> Answer:
+    """found with labels, if they are asked for; what shapes labels is refused without them."""
+    if not p.get("labels"):
+        for k in ("lang", "label_source"):
+            if p.get(k):
+                raise QueryError("malformed_request", f"{k} without labels changes nothing")
+        return found
+    predicates = None if p["labels"] is True else [graph.parse(x).stored() for x in p["labels"]]
+    found.rows = labels.hydrated(graph, found.rows, p.get("lang", []), predicates, bool(p.get("label_source")))
+    return found
+
+
+def _fragment(graph: Graph, p: dict) -> Answer:
     if "o.text" in p:
-        n = limited(p.get("limit"))
-        return _text(graph, p).orderBy("match_kind", F.desc("score"), "o", "s", "p").limit(n)
-    rows = graph.fragment(**_spo(p), g=p.get("g"), limit=limited(p.get("limit")), cursor=p.get("cursor")).rows
-    return labels.hydrated(graph, rows, p.get("lang", [])) if p.get("labels") else rows
+        ranked = _text(graph, p).withColumn("_class", (F.col("match_kind") != search.EXACT).cast("int"))
+        asked = {k: p.get(k) for k in ("o.text", "s", "p")}
+        found = graph.paged("text", ranked, ["_class", "-score", "o", "s", "p"], asked, p.get("limit"), p.get("cursor"))
+    else:
+        found = graph.fragment(**_spo(p), g=p.get("g"), limit=limited(p.get("limit")), cursor=p.get("cursor"))
+    return _labelled(graph, found, p)
 
 
 def _table(graph: Graph, p: dict) -> tuple:
@@ -78,32 +99,32 @@ def _table(graph: Graph, p: dict) -> tuple:
     return p["pattern"], names, rows
 
 
-def _bindings(graph: Graph, p: dict) -> DataFrame:
+def _bindings(graph: Graph, p: dict) -> Answer:
     pattern, names, rows = _table(graph, p)
-    if p.get("distinct"):
-        return graph.restricted(pattern, names, values.normalized_rows(rows), p.get("g"))
-    return graph.binding_fragment(pattern, names, rows, p.get("g"))
+    rows = values.normalized_rows(rows) if p.get("distinct") else rows
+    return _labelled(graph, graph.binding_page(pattern, names, rows, p.get("g"), p.get("limit"), p.get("cursor"), bool(p.get("distinct"))), p)
 
 
-def _tpf(graph: Graph, p: dict) -> DataFrame:
+def _tpf(graph: Graph, p: dict) -> Answer:
     """Explicit syntax: bare IRIs, no prefixes. Without a graph it is the quad view, if there are graphs."""
     variables = [v for v in (p.get(k) for k in ("subject", "predicate", "object")) if v and v.startswith("?")]
     if "values" not in p and len(set(variables)) != len(variables):
         raise QueryError("unsupported", "a variable that stands twice is bound in every row")
     own = {c: p.get(k) for c, k in zip("spo", ("subject", "predicate", "object"))}
-    g = p.get("graph", "*" if graph.quads_given else None)
+    fixed = {c: terms.parse(v, explicit=True) for c, v in own.items() if v and not v.startswith("?")}
+    g = p.get("graph", "*" if graph.quads_given and "values" not in p else None)
+    g = g if g in (None, "*") else f"<{g}>"
     if "values" in p:
         names, rows = values.parse_values(p["values"], {})
-        table = [[None if v is None else v for v in r] for r in values.normalized_rows(rows)]
-        pattern = {c: v if v and v.startswith("?") else None if v is None else terms.parse(v, explicit=True) for c, v in own.items()}
-        fixed = {c: v for c, v in pattern.items() if isinstance(v, terms.Term)}
-        scoped = Graph(graph.matching(graph.scope(None)[0], **fixed), prefixes={})
-        return scoped.restricted({c: v for c, v in pattern.items() if isinstance(v, str)}, names, table)
-    fixed = {c: terms.parse(v, explicit=True) for c, v in own.items() if v and not v.startswith("?")}
-    rows, quads = graph.scope(g if g in (None, "*") else f"<{g}>")
-    found = graph.matching(rows, **fixed)
+        if g == "*" or f"?{p.get('graph', '')[1:]}" in [f"?{n}" for n in names] and p.get("graph", "").startswith("?"):
+            raise QueryError("unsupported", "a table does not bind the graph")
+        scoped = Graph(graph.found(**fixed, g=g)[0])
+        found, quads = scoped.restricted({c: v for c, v in own.items() if v and v.startswith("?")}, names, values.normalized_rows(rows)), False
+    else:
+        found, quads = graph.found(**fixed, g=g)
     sorted_, keys = graph.order_keys(found, graph.shape(**fixed), quads)
-    return sorted_.orderBy(*keys).limit(limited(p.get("limit"))).select("s", "p", "o", *(["g"] if quads else []))
+    asked = {k: p.get(k) for k in ("subject", "predicate", "object", "graph", "values")}
+    return graph.paged("tpf", sorted_, [*keys, *(c for c in "spo" if c not in keys)], asked, p.get("limit"), p.get("cursor"))
 
 
 def _count(graph: Graph, p: dict) -> DataFrame:
@@ -119,8 +140,8 @@ def _distinct(graph: Graph, p: dict) -> DataFrame:
         raise QueryError("malformed_request", "group_by is required")
     if "pattern" in p:
         pattern, names, rows = _table(graph, p)
-        return graph.distinct(p["group_by"], g=p.get("g"), pattern=pattern, names=names, rows=rows)
-    return graph.distinct(p["group_by"], **_spo(p), g=p.get("g"))
+        return graph.distinct_page(p["group_by"], p.get("limit"), p.get("cursor"), g=p.get("g"), pattern=pattern, names=names, rows=rows)
+    return graph.distinct_page(p["group_by"], p.get("limit"), p.get("cursor"), **_spo(p), g=p.get("g"))
 
 
 def _terms(graph: Graph, p: dict) -> DataFrame:
@@ -128,28 +149,35 @@ def _terms(graph: Graph, p: dict) -> DataFrame:
         if {"limit", "cursor"} & set(p):
             raise QueryError("malformed_request", "a count has no page")
         return graph.term_counts(p.get("prefix", ""))
-    return graph.term_prefix(p.get("prefix", ""), p.get("role", "any"), p.get("limit"), p.get("cursor"))
+    return graph.term_page(p.get("prefix", ""), p.get("role", "any"), p.get("limit"), p.get("cursor"))
 
 
 def _labels(graph: Graph, p: dict) -> DataFrame:
     if len(p.get("iris", [])) > LABELS_CAP:
         raise QueryError("cap_exceeded", f"over {LABELS_CAP} nodes")
-    return labels.resolve(graph, p["iris"], p.get("labels"), p.get("lang", []))
+    found = labels.resolve(graph, p["iris"], p.get("labels"), p.get("lang", []))
+    return found if p.get("label_source") else found.drop("source")
 
 
-def _schema(graph: Graph, p: dict) -> DataFrame:
-    n = limited(p.get("limit"), cap=1_000)
+def _schema(graph: Graph, p: dict) -> DataFrame | Answer:
+    limited(p.get("limit"), cap=stats.SCHEMA_CAP)
+    page = {"limit": p.get("limit"), "cursor": p.get("cursor"), "cap": stats.SCHEMA_CAP}
+    view = p.get("view", "design")
+    table = stats.views(graph, [view])
+    asked = {k: p.get(k) for k in ("class", "predicate", "datatype", "children", "projection", "view")}
     if "projection" in p:
-        if p["projection"] not in ("class-relations", "class-properties"):
+        if p["projection"] not in stats.PROJECTIONS:
             raise QueryError("malformed_request", f"{p['projection']!r} is no projection")
-        return (stats.relations_page if p["projection"] == "class-relations" else stats.class_properties_page)(graph.triples, n)
-    view = p.get("view", "design")
-    own = graph.memberships if view.startswith("graph:") else graph.triples
-    table = stats.tidy(own, ["g"] if view.startswith("graph:") else [])
+        rows, keys = stats.projection(table, p["projection"], view)
+        return graph.paged("schema", rows, keys, asked, **page)
     chosen = {"cls": p.get("class"), "predicate": p.get("predicate"), "datatype": p.get("datatype")}
     if "children" in p:
         parent = "datatype" if chosen["datatype"] else "property" if chosen["predicate"] else "class" if chosen["cls"] else "dataset"
-        return stats.schema_children(table, parent, p["children"], **chosen, view=view, limit=n)
+        rows = stats.children(table, parent, p["children"], **chosen, view=view)
+        names = [c for c in stats.COLUMNS if c in ("class", "predicate", "object_class", "datatype", "language")]
+        return graph.paged("schema", rows.select("*", *(F.coalesce(c, F.lit("")).alias(f"_{c}") for c in names)), [f"_{c}" for c in names], asked, **page)
+    if p.get("cursor"):
+        raise QueryError("malformed_request", "a node has no pages")
     return stats.schema_node(table, **chosen, view=view)
 
 
@@ -178,9 +206,9 @@ _OPERATIONS = {
     "terms": _terms,
     "search": lambda g, p: search.search(g, p.get("q", ""), p.get("role"), p.get("predicate"), p.get("limit")),
     "labels": _labels,
-    "graphs": lambda g, p: g.graphs().limit(limited(p.get("limit"))),
+    "graphs": lambda g, p: g.graph_page(p.get("limit"), p.get("cursor")),
     "schema": _schema,
-    "void": lambda g, p: stats.as_void(stats.tidy(g.triples)),
-    "summary": lambda g, p: stats.summary(g.triples),
+    "void": lambda g, p: stats.as_void(stats.views(g)),
+    "summary": lambda g, p: stats.summary(g),
     "verbalize": _verbalize,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import SparkSession
@@ -42,6 +43,21 @@ class BuildConfig:
         return out
 
 
+def check_config(text: str) -> list[str]:
+    """What is wrong with a configuration, as JSON text; nothing is read or written."""
+    try:
+        values = json.loads(text)
+    except ValueError as e:
+        return [f"no JSON: {e}"]
+    if not isinstance(values, dict):
+        return ["a configuration is an object"]
+    try:
+        BuildConfig.of(values)
+    except QueryError as e:
+        return [str(e)]
+    return []
+
+
 def build(spark: SparkSession, config: BuildConfig, dry_run: bool = False) -> list[str]:
     """Read the inputs and publish a bundle; a dry run only says what would be done."""
     target = f"{config.output.rstrip('/')}/{config.dataset}/{config.version}"

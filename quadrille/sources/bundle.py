@@ -1,25 +1,30 @@
 """Bundles: immutable folders of Parquet tables with a manifest that is written last.
 
-Triples are written twice, range-partitioned and sorted by (p, s, o) and by (s, p, o), so a bound
-predicate or subject reads few row groups; object patterns use the first. Files and manifest go
-through Spark's file system, so a bundle may lie in any store Spark reads.
+Triples are written three times, range-partitioned and sorted by (p, s, o), (s, p, o) and (o, p, s), so
+a bound predicate, subject or object reads few row groups. Beside them lie what operations would else
+make anew for each request: the terms with their roles and section, the statistics of every view, and
+an inverted index of the words of literals. A publisher writes below a folder of its own, which the
+manifest names, so tables are never overwritten. Files and manifest go through Spark's file system,
+so a bundle may lie in any store Spark reads.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions.errors import QueryError
-from quadrille.operators import stats
+from quadrille.operators import search, stats
 from quadrille.operators.graph import Graph
 
-CAPABILITIES = {"triples": ["fragment", "count", "describe", "sample", "distinct", "bindings", "labels", "search", "verbalize"], "memberships": ["graphs", "quads"], "propositions": ["statement-terms"], "stats": ["schema", "void", "summary"], "terms": ["terms"]}
-TABLES = ("triples", "by_subject", "memberships", "propositions", "terms", "stats")
+CAPABILITIES = {"triples": ["fragment", "count", "describe", "sample", "distinct", "bindings", "labels", "search", "verbalize"], "memberships": ["graphs", "quads"], "propositions": ["statement-terms"], "stats": ["schema", "void", "summary"], "terms": ["terms"], "postings": ["text-index"]}
+TABLES = ("triples", "by_subject", "by_object", "memberships", "propositions", "terms", "stats", "postings", "corpus")
 
 
 @dataclass
@@ -30,6 +35,7 @@ class Manifest:
     roles: dict[str, list[str]] = field(default_factory=dict)
     components: list[dict] = field(default_factory=list)
     tables: dict[str, str] = field(default_factory=dict)  # name: digest of its rows
+    folder: str = ""  # that of the tables, below the bundle's
 
     @property
     def content_digest(self) -> str:
@@ -67,6 +73,17 @@ def rows_digest(df: DataFrame) -> str:
     return hashlib.sha256(f"{n} {x} {s}".encode()).hexdigest()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: spark.checkpoint.dir, or a local one where all runs here."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise QueryError("malformed_request", "set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quadrille-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -93,35 +110,58 @@ def publish(graph: Graph, path: str, manifest: Manifest, parts: int | None = Non
     tables = {
         "triples": graph.triples.repartitionByRange(n, "p", "s", "o").sortWithinPartitions("p", "s", "o"),
         "by_subject": graph.triples.repartitionByRange(n, "s", "p", "o").sortWithinPartitions("s", "p", "o"),
-        "terms": graph.terms().repartitionByRange(n, "term").sortWithinPartitions("term"),
-        "stats": stats.tidy(graph.triples),
+        "by_object": graph.triples.repartitionByRange(n, "o", "p", "s").sortWithinPartitions("o", "p", "s"),
     }
     if graph.quads_given:
         tables["memberships"] = graph.memberships.repartitionByRange(n, "g", "p", "s", "o").sortWithinPartitions("g", "p", "s", "o")
     if graph.propositions is not None:
         tables["propositions"] = graph.propositions
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")  # what a run that failed has left
-        manifest.tables[name] = rows_digest(spark.read.parquet(f"{path}/{name}"))
+    manifest.folder = f"tables-{uuid.uuid4().hex}"
+
+    def write(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{path}/{manifest.folder}/{name}")
+        back = spark.read.parquet(f"{path}/{manifest.folder}/{name}")
+        manifest.tables[name] = rows_digest(back)
+        return back
+
+    held = {name: write(name, df) for name, df in tables.items()}
+    # what is made from the triples is made from the published ones
+    own = Graph(held["triples"], held.get("memberships"), held.get("propositions"), graph.prefixes, graph.roles)
+    write("terms", own.terms().repartitionByRange(n, "term").sortWithinPartitions("term"))
+    write("stats", stats.all_views(own, manifest.components).repartitionByRange(n, "view", "kind", "class", "predicate"))
+    literals = search.literals(own.triples)
+    write("postings", search.postings(literals).repartitionByRange(n, "stem", "o").sortWithinPartitions("stem", "o"))
+    write("corpus", search.corpus(literals))
     manifest.prefixes, manifest.roles = graph.prefixes, graph.roles
     _write_text(spark, f"{path}/manifest.json", manifest.to_json())
     return manifest
 
 
-def open_bundle(spark: SparkSession, path: str, by: str = "p") -> Graph:
-    """The graph of a bundle; by="s" reads the copy that is sorted by subject."""
+def manifest(spark: SparkSession, path: str) -> Manifest:
     system, p = _fs(spark, f"{path}/manifest.json")
     if not system.exists(p):
         raise QueryError("not_found", f"{path} holds no whole bundle")
-    m = Manifest.from_json(_read_text(spark, f"{path}/manifest.json"))
-    read = lambda t: spark.read.parquet(f"{path}/{t}") if t in m.tables else None
-    return Graph(read("by_subject" if by == "s" else "triples"), read("memberships"), read("propositions"), m.prefixes, m.roles, m.content_digest)
+    return Manifest.from_json(_read_text(spark, f"{path}/manifest.json"))
+
+
+def open_bundle(spark: SparkSession, path: str) -> Graph:
+    """The graph of a bundle: patterns read the copy that suits them, other operations the tables made for them."""
+    m = manifest(spark, path)
+    tables = {t: spark.read.parquet(f"{path}/{m.folder}/{t}") for t in m.tables}
+    copies = {k: tables[t] for k, t in (("s", "by_subject"), ("o", "by_object")) if t in tables}
+    return Graph(tables["triples"], tables.get("memberships"), tables.get("propositions"), m.prefixes, m.roles, m.content_digest, copies=copies, published=tables)
+
+
+def described(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the published statistics that the published triples do not bear out, read back from their VoID: none, if all is well."""
+    g = open_bundle(spark, path)
+    return stats.verified(Graph(g.triples), stats.as_void(g.tables["stats"].filter("view = 'design'")))
 
 
 def check(spark: SparkSession, path: str) -> list[str]:
     """Names of tables whose rows are not what the manifest says."""
-    m = Manifest.from_json(_read_text(spark, f"{path}/manifest.json"))
-    return [t for t, d in sorted(m.tables.items()) if rows_digest(spark.read.parquet(f"{path}/{t}")) != d]
+    m = manifest(spark, path)
+    return [t for t, d in sorted(m.tables.items()) if rows_digest(spark.read.parquet(f"{path}/{m.folder}/{t}")) != d]
 
 
 def catalog(spark: SparkSession, root: str) -> DataFrame:

@@ -40,13 +40,19 @@ def _text(c: Column) -> Column:
     return F.replace(_unescaped(aside), F.lit("\x00"), F.lit("\\"))
 
 
-def parse_lines(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(memberships (s, p, o, g), propositions (tt_id, s, p, o)) of lines; a line that is none raises."""
+def parse_lines(lines: DataFrame, column: str = "value", scope: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(memberships (s, p, o, g), propositions (tt_id, s, p, o)) of lines; a line that is none raises.
+
+    scope names the document of a line: blank nodes of one label are one node only within a document.
+    """
+    mark = F.lit("") if scope is None else F.concat(F.lit("f"), F.substring(F.sha2(scope, 256), 1, 16), F.lit("."))
+    lines = lines.select(F.col(column), mark.alias("_scope"))
+    blank = lambda x: F.concat(F.lit("_:"), F.col("_scope"), F.substr(x, F.lit(3)))
     c = F.col(column)
     real = lines.filter(~F.trim(c).startswith("#") & (F.trim(c) != ""))
     hard = c.contains("<<(") | c.rlike(r"\\[uU]")
     g = lambda i: F.nullif(F.regexp_extract(c, LINE, i), F.lit(""))
-    subject, obj = F.coalesce(g(1), g(2)), F.coalesce(g(4), g(5))
+    subject, obj = F.coalesce(g(1), blank(g(2))), F.coalesce(g(4), blank(g(5)))
     tag, kind = g(7), g(8)
     value = F.concat(F.lit('"'), _text(F.regexp_extract(c, LINE, 6)), F.lit('"'), F.when(tag.isNotNull(), F.concat(F.lit("@"), F.lower(tag))).when(kind.isNotNull() & (kind != terms.XSD_STRING), F.concat(F.lit("^^<"), kind, F.lit(">"))).otherwise(""))
     ok = c.rlike(LINE)
@@ -54,9 +60,9 @@ def parse_lines(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Dat
         F.when(ok, subject).otherwise(F.raise_error(F.concat(F.lit("no N-Quads line: "), c))).alias("s"),
         g(3).alias("p"),
         F.coalesce(obj, value).alias("o"),
-        F.coalesce(g(9), g(10), F.lit(UNNAMED)).alias("g"),
+        F.coalesce(g(9), blank(g(10)), F.lit(UNNAMED)).alias("g"),
     )
-    kept = real.filter(hard).select(c.alias("line")).mapInArrow(_parse_hard, "kind string, s string, p string, o string, g string")
+    kept = real.filter(hard).select(c.alias("line"), "_scope").mapInArrow(_parse_hard, "kind string, s string, p string, o string, g string")
     memberships = easy.union(kept.filter("kind = 'm'").select("s", "p", "o", "g")).distinct()
     propositions = kept.filter("kind = 't'").select(F.col("g").alias("tt_id"), "s", "p", "o").distinct()
     return memberships, propositions
@@ -65,12 +71,12 @@ def parse_lines(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Dat
 def _parse_hard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for line in batch.column(0).to_pylist():
-            rows += parse_hard_line(line)
+        for line, scope in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows += parse_hard_line(line, scope)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (zip(*rows) if rows else [[]] * 5)], ["kind", "s", "p", "o", "g"])
 
 
-def parse_hard_line(line: str) -> list[tuple]:
+def parse_hard_line(line: str, scope: str = "") -> list[tuple]:
     """Rows ("m", s, p, o, g) and ("t", s, p, o, id) of one line with statement terms or \\u escapes."""
     r = terms._Reader(line, {}, False, False)
     found = []
@@ -84,6 +90,8 @@ def parse_hard_line(line: str) -> list[tuple]:
     out: list[tuple] = []
 
     def stored(t) -> str:
+        if t.kind == "blank":
+            return f"_:{scope}{t.value}"
         if t.kind != "triple":
             return t.stored()
         parts = [stored(x) for x in t.parts]
@@ -91,13 +99,17 @@ def parse_hard_line(line: str) -> list[tuple]:
         return out[-1][4]
 
     s, p, o = (stored(t) for t in found[:3])
-    out.append(("m", s, p, o, found[3].stored() if len(found) == 4 else UNNAMED))
+    out.append(("m", s, p, o, stored(found[3]) if len(found) == 4 else UNNAMED))
     return out
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(memberships, propositions) of N-Triples or N-Quads files. Reserved graph names are refused."""
-    memberships, propositions = parse_lines(spark.read.text(path))
+    """(memberships, propositions) of N-Triples or N-Quads files. Reserved graph names are refused.
+
+    A blank node's label is its file's: labels carry a mark of the file.
+    """
+    files = spark.read.text(path)
+    memberships, propositions = parse_lines(files.select("value", "_metadata.file_path"), scope=F.col("file_path"))
     refused = F.when(F.col("g") == UNION, F.raise_error(F.lit(f"{UNION} is reserved"))).otherwise(F.col("g"))
     return memberships.withColumn("g", refused), propositions
 

@@ -5,7 +5,8 @@ import pytest
 from quadrille.functions.errors import QueryError
 from quadrille.functions.values import normalized_rows, parse_values
 from quadrille.operators import verbalize
-from quadrille.plans.service import PARAMETERS, request
+from quadrille.operators.graph import token
+from quadrille.plans.service import PARAMETERS, answer, request
 from quadrille.sources import build, bundle
 
 from .test_graph import LINES, TYPED, X, loaded
@@ -80,6 +81,63 @@ def test_what_is_not_answered_is_refused(graph, operation, params, code):
     assert e.value.code == code
 
 
+def test_pages_go_through_the_whole_of_every_operation(graph):
+    pattern, table = {"s": "?x", "p": None, "o": None}, {"vars": ["x"], "rows": [["x:ann"], ["x:bob"], ["x:ann"]]}
+    asked = {
+        "fragment": [{"p": "x:likes"}, {}, {"o__text": "ann"}],
+        "bindings": [{"pattern": pattern, "bindings": table}, {"pattern": pattern, "bindings": table, "distinct": True}],
+        "tpf": [{"predicate": X + "likes"}, {"subject": "?s", "values": f"VALUES ?s {{ <{X}ann> <{X}bob> }}"}],
+        "distinct": [{"group_by": "o"}, {"group_by": "p"}],
+        "terms": [{"prefix": X}],
+        "graphs": [{}],
+        "schema": [{"class": X + "Person", "children": "properties"}, {"projection": "class-relations"}],
+    }
+    for name, each in asked.items():
+        for params in each:
+            whole = answer(graph, name, **params, limit=1000)
+            assert whole.complete and whole.cursor is None
+            want = [tuple(r)[1:] for r in whole.rows.orderBy("ord").collect()]
+            got, cursor = [], None
+            while True:
+                page = answer(graph, name, **params, limit=3, cursor=cursor)
+                got += [tuple(r)[1:] for r in page.rows.orderBy("ord").collect()]
+                cursor = page.cursor
+                assert page.complete == (cursor is None)
+                if page.complete:
+                    break
+            assert got == want and len(want) == whole.exact() and want, (name, params)
+            for bad in ("garbage", token("other", {}, [])):
+                with pytest.raises(QueryError) as e:
+                    request(graph, name, **params, cursor=bad)
+                assert e.value.code == "stale_cursor"
+    assert answer(graph, "fragment", s="x:ann", p="x:nothing").absent == [("p", "not held in this position")]
+
+
+def test_explicit_patterns_take_a_graph(spark):
+    g = loaded(spark, [f"<{X}a> <{X}p> <{X}b> <{X}g1> .", f"<{X}c> <{X}p> <{X}d> <{X}g2> ."])
+    assert [r.s for r in request(g, "tpf", predicate=X + "p", graph=X + "g1").collect()] == [X + "a"]
+    assert [r.s for r in request(g, "tpf", subject="?s", graph=X + "g2", values=f"VALUES ?s {{ <{X}a> <{X}c> }}", limit=5).collect()] == [X + "c"]
+    assert {r.g for r in request(g, "tpf", predicate=X + "p").collect()} == {X + "g1", X + "g2"}
+
+
+def test_labels_of_a_page_and_their_sources(graph):
+    row = request(graph, "fragment", p="x:self", labels=["x:label"], lang=["en"], label_source=True).first()
+    assert (row.label_s, row.source_s, row.label_o) == ("Ann", X + "label", "Ann")
+    assert "source_s" not in request(graph, "fragment", p="x:self", labels=True).columns
+    with pytest.raises(QueryError):
+        request(graph, "fragment", p="x:self", label_source=True)
+
+
+def test_commands(tmp_path, capsys):
+    from quadrille.__main__ import main, parser
+
+    (tmp_path / "bad.json").write_text('{"dataset": "d"}')
+    (tmp_path / "good.json").write_text(json.dumps({"dataset": "d", "version": "1", "inputs": ["a"], "output": "b"}))
+    assert main(["check-config", str(tmp_path / "bad.json")]) == 1 and "missing" in capsys.readouterr().out
+    assert main(["check-config", str(tmp_path / "good.json")]) == 0
+    assert parser().parse_args(["verbalize", "b", "c", "o"]).cls == "c"
+
+
 def test_blank_nodes_are_published_under_iris(graph):
     own = graph.addressed()
     row = own.fragment(o='"a blank subject"').rows.first()

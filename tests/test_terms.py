@@ -65,13 +65,12 @@ def test_readable_names(spark):
     assert spark.createDataFrame([(" a\t b　c ",)], "t string").select(texts.normalized(F.col("t"))).first()[0] == "a b c"
 
 
-def test_draws_are_distinct_stated_and_ascending():
-    assert next(texts.splitmix(0)) == 0xE220A8397B1DCDAF
-    for count, n in ((0, 5), (5, 5), (10, 7), (1000, 10), (10**12, 50), (200, 100), (199, 100)):
-        got = texts.draw_positions(count, n, 3)
-        assert got == sorted(set(got)) and len(got) == min(count, n) and all(0 <= x < count for x in got)
-        assert got == texts.draw_positions(count, n, 3)
-    assert texts.draw_positions(1000, 10, 1) != texts.draw_positions(1000, 10, 2)
+def test_terms_in_urls(spark):
+    from urllib.parse import quote
+
+    rows = ["http://x.test/a b?c=d&e#f", "é~*+-._", "\"q\"@en"]
+    got = spark.createDataFrame([(r,) for r in rows], "t string").select(texts.url_encoded(F.col("t"))).collect()
+    assert [r[0] for r in got] == [quote(r, safe="") for r in rows]
 
 
 def test_limits():
