@@ -172,9 +172,10 @@ def _sketcher(shingle: int, k: int, num: int, den: int):
 
 
 def _lists(nodes: DataFrame) -> DataFrame:
-    """(value, node, n, left, size): the rarest retained values of each sketch, with how many sketches retain them.
+    """(value, node, n, at, left, rest, size): the rarest retained values of each sketch, with how many sketches retain them.
 
-    left is how many values of the sketch stand from this one on, in the order from rare to frequent.
+    at is the value's place among them, left how many values of the sketch stand from this one on, in the
+    order from rare to frequent, and rest how many of the sketch are in no list.
     """
     entries = nodes.select(F.explode("sketch").alias("value"), "node")
     common = nodes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -185,7 +186,7 @@ def _lists(nodes: DataFrame) -> DataFrame:
     # values retained once come before all others; they are shared with none
     most = F.col("k") - F.col("need") + F.lit(LEAST) - (F.col("k") - F.size("found"))
     first = F.slice("found", F.lit(1), F.greatest(F.lit(0), most))
-    return ranked.join(sizes, "node").select("node", "n", F.size("found").alias("m"), F.posexplode(first).alias("at", "x")).select("x.value", "node", "n", (F.col("m") - F.col("at")).alias("left"), "x.size")
+    return ranked.join(sizes, "node").select("node", "n", F.greatest(F.lit(0), F.col("need") - LEAST).alias("rest"), F.size("found").alias("m"), F.posexplode(first).alias("at", "x")).select("x.value", "node", "n", "at", (F.col("m") - F.col("at")).alias("left"), "rest", "x.size")
 
 
 def _verifier(shingle: int, num: int, den: int):
@@ -306,20 +307,33 @@ def near_duplicates(
     lists = written(_lists(nodes), "lists")
     sketch = nodes.select(F.col("node").alias("id"), "need", "sketch")
 
-    def overlapping(pairs: DataFrame, *also) -> DataFrame:
-        """Pairs (a, na, b, nb) of members x and y of lists, to those that meet in enough lists.
+    asked = _asked("x.n", "y.n", num, den, k)
+    less = F.col("x.node") < F.col("y.node")
+    ends = [F.when(less, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(n) for p, q, end in (("x", "y", "a"), ("y", "x", "b")) for c, n in (("node", end), ("n", f"n{end}"))]
+    alike = den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")
+
+    def starred(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, na, b, nb) of a list's member x and its middle y, to those that meet in enough lists.
 
         At one of the first LEAST values that near duplicates share, enough of both sketches is left.
         """
-        asked = _asked("x.n", "y.n", num, den, k)
-        near = (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")) & (F.least("x.left", "y.left") + (LEAST - 1) >= asked)
-        for c in also:
-            near = near & c
-        less = F.col("x.node") < F.col("y.node")
-        ends = [F.when(less, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(n) for p, q, end in (("x", "y", "a"), ("y", "x", "b")) for c, n in (("node", end), ("n", f"n{end}"))]
+        near = alike & (F.least("x.left", "y.left") + (LEAST - 1) >= asked) & (F.col("x.node") != F.col("y.node"))
         met = pairs.filter(near).select(*ends).groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("lists"))
         return met.filter(F.col("lists") >= F.least(F.lit(LEAST), _asked("na", "nb", num, den, k))).drop("lists")
 
+    def crossed(pairs: DataFrame, *also) -> DataFrame:
+        """Pairs (a, na, b, nb) of members x and y of lists, each from the first list that they meet in alone.
+
+        Their overlap is the lists they meet in and, at most, what either has in no list.
+        """
+        first = ~F.arrays_overlap(F.slice("x.own", F.lit(1), F.col("x.at")), F.slice("y.own", F.lit(1), F.col("y.at")))
+        overlap = F.size(F.array_intersect("x.own", "y.own"))
+        near = alike & (F.least("x.left", "y.left") >= asked)
+        for c in also:
+            near = near & c
+        enough = (overlap >= F.least(F.lit(LEAST), asked)) & (overlap + F.greatest("x.rest", "y.rest") >= asked)
+        return pairs.filter(near & first & enough).select(*ends)
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Of candidate pairs the links: by the estimate from the sketches, then by the full sets."""
         pairs = overlaps = written(pairs, f"{name}-overlaps")
@@ -337,7 +351,7 @@ def near_duplicates(
     middle = written(lists.groupBy("node").agg(F.sum("size").alias("pop")), "middle")
     centre = lists.join(middle, "node").groupBy("value").agg(F.max(F.struct("pop", "node", "n", "left")).alias("y"))
     stars = lists.select("value", F.struct("node", "n", "left").alias("x")).join(centre, "value")
-    links = verified(overlapping(stars, F.col("x.node") != F.col("y.node")), "stars")
+    links = verified(starred(stars), "stars")
 
     # members with one label are joined already
     found = connected_components(links, "star-labels")
@@ -346,11 +360,14 @@ def near_duplicates(
     # lists across labels: members of other labels than the most frequent one, against all of other labels
     per = labelled.groupBy("value", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     heads = labelled.join(per.select("value", "most"), "value")
-    x = heads.filter("label != most").select("value", F.struct("node", "n", "left", "label").alias("x"))
-    y = heads.select("value", F.struct("node", "n", "left", "label", "most").alias("y"))
+    # a sketch's values in lists: SKETCH at most
+    own = labelled.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("own")).select("node", F.transform("own", lambda e: e["value"]).alias("own"))
+    heads = heads.join(own, "node")
+    x = heads.filter("label != most").select("value", F.struct("node", "n", "at", "left", "rest", "label", "own").alias("x"))
+    y = heads.select("value", F.struct("node", "n", "at", "left", "rest", "label", "own", "most").alias("y"))
     # a pair of two such members is there from both sides, and is taken from one
     once = (F.col("y.label") == F.col("y.most")) | (F.col("x.node") < F.col("y.node"))
-    links = links.union(verified(overlapping(x.join(y, "value"), F.col("x.label") != F.col("y.label"), once), "cross"))
+    links = links.union(verified(crossed(x.join(y, "value"), F.col("x.label") != F.col("y.label"), once), "cross"))
     drop_written(labelled, nodes)
     labels = connected_components(links if same_id is None else links.union(same_id))
 
