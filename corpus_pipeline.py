@@ -26,7 +26,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns. Documents with a null id are linked with nothing and stay.
     """
     found = near_dedup.near_duplicates(docs)
-    own = next(c for c in ("gone", *(f"gone{i}" for i in range(len(docs.columns)))) if c not in docs.columns)
+    taken = {c.lower() for c in docs.columns}
+    own = next(c for c in ("gone", *(f"gone{i}" for i in range(len(taken)))) if c not in taken)
     gone = written(found.filter("id IS NOT NULL AND NOT kept").select(F.col("id").alias(own)).distinct(), "gone")
     several = written(found.filter("kept").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias(own)), "several")
     few = gone.count() <= near_dedup.BROADCAST_IDS
