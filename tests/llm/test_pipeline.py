@@ -48,6 +48,40 @@ def test_odd_rows_pass_through(spark, small, tmp_path):
     assert corpus_pipeline.run(spark, d).count() >= 3
 
 
+def by_hand(docs, bench):
+    """Ids that the near-duplicate and decontamination stages keep, from all pairs of word sets and plain edit distances."""
+    from .test_near_dedup import brute
+    from .test_other_ops import levenshtein_in
+
+    kept = {int(i) for i, _, c in brute([(r.doc_id, r.text) for r in docs], 5, 80, 100) if i == c}
+    items = [decontaminate.words_of(t) for _, t in bench]
+    clean = set()
+    for r in docs:
+        words = decontaminate.words_of(r.text)
+        near = [x for x in items if x and sum(w in set(words) for w in x) >= 0.8 * len(x)]
+        if r.doc_id in kept and all(levenshtein_in(x, words) > len(x) * decontaminate.RATE for x in near):
+            clean.add(r.doc_id)
+    return kept, clean
+
+
+def test_stages_against_brute_force(spark, small):
+    stages = dict(corpus_pipeline.STAGES)
+    docs = documents(spark, small)
+    bench = [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    kept, clean = by_hand(docs.collect(), bench)
+    one = stages["near_dedup"](spark, docs, small).cache()
+    assert {r.doc_id for r in one.collect()} == kept
+    assert {r.doc_id for r in stages["decontaminate"](spark, one, small).collect()} == clean
+
+
+def test_one_row_of_each_id_stays_whatever_columns_are_called(spark, small):
+    rows = [(1, "a b c d e f g", "x", "q", 1), (1, "a b c d e f g", "y", "p", 1), (2, "A b c d e f g", "z", "p", 1), (3, None, "u", "p", 1), (3, "", "u", "p", 1), (None, "h", "v", "p", 1), (None, "h", "v", "p", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string, GONE0 string, several int")
+    got = corpus_pipeline.one_of_each(spark, docs, small)
+    assert got.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "3", "None", "None"]
+
+
 def test_import_errors_are_not_swallowed():
     import pathlib
 
