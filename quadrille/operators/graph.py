@@ -113,7 +113,8 @@ class Graph:
             return self.shared.select(F.col("shared").alias("term"))
         ((c, other),) = [(c, {"s": "o", "o": "s"}[c]) for c in found.columns]
         wanted = found.select(F.col(c).alias("term")).distinct()
-        return self.whole.select(F.col(other).alias("term")).join(wanted, "term", "left_semi").distinct()
+        rows = self.whole.select(F.col(other).alias("term")).filter(~terms.is_literal(F.col("term")))  # a literal has one role
+        return rows.join(wanted, "term", "left_semi").distinct()
 
     def terms(self) -> DataFrame:
         """(term, in_s, in_p, in_o, section)."""
