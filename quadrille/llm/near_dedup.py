@@ -20,6 +20,13 @@ Method
     members that these links have not joined are compared with the members of other labels, so no pair
     of a list is lost, and a group of n near copies costs some n comparisons. Components follow.
 
+    Copies that are just under the threshold to the middle stay unjoined and fill long lists. There a
+    member x is compared with the centre c of its group on the full sets, which splits x into the s values
+    that c has and the rest. Near duplicates x and z of one group share a values or more by their sizes, and
+    no more than the smaller s of them lie in c. So either both s reach a, which few sizes allow, or x and
+    z meet in an inverted list of values that c does not have. Both kinds of pairs are generated
+    without chance, and no others of the group; pairs across groups come from the long list as before.
+
 Defined results
     * null, empty and blank texts: n_shingles 0, linked with nothing, their own component.
     * null ids: the row is kept with its n_shingles, component_id null, kept false; no links.
@@ -54,6 +61,10 @@ EDGES_A_TASK = 100_000
 SKETCH, MISS = 256, 1e-8
 #: Lists that a pair must meet in.
 LEAST = 2
+#: Members outside a list's most frequent label from which on its pairs come by way of groups' centres.
+OUTSIDERS = 8
+#: Parts that the members of one centre are dealt into where its text is joined.
+DEALS = 16
 #: Steps of the table of shares.
 STEPS = 500
 
@@ -213,6 +224,89 @@ def _verifier(shingle: int, num: int, den: int):
     return verify
 
 
+def _splitter(shingle: int):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, kept = WordHashes(), {}
+        for batch in batches:
+            ns, ncs, shared, rests = [], [], [], []
+            for own, centre in zip(batch.column(2), batch.column(3)):
+                text = centre.as_py()
+                digest = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
+                if digest not in kept:
+                    if len(kept) >= 64:
+                        kept.pop(next(iter(kept)))
+                    kept[digest] = shingle_set(text, shingle, hashes)
+                x, c = shingle_set(own.as_py(), shingle, hashes), kept[digest]
+                rest = np.setdiff1d(x, c, assume_unique=True)
+                ns.append(len(x))
+                ncs.append(len(c))
+                shared.append(len(x) - len(rest))
+                rests.append(rest)
+            at = np.cumsum([0, *map(len, rests)])
+            flat = np.concatenate(rests) if rests else np.empty(0, np.int64)
+            made = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (ns, ncs, shared)), made], ["node", "c", "n", "nc", "s", "rest"])
+
+    return split
+
+
+def _groups(long: DataFrame, middle: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """(node, label, c, n, nc, s, rest) of the members (value, node, label) of long lists.
+
+    c is the centre of most of a member's long lists, nc and n the sizes of both sets, s how many
+    values they share, rest the member's others. A node whose id has several texts has no row.
+    """
+    popular = long.join(middle, "node")
+    votes = popular.select("value", "node").join(popular.groupBy("value").agg(F.max(F.struct("pop", "node")).alias("y")), "value")
+    chosen = votes.groupBy("node", "y").agg(F.count(F.lit(1)).alias("votes")).groupBy("node").agg(F.max(F.struct("votes", "y")).alias("best"))
+    chosen = written(chosen.select("node", F.col("best.y.node").alias("c")), "centres")
+    texts = _holding(rows, chosen.select(F.col("node").alias("id")).union(chosen.select(F.col("c").alias("id"))))
+    # the members of one centre may be very many
+    dealt = texts.join(chosen.select(F.col("c").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("c"), F.col("text").alias("tc"), F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal"))
+    own = chosen.join(texts.select(F.col("id").alias("node"), "text"), "node").withColumn("deal", F.expr(f"int(pmod(hash(node), {DEALS}))"))
+    split = own.join(dealt, ["c", "deal"]).select("node", "c", "text", "tc").mapInArrow(_splitter(shingle), "node long, c long, n long, nc long, s long, rest array<long>")
+    found = F.struct("c", "n", "nc", "s", "rest")
+    sole = split.groupBy("node").agg(F.min(found).alias("x"), F.max(found).alias("z")).filter("x = z").select("node", "x.*")
+    out = written(sole.join(long.select("node", "label").distinct(), "node"), "groups")
+    drop_written(chosen)
+    return out
+
+
+def _grouped_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, na, b, nb): all pairs of one group and of two labels that can be near duplicates, where not both are near their centre.
+
+    Those near their centre are joined by it. Others have one end x that is not.
+    """
+    bounds = groups.groupBy("c").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    members = groups.join(bounds, "c").withColumn("joined", F.expr(f"{den} * s >= {num} * (n + nc - s)"))
+    # a set of up to reach values can share with x what lies in c alone; sizes of near duplicates of x
+    members = members.withColumn("reach", F.expr(f"s * {num + den} div {num} - n")).withColumn("least", F.expr(f"greatest(low, ({num} * n + {den - 1}) div {den})")).withColumn("most", F.expr(f"least(high, {den} * n div {num})"))
+    sides = ["node", "n", "s", "label", "joined", "reach"]
+    differ = (F.col("x.label") != F.col("y.label")) & (F.col("y.joined") | (F.col("x.node") < F.col("y.node")))
+    less = F.col("x.node") < F.col("y.node")
+    ends = [F.when(less, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(n) for p, q, end in (("x", "y", "a"), ("y", "x", "b")) for c, n in (("node", end), ("n", f"n{end}"))]
+
+    tight = members.withColumn("to", F.least("reach", "most")).filter("NOT joined AND least <= to")
+    x = tight.select("c", F.explode(F.sequence("least", "to")).alias("size"), F.struct(*sides).alias("x"))
+    y = members.select("c", F.col("n").alias("size"), F.struct(*sides).alias("y"))
+    inside = x.join(y, ["c", "size"]).filter(differ & (F.col("x.n") <= F.col("y.reach"))).select(*ends)
+
+    entries = members.select("c", "node", F.explode("rest").alias("value"))
+    common = entries.groupBy("c", "value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # a member's values outside its centre: no more than its text has
+    ranked = entries.join(common, ["c", "value"]).groupBy("c", "node").agg(F.array_sort(F.collect_list(F.struct("size", "value"))).alias("found"))
+    # of a near duplicate's shared values so many at least lie outside c
+    asked = F.expr(f"int(greatest(1, ({num} * (n + least) + {num + den - 1}) div {num + den} - s))")
+    lists = ranked.join(members.select("node", *(c for c in members.columns if c not in ("node", "c", "rest"))), "node")
+    lists = lists.withColumn("own", F.transform("found", lambda e: e["value"])).withColumn("first", F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") - asked + 1)))
+    lists = lists.select("c", F.explode("first").alias("value"), F.struct(*sides, "own").alias("e"))
+    x, y = lists.filter("NOT e.joined").withColumnRenamed("e", "x"), lists.withColumnRenamed("e", "y")
+    alike = den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")
+    enough = F.expr(f"{num + den} * (least(x.s, y.s) + size(array_intersect(x.own, y.own))) >= {num} * (x.n + y.n)")
+    outside = x.join(y, ["c", "value"]).filter(differ & alike & enough).select(*ends)
+    return inside.union(outside)
+
+
 def _holding(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows with these ids. The ids are counted: up to BROADCAST_IDS (8 MB of longs) are sent to all, more are shuffled."""
     ids = ids.distinct()
@@ -356,19 +450,42 @@ def near_duplicates(
     # members with one label are joined already
     found = connected_components(links, "star-labels")
     labelled = written(lists.drop("size").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    drop_written(lists, middle)
+    drop_written(lists)
     # lists across labels: members of other labels than the most frequent one, against all of other labels
-    per = labelled.groupBy("value", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    labels = labelled.groupBy("value", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("value")
+    per = labels.agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), (F.sum("m") - F.max("m")).alias("outside")).filter("labels > 1")
+    per = written(per.select("value", "most", "outside"), "per")
     heads = labelled.join(per.select("value", "most"), "value")
     # a sketch's values in lists: SKETCH at most
     own = labelled.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("own")).select("node", F.transform("own", lambda e: e["value"]).alias("own"))
-    heads = heads.join(own, "node")
-    x = heads.filter("label != most").select("value", F.struct("node", "n", "at", "left", "rest", "label", "own").alias("x"))
-    y = heads.select("value", F.struct("node", "n", "at", "left", "rest", "label", "own", "most").alias("y"))
-    # a pair of two such members is there from both sides, and is taken from one
-    once = (F.col("y.label") == F.col("y.most")) | (F.col("x.node") < F.col("y.node"))
-    links = links.union(verified(crossed(x.join(y, "value"), F.col("x.label") != F.col("y.label"), once), "cross"))
-    drop_written(labelled, nodes)
+    member = ["node", "n", "at", "left", "rest", "label", "own"]
+
+    def across(heads: DataFrame, *also) -> DataFrame:
+        x = heads.filter("outer").select("value", F.struct(*member, "key").alias("x"))
+        y = heads.select("value", F.struct(*member, "key", "outer").alias("y"))
+        # a pair of two such members is there from both sides, and is taken from one
+        once = ~F.col("y.outer") | (F.col("x.node") < F.col("y.node"))
+        return crossed(x.join(y, "value"), F.col("x.label") != F.col("y.label"), once, *also)
+
+    by_label = F.col("label") != F.col("most")
+    long = per.filter(F.col("outside") >= OUTSIDERS).select("value")
+    done = [middle, per]
+    if long.isEmpty():
+        pairs = across(heads.join(own, "node").withColumn("outer", by_label).withColumn("key", F.lit(None).cast("long")))
+    else:
+        held = written(heads.join(long, "value", "left_semi"), "long")
+        groups = _groups(held, middle, rows, shingle)
+        near = groups.filter(F.expr(f"node != c AND {den} * s >= {num} * (n + nc - s)"))
+        links = links.union(written(near.select(F.col("node").alias("a"), F.col("c").alias("b")), "near"))
+        # pairs of one group are all in _grouped_pairs; members without a group are in none
+        keyed = written(held.join(groups.select("node", F.col("c").alias("key")), "node", "left"), "keyed")
+        done += [held, groups, keyed]
+        main = keyed.filter("key IS NOT NULL").groupBy("value", "key").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max_by("key", F.struct("m", "key")).alias("main"))
+        split = keyed.join(main, "value", "left").join(own, "node").withColumn("outer", ~F.coalesce(F.col("key") == F.col("main"), F.lit(False)))
+        short = heads.join(long, "value", "left_anti").join(own, "node").withColumn("outer", by_label).withColumn("key", F.lit(None).cast("long"))
+        pairs = across(short).union(across(split, ~F.coalesce(F.col("x.key") == F.col("y.key"), F.lit(False)))).union(_grouped_pairs(groups, num, den)).distinct()
+    links = links.union(verified(pairs, "cross"))
+    drop_written(labelled, nodes, *done)
     labels = connected_components(links if same_id is None else links.union(same_id))
 
     out = members.join(labels, "node", "left").select(

@@ -71,6 +71,38 @@ def test_groups_of_edited_copies_short_texts_and_shared_passages(spark):
         assert found(nd.near_duplicates(docs, shingle=shingle, threshold=(num, 100))) == brute(rows, shingle, num, 100)
 
 
+def test_copies_just_under_the_threshold_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """A group whose members are mostly under the threshold to its middle: all links, and few pairs that go to the sketches."""
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(9999)}" for _ in range(400)]
+
+    def edited(words, least, most):
+        words = list(words)
+        for _ in range(draw.randint(least, most)):
+            at = draw.randrange(len(words))
+            words[at : at + 1] = draw.choice([[f"e{draw.randrange(10**6)}"], [f"e{draw.randrange(10**6)}"], [], [words[at], base[0]]])
+        return words
+
+    texts = [base] + [edited(base, 6, 20) for _ in range(260)]
+    for start in [edited(base, 14, 20) for _ in range(8)]:  # copies of copies
+        texts += [edited(start, 1, 9) for _ in range(5)]
+    ids = draw.sample(range(1000), len(texts))
+    rows = [(i, " ".join(w)) for i, w in zip(ids, texts)]
+    rows += [(1000, rows[3][1]), (1000, rows[9][1]), (1001, rows[12][1]), (1001, "a text of its own")]
+    kept, counts = nd.written, {}
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name.endswith("-overlaps"):
+            counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(nd, "written", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(nd.near_duplicates(docs, shingle=3, threshold=(85, 100))) == brute(rows, 3, 85, 100)
+    assert counts["cross-overlaps"] < 15 * len(rows)
+
+
 def test_an_id_with_two_texts_joins_their_groups(spark):
     a, b = "a b c d e f g h", "k l m n o p q r"
     docs = spark.createDataFrame([(5, a), (5, b), (3, a), (9, b), (7, "x y z")], "doc_id long, text string")
