@@ -260,7 +260,8 @@ def _groups(long: DataFrame, middle: DataFrame, rows: DataFrame, shingle: int) -
     votes = popular.select("value", "node").join(popular.groupBy("value").agg(F.max(F.struct("pop", "node")).alias("y")), "value")
     chosen = votes.groupBy("node", "y").agg(F.count(F.lit(1)).alias("votes")).groupBy("node").agg(F.max(F.struct("votes", "y")).alias("best"))
     chosen = written(chosen.select("node", F.col("best.y.node").alias("c")), "centres")
-    texts = _holding(rows, chosen.select(F.col("node").alias("id")).union(chosen.select(F.col("c").alias("id"))))
+    ids = _ends(chosen, "centre-ids", "node", "c")
+    texts = _holding(rows, ids)
     # the members of one centre may be very many
     dealt = texts.join(chosen.select(F.col("c").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("c"), F.col("text").alias("tc"), F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal"))
     own = chosen.join(texts.select(F.col("id").alias("node"), "text"), "node").withColumn("deal", F.expr(f"int(pmod(hash(node), {DEALS}))"))
@@ -268,19 +269,21 @@ def _groups(long: DataFrame, middle: DataFrame, rows: DataFrame, shingle: int) -
     found = F.struct("c", "n", "nc", "s", "rest")
     sole = split.groupBy("node").agg(F.min(found).alias("x"), F.max(found).alias("z")).filter("x = z").select("node", "x.*")
     out = written(sole.join(long.select("node", "label").distinct(), "node"), "groups")
-    drop_written(chosen)
+    drop_written(chosen, ids)
     return out
 
 
 def _grouped_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
     """(a, na, b, nb): all pairs of one group and of two labels that can be near duplicates, where not both are near their centre.
 
-    Those near their centre are joined by it. Others have one end x that is not.
+    Those near their centre are joined by it. Others have one end x that is not. Each step is written: as
+    one plan the driver held the stages of all of them at a time.
     """
     bounds = groups.groupBy("c").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    members = groups.join(bounds, "c").withColumn("joined", F.expr(f"{den} * s >= {num} * (n + nc - s)"))
+    members = groups.drop("rest").join(bounds, "c").withColumn("joined", F.expr(f"{den} * s >= {num} * (n + nc - s)"))
     # a set of up to reach values can share with x what lies in c alone; sizes of near duplicates of x
     members = members.withColumn("reach", F.expr(f"s * {num + den} div {num} - n")).withColumn("least", F.expr(f"greatest(low, ({num} * n + {den - 1}) div {den})")).withColumn("most", F.expr(f"least(high, {den} * n div {num})"))
+    members = written(members, "group-members")
     sides = ["node", "n", "s", "label", "joined", "reach"]
     differ = (F.col("x.label") != F.col("y.label")) & (F.col("y.joined") | (F.col("x.node") < F.col("y.node")))
     less = F.col("x.node") < F.col("y.node")
@@ -289,27 +292,36 @@ def _grouped_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
     tight = members.withColumn("to", F.least("reach", "most")).filter("NOT joined AND least <= to")
     x = tight.select("c", F.explode(F.sequence("least", "to")).alias("size"), F.struct(*sides).alias("x"))
     y = members.select("c", F.col("n").alias("size"), F.struct(*sides).alias("y"))
-    inside = x.join(y, ["c", "size"]).filter(differ & (F.col("x.n") <= F.col("y.reach"))).select(*ends)
+    inside = written(x.join(y, ["c", "size"]).filter(differ & (F.col("x.n") <= F.col("y.reach"))).select(*ends), "inside")
 
-    entries = members.select("c", "node", F.explode("rest").alias("value"))
+    entries = groups.select("c", "node", F.explode("rest").alias("value"))
     common = entries.groupBy("c", "value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # a member's values outside its centre: no more than its text has
     ranked = entries.join(common, ["c", "value"]).groupBy("c", "node").agg(F.array_sort(F.collect_list(F.struct("size", "value"))).alias("found"))
     # of a near duplicate's shared values so many at least lie outside c
     asked = F.expr(f"int(greatest(1, ({num} * (n + least) + {num + den - 1}) div {num + den} - s))")
-    lists = ranked.join(members.select("node", *(c for c in members.columns if c not in ("node", "c", "rest"))), "node")
+    lists = ranked.join(members.drop("c"), "node")
     lists = lists.withColumn("own", F.transform("found", lambda e: e["value"])).withColumn("first", F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") - asked + 1)))
-    lists = lists.select("c", F.explode("first").alias("value"), F.struct(*sides, "own").alias("e"))
+    held = written(lists.select("c", *sides, "own", "first"), "group-lists")
+    lists = held.select("c", F.explode("first").alias("value"), F.struct(*sides, "own").alias("e"))
     x, y = lists.filter("NOT e.joined").withColumnRenamed("e", "x"), lists.withColumnRenamed("e", "y")
     alike = den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")
     enough = F.expr(f"{num + den} * (least(x.s, y.s) + size(array_intersect(x.own, y.own))) >= {num} * (x.n + y.n)")
-    outside = x.join(y, ["c", "value"]).filter(differ & alike & enough).select(*ends)
+    outside = written(x.join(y, ["c", "value"]).filter(differ & alike & enough).select(*ends), "outside")
+    drop_written(members, held)
     return inside.union(outside)
 
 
+def _ends(pairs: DataFrame, name: str, *columns: str) -> DataFrame:
+    """(id) of what stands in these columns, each once, written: its count then reads no rows, and no plan makes it again."""
+    one, *more = (pairs.select(F.col(c).alias("id")) for c in columns)
+    for other in more:
+        one = one.union(other)
+    return written(one.distinct(), name)
+
+
 def _holding(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows with these ids. The ids are counted: up to BROADCAST_IDS (8 MB of longs) are sent to all, more are shuffled."""
-    ids = ids.distinct()
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
@@ -324,12 +336,36 @@ def _likely(k: int, num: int, den: int):
     return F.when(whole, shared * den >= F.size(union) * num).otherwise(shared >= F.greatest("ca", "cb"))
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) for edges (a, b): the smallest vertex of each component, by union and find."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        above = parent.setdefault(x, x)
+        while above != x:
+            parent[x] = parent[above]
+            x = parent[x]
+            above = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "label"])
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """(node, label): the smallest vertex of each vertex's component, for edges (a, b).
+    """(node, label): the smallest vertex of each vertex's component, for edges (a, b), which are read twice.
 
-    Alternates large and small stars; every step is a grouped minimum and a join, and each
-    round's edges are written, so a lost executor costs one round.
+    Up to EDGES_A_TASK edges are joined by one task. More are dealt out, and large and small stars alternate;
+    every step is a grouped minimum and a join, and each round's edges are written, so a lost executor
+    costs one round.
     """
+    edges = edges.filter("a != b").select("a", "b")
+    if edges.count() <= EDGES_A_TASK:
+        return written(edges.coalesce(1).mapInArrow(_forest, "node long, label long"), name)
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -349,7 +385,7 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
     spark = edges.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = written(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
     # links are few beside rows, and no round has more edges than the one before
     spread = min(parts, max(4, edges.count() // EDGES_A_TASK))
     e = written(edges.coalesce(spread), name)
@@ -431,15 +467,18 @@ def near_duplicates(
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Of candidate pairs the links: by the estimate from the sketches, then by the full sets."""
         pairs = overlaps = written(pairs, f"{name}-overlaps")
+        ids = _ends(pairs, f"{name}-sketch-ids", "a", "b")
+        own = _holding(sketch, ids)
         for x in "ab":
-            own = _holding(sketch, pairs.select(F.col(x).alias("id")))
             pairs = pairs.join(own.select(F.col("id").alias(x), F.col("need").alias(f"c{x}"), F.col("sketch").alias(f"s{x}")), x)
         likely = written(pairs.filter(_likely(k, num, den)).select("a", "b"), f"{name}-pairs")
-        drop_written(overlaps)
-        pairs = likely
-        texts = _holding(rows, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
-        both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        return written(both.select("a", "b", "ta", "tb").mapInArrow(_verifier(shingle, num, den), "a long, b long"), name)
+        drop_written(overlaps, ids)
+        ids = _ends(likely, f"{name}-text-ids", "a", "b")
+        texts = _holding(rows, ids)
+        both = likely.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+        out = written(both.select("a", "b", "ta", "tb").mapInArrow(_verifier(shingle, num, den), "a long, b long"), name)
+        drop_written(likely, ids)
+        return out
 
     # a document whose values stand in the longest lists is nearest to the middle of its group
     middle = written(lists.groupBy("node").agg(F.sum("size").alias("pop")), "middle")
@@ -450,40 +489,42 @@ def near_duplicates(
     # members with one label are joined already
     found = connected_components(links, "star-labels")
     labelled = written(lists.drop("size").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    drop_written(lists)
+    drop_written(lists, found)
     # lists across labels: members of other labels than the most frequent one, against all of other labels
     labels = labelled.groupBy("value", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("value")
     per = labels.agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), (F.sum("m") - F.max("m")).alias("outside")).filter("labels > 1")
     per = written(per.select("value", "most", "outside"), "per")
-    heads = labelled.join(per.select("value", "most"), "value")
+    heads = labelled.join(per, "value")
     # a sketch's values in lists: SKETCH at most
     own = labelled.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("own")).select("node", F.transform("own", lambda e: e["value"]).alias("own"))
     member = ["node", "n", "at", "left", "rest", "label", "own"]
 
-    def across(heads: DataFrame, *also) -> DataFrame:
+    def across(heads: DataFrame) -> DataFrame:
         x = heads.filter("outer").select("value", F.struct(*member, "key").alias("x"))
         y = heads.select("value", F.struct(*member, "key", "outer").alias("y"))
         # a pair of two such members is there from both sides, and is taken from one
         once = ~F.col("y.outer") | (F.col("x.node") < F.col("y.node"))
-        return crossed(x.join(y, "value"), F.col("x.label") != F.col("y.label"), once, *also)
+        # pairs of one group are all in _grouped_pairs; members without a group are in none
+        apart = ~F.coalesce(F.col("x.key") == F.col("y.key"), F.lit(False))
+        return crossed(x.join(y, "value"), F.col("x.label") != F.col("y.label"), once, apart)
 
-    by_label = F.col("label") != F.col("most")
-    long = per.filter(F.col("outside") >= OUTSIDERS).select("value")
+    short = heads.filter(F.col("outside") < OUTSIDERS).select(*labelled.columns, F.lit(None).cast("long").alias("key"), (F.col("label") != F.col("most")).alias("outer"))
     done = [middle, per]
-    if long.isEmpty():
-        pairs = across(heads.join(own, "node").withColumn("outer", by_label).withColumn("key", F.lit(None).cast("long")))
+    if per.filter(F.col("outside") >= OUTSIDERS).isEmpty():
+        pairs = across(short.join(own, "node"))
     else:
-        held = written(heads.join(long, "value", "left_semi"), "long")
+        held = written(heads.filter(F.col("outside") >= OUTSIDERS).select(*labelled.columns), "long")
         groups = _groups(held, middle, rows, shingle)
         near = groups.filter(F.expr(f"node != c AND {den} * s >= {num} * (n + nc - s)"))
         links = links.union(written(near.select(F.col("node").alias("a"), F.col("c").alias("b")), "near"))
-        # pairs of one group are all in _grouped_pairs; members without a group are in none
-        keyed = written(held.join(groups.select("node", F.col("c").alias("key")), "node", "left"), "keyed")
-        done += [held, groups, keyed]
+        keyed = written(held.join(groups.select("node", F.col("c").alias("key")), "node", "left").select(*labelled.columns, "key"), "keyed")
         main = keyed.filter("key IS NOT NULL").groupBy("value", "key").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max_by("key", F.struct("m", "key")).alias("main"))
-        split = keyed.join(main, "value", "left").join(own, "node").withColumn("outer", ~F.coalesce(F.col("key") == F.col("main"), F.lit(False)))
-        short = heads.join(long, "value", "left_anti").join(own, "node").withColumn("outer", by_label).withColumn("key", F.lit(None).cast("long"))
-        pairs = across(short).union(across(split, ~F.coalesce(F.col("x.key") == F.col("y.key"), F.lit(False)))).union(_grouped_pairs(groups, num, den)).distinct()
+        split = keyed.join(main, "value", "left").select(*labelled.columns, "key", (~F.coalesce(F.col("key") == F.col("main"), F.lit(False))).alias("outer"))
+        # written apart: as one plan with the pairs of groups it had four times the stages of any other
+        apart = written(across(short.union(split).join(own, "node")), "across")
+        grouped = _grouped_pairs(groups, num, den)
+        done += [held, groups, keyed, apart, grouped]
+        pairs = apart.union(grouped).distinct()
     links = links.union(verified(pairs, "cross"))
     drop_written(labelled, nodes, *done)
     labels = connected_components(links if same_id is None else links.union(same_id))

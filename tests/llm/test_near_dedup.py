@@ -103,6 +103,28 @@ def test_copies_just_under_the_threshold_are_not_compared_pair_by_pair(spark, mo
     assert counts["cross-overlaps"] < 15 * len(rows)
 
 
+def test_no_plan_of_a_large_group_has_very_many_exchanges(spark, monkeypatch):
+    """The driver holds the stages of a plan at a time: pairs of a large group come in steps, few links from one task."""
+    draw = random.Random(17)
+    base = [f"w{draw.randrange(9999)}" for _ in range(200)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(draw.randint(2, 10)):
+            copy[draw.randrange(len(copy))] = f"e{draw.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    kept, plans = nd.written, {}
+
+    def planned(df, name):
+        plans[name] = len(re.findall(r"\bExchange ", df._jdf.queryExecution().executedPlan().toString()))
+        return kept(df, name)
+
+    monkeypatch.setattr(nd, "written", planned)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(nd.near_duplicates(docs, shingle=3, threshold=(85, 100))) == brute(rows, 3, 85, 100)
+    assert "groups" in plans and max(plans.values()) <= 12 and sum(plans.values()) <= 60, plans
+
+
 def test_an_id_with_two_texts_joins_their_groups(spark):
     a, b = "a b c d e f g h", "k l m n o p q r"
     docs = spark.createDataFrame([(5, a), (5, b), (3, a), (9, b), (7, "x y z")], "doc_id long, text string")
@@ -110,6 +132,27 @@ def test_an_id_with_two_texts_joins_their_groups(spark):
     assert got == {(5, 3), (3, 3), (9, 3), (7, 7)}
 
 
+def test_components_by_one_task_and_by_rounds_are_the_same(spark, monkeypatch):
+    draw = random.Random(3)
+    edges = [(draw.randrange(400), draw.randrange(400)) for _ in range(230)] + [(i, i + 1) for i in range(500, 700)] + [(7, 7), (-5, 3), (2**62, 9)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    for most in (nd.EDGES_A_TASK, 40):
+        monkeypatch.setattr(nd, "EDGES_A_TASK", most)
+        got = nd.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert sorted((r.node, r.label) for r in got) == sorted((x, root(x)) for x in linked)
+        assert nd.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 50)]
     random.Random(1).shuffle(edges)
