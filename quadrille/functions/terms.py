@@ -212,14 +212,26 @@ def is_iri(c: Column) -> Column:
     return ~is_literal(c) & ~is_blank(c)
 
 
+#: Characters up to which a term stands for itself where terms are only told apart.
+BRIEF = 96
+
+
+def brief(c: Column) -> Column:
+    """The term, or of a long one its digest: a quote that does not end, so no other term is equal to it."""
+    return F.when(F.length(c) <= BRIEF, c).otherwise(F.concat(F.lit('"'), F.sha2(c, 256)))
+
+
 def _suffix(c: Column) -> Column:
-    """What follows the closing quote. The lexical form may hold quotes, so it is read from the end."""
-    return F.regexp_extract(c, r'(?s)^".*"((?:@[A-Za-z0-9-]+|\^\^<[^<>"]*>)?)$', 1)
+    """What follows the closing quote, which is the last one: neither tags nor datatypes hold quotes."""
+    return F.regexp_extract(F.substring_index(c, '"', -1), r"^((?:@[A-Za-z0-9-]+|\^\^<[^<>\"]*>)?)$", 1)
 
 
 def lexical(c: Column) -> Column:
     """The lexical form of a literal, else null."""
-    return F.when(is_literal(c), F.regexp_extract(c, r'(?s)^"(.*)"(?:@[A-Za-z0-9-]+|\^\^<[^<>"]*>)?$', 1))
+    tail = F.substring_index(c, '"', -1)
+    end = F.length(c) - F.length(tail)  # that of the closing quote
+    whole = (end >= 2) & ((tail == "") | tail.rlike(r"^(?:@[A-Za-z0-9-]+|\^\^<[^<>\"]*>)$"))
+    return F.when(is_literal(c), F.when(whole, F.substr(c, F.lit(2), end - 2)).otherwise(""))
 
 
 def language(c: Column) -> Column:

@@ -68,9 +68,11 @@ def resume(kind: str, request: dict, cursor: str) -> list:
 class Graph:
     """Triples, and what may be known of them besides.
 
-    whole is another form of the triples, better for operations over all of them; copies are sorted
-    by subject ("s") or object ("o"); published holds tables made from the triples: terms, stats,
-    postings (see quadrille.sources.bundle).
+    whole is another form of the triples, better for operations over all of them; so are, where they are known,
+    bag (rows may repeat), typed (s, p, o, class, first: with the one class that a subject has; first is true in one
+    row of each (s, p)), marks (p and g alone, a row for each triple or, if there are graphs, membership), subjects
+    (s, class) and predicates (p), each once. copies are sorted by subject ("s") or object ("o"); published holds
+    tables made from the triples: terms, stats, postings (see quadrille.sources.bundle).
     """
 
     def __init__(
@@ -84,9 +86,16 @@ class Graph:
         whole: DataFrame | None = None,
         copies: dict[str, DataFrame] | None = None,
         published: dict[str, DataFrame] | None = None,
+        bag: DataFrame | None = None,
+        typed: DataFrame | None = None,
+        marks: DataFrame | None = None,
+        subjects: DataFrame | None = None,
+        predicates: DataFrame | None = None,
     ):
         self.triples = triples.select("s", "p", "o")
         self.whole = self.triples if whole is None else whole.select("s", "p", "o")
+        self.bag = self.whole if bag is None else bag.select("s", "p", "o")
+        self.typed, self.marks, self._subjects, self._predicates = typed, marks, subjects, predicates
         self.copies = copies or {}
         self.tables = published or {}
         self.memberships = memberships.select("s", "p", "o", "g") if memberships is not None else self.triples.withColumn("g", F.lit(UNNAMED))
@@ -99,13 +108,30 @@ class Graph:
 
     # -- terms ---------------------------------------------------------------------------------
 
+    @property
+    def subjects(self) -> DataFrame:
+        """(s): each subject once."""
+        return self.whole.select("s").distinct() if self._subjects is None else self._subjects.select("s")
+
+    @property
+    def predicates(self) -> DataFrame:
+        """(p): each predicate once."""
+        return self.bag.select("p").distinct() if self._predicates is None else self._predicates
+
+    def _roles(self, roles: str = "spo", kept=None) -> DataFrame:
+        """(term, in_s, in_p, in_o): each term that is kept once, with those of the roles it has."""
+        of = {"s": lambda: self.subjects, "p": lambda: self.predicates, "o": lambda: self.bag.select("o")}
+        one = [of[c]().select(F.col(c).alias("term"), *(F.lit(c == x).alias(f"in_{x}") for x in "spo")) for c in roles]
+        # the filter is below the aggregate, so it reaches the scan
+        one = one if kept is None else [x.filter(kept(F.col("term"))) for x in one]
+        return reduce(DataFrame.union, one).groupBy("term").agg(*(F.max(f"in_{x}").alias(f"in_{x}") for x in "spo"))
+
     @cached_property
     def shared(self) -> DataFrame:
         """Terms that are both subject and object: they come first in either role's order."""
         if "terms" in self.tables:
             return self.tables["terms"].filter("section = 'shared'").select(F.col("term").alias("shared"))
-        objects = self.whole.filter(~terms.is_literal(F.col("o"))).select(F.col("o").alias("shared")).distinct()
-        return self.whole.select(F.col("s").alias("shared")).distinct().join(objects, "shared", "left_semi")
+        return self._roles("so", lambda t: ~terms.is_literal(t)).filter("in_s AND in_o").select(F.col("term").alias("shared"))
 
     def _shared_among(self, found: DataFrame) -> DataFrame:
         """(term): those of the terms, all of one role, that have the other role too."""
@@ -113,17 +139,15 @@ class Graph:
             return self.shared.select(F.col("shared").alias("term"))
         ((c, other),) = [(c, {"s": "o", "o": "s"}[c]) for c in found.columns]
         wanted = found.select(F.col(c).alias("term")).distinct()
-        rows = self.whole.select(F.col(other).alias("term")).filter(~terms.is_literal(F.col("term")))  # a literal has one role
+        rows = self.bag.select(F.col(other).alias("term")).filter(~terms.is_literal(F.col("term")))  # a literal has one role
         return rows.join(wanted, "term", "left_semi").distinct()
 
     def terms(self) -> DataFrame:
         """(term, in_s, in_p, in_o, section)."""
         if "terms" in self.tables:
-            return self.tables["terms"]
-        one = [self.whole.select(F.col(c).alias("term"), *(F.lit(c == x).alias(f"in_{x}") for x in "spo")).distinct() for c in "spo"]
-        out = reduce(DataFrame.union, one).groupBy("term").agg(*(F.max(f"in_{x}").alias(f"in_{x}") for x in "spo"))
+            return self.tables["terms"].select("term", "in_s", "in_p", "in_o", "section")
         section = F.when(F.col("in_s") & F.col("in_o"), "shared").when(F.col("in_s"), "subjects").when(F.col("in_o"), "objects").otherwise("predicates")
-        return out.withColumn("section", section)
+        return self._roles().withColumn("section", section)
 
     def term_prefix(self, prefix: str, role: str = "any", limit: int | None = None, after: str | None = None) -> DataFrame:
         """Terms whose stored form begins with prefix, in plain order, behind the term after."""
@@ -146,9 +170,7 @@ class Graph:
         if "terms" in self.tables:
             own = self.tables["terms"].filter(F.col("term").startswith(prefix)).select("term", "in_s", "in_p", "in_o")
             return own if role == "any" else own.filter(f"in_{role[0]}").select("term", *((F.col(f"in_{x}") if x == role[0] else F.lit(False)).alias(f"in_{x}") for x in "spo"))
-        # the filter is below the distinct, so it reaches the scan
-        one = [self.whole.select(F.col(c).alias("term"), *(F.lit(c == x).alias(f"in_{x}") for x in "spo")).filter(F.col("term").startswith(prefix)).distinct() for c in "spo" if role == "any" or role[0] == c]
-        return reduce(DataFrame.union, one).groupBy("term").agg(*(F.max(f"in_{x}").alias(f"in_{x}") for x in "spo"))
+        return self._roles("spo" if role == "any" else role[0], lambda t: t.startswith(prefix))
 
     def term_counts(self, prefix: str) -> DataFrame:
         """(subject, predicate, object, any): terms under a prefix; any counts a term once."""
@@ -194,7 +216,8 @@ class Graph:
 
     def graphs(self) -> DataFrame:
         """(graph, count): the unnamed graph first, if it has triples, then names in order."""
-        counts = self.memberships.groupBy(F.col("g").alias("graph")).agg(F.count(F.lit(1)).alias("count"))
+        rows = self.marks if self.quads_given and self.marks is not None else self.memberships
+        counts = rows.groupBy(F.col("g").alias("graph")).agg(F.count(F.lit(1)).alias("count"))
         return counts.withColumn("unnamed", F.col("graph") == UNNAMED).orderBy(F.desc("unnamed"), "graph").drop("unnamed")
 
     def graph_page(self, limit: int | None = None, cursor: str | None = None) -> Answer:
@@ -319,8 +342,12 @@ class Graph:
         sorted_, keys = self.order_keys(found, self.shape(s=s, p=p, o=o), quads)
         return sorted_.orderBy(*keys).limit(limited(limit)).select("s", "p", "o", *(["g"] if quads else []))
 
+    def _marked(self, s, p, o, g: str | None) -> bool:
+        """Whether the pattern is all triples of a graph of which there are marks."""
+        return self.marks is not None and not self.quads_given and self.is_union(g) and s is None and p is None and o is None
+
     def count(self, s=None, p=None, o=None, g: str | None = None) -> DataFrame:
-        return self.found(s, p, o, g)[0].agg(F.count(F.lit(1)).alias("count"))
+        return (self.marks if self._marked(s, p, o, g) else self.found(s, p, o, g)[0]).agg(F.count(F.lit(1)).alias("count"))
 
     def absent(self, s=None, p=None, o=None) -> list[tuple[str, str]]:
         """(position, reason) of bound terms that the graph does not hold there, by one job."""
@@ -405,7 +432,7 @@ class Graph:
         if group_by not in ("s", "p", "o"):
             raise QueryError("malformed_request", "group_by names s, p or o")
         if names is None:
-            found = self.found(s, p, o, g)[0]
+            found = self.marks if group_by == "p" and self._marked(s, p, o, g) else self.found(s, p, o, g)[0]
             return found.groupBy(F.col(group_by).alias("value")).agg(F.count(F.lit(1)).alias("count"))
         found = self.bound(pattern, names, self.bindings(names, rows), g=g)
         return found.groupBy(F.col(group_by).alias("value")).agg(F.count(F.lit(1)).alias("count"), F.count_distinct("binding").alias("bindings"))

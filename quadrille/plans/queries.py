@@ -28,15 +28,16 @@ HUMAN = "trim(regexp_replace(regexp_replace(replace(replace({x}, '_', ' '), '-',
 
 
 def core(spark: SparkSession, d: str) -> Graph:
-    return Graph(mapping.triples(spark, d), prefixes=PREFIXES, whole=mapping.triples(spark, d, whole=True))
+    return Graph(mapping.triples(spark, d), prefixes=PREFIXES, **mapping.forms(spark, d))
 
 
 def full(spark: SparkSession, d: str) -> Graph:
-    return Graph(mapping.triples(spark, d, FULL), prefixes=PREFIXES, whole=mapping.triples(spark, d, FULL, whole=True))
+    return Graph(mapping.triples(spark, d, FULL), prefixes=PREFIXES, **mapping.forms(spark, d, FULL))
 
 
 def quads(spark: SparkSession, d: str) -> Graph:
-    return Graph(mapping.triples(spark, d, FULL), mapping.triples(spark, d, FULL, graph=True), prefixes=PREFIXES)
+    marks = mapping.exploded(spark, d, FULL, graph=True, objects=False).select("p", "g")
+    return Graph(mapping.triples(spark, d, FULL), mapping.triples(spark, d, FULL, graph=True), prefixes=PREFIXES, marks=marks)
 
 
 def claims(spark: SparkSession, d: str) -> Graph:
@@ -282,7 +283,7 @@ def labels_hydrated(spark, d):
 @register("names_fallback", TFULL + f"SELECT DISTINCT p, {HUMAN.format(x=FRAGMENT.format(x='p'))} AS name FROM t")
 def names_fallback(spark, d):
     g = full(spark, d)
-    return g.whole.select("p").distinct().select("p", texts.fallback_label(F.col("p")).alias("name"))
+    return g.predicates.select("p", texts.fallback_label(F.col("p")).alias("name"))
 
 
 @register("term_parts", TFULL + f"""SELECT DISTINCT o AS term, {LEX} AS lex, {TAG} AS lang,
@@ -290,7 +291,7 @@ CASE WHEN {TAG} IS NOT NULL THEN '{terms.RDF_LANG}' ELSE coalesce(nullif(regexp_
 FROM t WHERE o LIKE '"%'""")
 def term_parts(spark, d):
     o = F.col("o")
-    return full(spark, d).whole.filter(terms.is_literal(o)).select("o").distinct().select(o.alias("term"), terms.lexical(o).alias("lex"), terms.language(o).alias("lang"), terms.datatype(o).alias("datatype"))
+    return full(spark, d).bag.filter(terms.is_literal(o)).select("o").distinct().select(o.alias("term"), terms.lexical(o).alias("lex"), terms.language(o).alias("lang"), terms.datatype(o).alias("datatype"))
 
 
 _WORDS = "list_filter(regexp_split_to_array(lower(lex), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
@@ -373,7 +374,7 @@ def void_languages(spark, d):
 
 @register("void_graph_properties", M + f"SELECT g, p AS predicate, {_DISTINCTS} FROM m GROUP BY g, p")
 def void_graph_properties(spark, d):
-    return stats.properties(mapping.triples(spark, d, FULL, graph=True, whole=True), ["g"])
+    return stats.properties(mapping.exploded(spark, d, FULL, graph=True), ["g"])
 
 
 @register("schema_relations_page", TFULL + f", {_TYPES} {_RELATIONS} ORDER BY triples DESC, subject_class, predicate, object_class LIMIT 1000")
