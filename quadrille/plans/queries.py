@@ -395,8 +395,8 @@ def bundle_schema_children(spark, d):
 
 @register("tpf_graph", M + f"SELECT DISTINCT s, p, o FROM m WHERE g = '{BASE}g/customer' AND p = '{P}c_nationkey' ORDER BY s LIMIT 10000")
 def tpf_graph(spark, d):
-    """A page of a pattern in a named graph, in explicit syntax; at the tables' smaller sizes it is all rows."""
-    return service.request(quads(spark, d), "tpf", predicate=P + "c_nationkey", graph=BASE + "g/customer", limit=10_000).select("s", "p", "o")
+    """A page of a pattern in a named graph, in explicit syntax, by subject."""
+    return service.request(quads(spark, d), "tpf", predicate=P + "c_nationkey", graph=BASE + "g/customer", order="s", limit=10_000).select("s", "p", "o")
 
 
 _SPACES = [(k, ns) for k, ns in sorted(PREFIXES.items(), key=lambda kv: (-len(kv[1]), kv[0]))]

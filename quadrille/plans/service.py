@@ -19,7 +19,7 @@ from quadrille.operators.graph import Answer, Graph
 PARAMETERS = {
     "fragment": {"s", "p", "o", "o.text", "g", "limit", "cursor", "labels", "lang", "label_source"},
     "bindings": {"pattern", "bindings", "values", "g", "distinct", "limit", "cursor", "labels", "lang", "label_source"},
-    "tpf": {"subject", "predicate", "object", "graph", "values", "limit", "cursor"},
+    "tpf": {"subject", "predicate", "object", "graph", "values", "order", "limit", "cursor"},
     "count": {"s", "p", "o", "o.text", "g", "pattern", "bindings"},
     "describe": {"iri", "direction"},
     "sample": {"s", "p", "o", "n", "seed"},
@@ -106,7 +106,10 @@ def _bindings(graph: Graph, p: dict) -> Answer:
 
 
 def _tpf(graph: Graph, p: dict) -> Answer:
-    """Explicit syntax: bare IRIs, no prefixes. Without a graph it is the quad view, if there are graphs."""
+    """Explicit syntax: bare IRIs, no prefixes. Without a graph it is the quad view, if there are graphs.
+
+    order names positions whose terms order the rows, as plain strings; without it the pattern's order holds.
+    """
     variables = [v for v in (p.get(k) for k in ("subject", "predicate", "object")) if v and v.startswith("?")]
     if "values" not in p and len(set(variables)) != len(variables):
         raise QueryError("unsupported", "a variable that stands twice is bound in every row")
@@ -122,8 +125,13 @@ def _tpf(graph: Graph, p: dict) -> Answer:
         found, quads = scoped.restricted({c: v for c, v in own.items() if v and v.startswith("?")}, names, values.normalized_rows(rows)), False
     else:
         found, quads = graph.found(**fixed, g=g)
-    sorted_, keys = graph.order_keys(found, graph.shape(**fixed), quads)
-    asked = {k: p.get(k) for k in ("subject", "predicate", "object", "graph", "values")}
+    if "order" in p:
+        if not p["order"] or len(set(p["order"])) != len(p["order"]) or set(p["order"]) - set("spo"):
+            raise QueryError("malformed_request", f"an order names s, p and o, not {p['order']!r}")
+        sorted_, keys = found, [*p["order"], *(c for c in "spo" if c not in p["order"]), *(["g"] if quads else [])]
+    else:
+        sorted_, keys = graph.order_keys(found, graph.shape(**fixed), quads)
+    asked = {k: p.get(k) for k in ("subject", "predicate", "object", "graph", "values", *(["order"] if "order" in p else []))}
     return graph.paged("tpf", sorted_, [*keys, *(c for c in "spo" if c not in keys)], asked, p.get("limit"), p.get("cursor"))
 
 
