@@ -103,3 +103,25 @@ def test_a_page_in_explicit_syntax_is_ordered_as_asked(spark):
     for bad in ("", "x", "ss"):
         with pytest.raises(QueryError):
             asked(order=bad)
+
+
+def test_a_bundle_writes_a_text_once_for_its_words(spark, tmp_path):
+    """The index names literals by ids, long objects of the copy by object are digests, and no shuffle's files stay."""
+    from quadrille.sources import bundle
+
+    long = '"' + "one two three " * 4_000 + "last\\" + '"@en'
+    own = [(f"x:{i}", "x:p", o) for i, o in enumerate((long, '"two threes"', "x:0", "x:" + "y" * 200))]
+    g = Graph(spark.createDataFrame(own, "s string, p string, o string"))
+    path = f"file://{tmp_path}/b"
+    m = bundle.publish(g, path, bundle.Manifest("b", "1"), parts=2)
+    assert m.content_digest == bundle.publish(g, f"{path}2", bundle.Manifest("b", "1"), parts=3).content_digest
+    back = bundle.open_bundle(spark, path)
+    assert back.tables["postings"].columns == ["stem", "word", "id", "n"] and back.tables["terms"].filter("id IS NOT NULL").select("id").distinct().count() == 2
+    assert max(len(r.o) for r in back.copies["o"].collect()) <= 96
+    for s, p, o in own:
+        asked = long.replace("\\", "\\\\") if o == long else o if o.startswith('"') else f"<{o}>"
+        assert [tuple(r) for r in back.found(o=asked)[0].collect()] == [(s, p, o)] and [tuple(r) for r in back.found(s=f"<{s}>", o=asked)[0].collect()] == [(s, p, o)]
+    rows = lambda df: sorted(map(str, df.collect()))
+    for query in ("three", "two last", "one", "nothing"):
+        assert rows(search.search(back, query)) == rows(search.search(g, query)) and rows(search.statements(back, query)) == rows(search.statements(g, query))
+    assert bundle.check(spark, path) == []
