@@ -125,3 +125,15 @@ def test_a_bundle_writes_a_text_once_for_its_words(spark, tmp_path):
     for query in ("three", "two last", "one", "nothing"):
         assert rows(search.search(back, query)) == rows(search.search(g, query)) and rows(search.statements(back, query)) == rows(search.statements(g, query))
     assert bundle.check(spark, path) == []
+
+
+def test_tokens_and_stems_are_those_of_the_expressions(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(x,) for x in ("", " ", "a", ",Things, SINGING wished boxes as es!", "thing  thing", "Straße s", "é-ed")]
+    t = F.col("t")
+    old = F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    df = spark.createDataFrame(rows, "t string").select(old.alias("old"), search.tokens(t).alias("new"))
+    got = df.select("old", "new", F.transform("new", search.stemmed).alias("a"), F.transform("new", lambda x: F.regexp_replace(x, search.STEM, "$1")).alias("b")).collect()
+    assert all(r.old == r.new and r.a == r.b for r in got)
+    assert "filter(split" not in plan(df.select("new"))
